@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, ring, topk, warc
+from . import common, mixing, pii, ring, secrets, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -29,13 +33,17 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.temperature_mix(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_topk_histogram, op4_warc_archive, op6_bounded_ring, op9_temperature_mix)
+    for f in (op1_pii_bootstrap, op3_topk_histogram, op4_warc_archive, op6_bounded_ring, op7_secret_ownership, op9_temperature_mix)
 }
 
 ORACLE: dict[str, str] = {
