@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, pii, ring, secrets, topk, warc
+from . import common, kneser, mixing, pieces, pii, ring, secrets, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.quality(table(spark, sf_dir, "documents"))
+
+
 def op3_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -41,9 +45,13 @@ def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.temperature_mix(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op10_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_bootstrap, op3_topk_histogram, op4_warc_archive, op6_bounded_ring, op7_secret_ownership, op9_temperature_mix)
+    for f in (op1_pii_bootstrap, op2_kneser_ney, op3_topk_histogram, op4_warc_archive, op6_bounded_ring, op7_secret_ownership, op9_temperature_mix, op10_viterbi_pieces)
 }
 
 ORACLE: dict[str, str] = {
