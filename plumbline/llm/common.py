@@ -150,7 +150,7 @@ def shingles(word_hash: np.ndarray, row: np.ndarray, width: int, rows: int) -> t
     for k in range(1, width):
         short = np.flatnonzero(counts == k)
         if len(short):
-            h = np.full(len(short), np.uint64(k) * np.uint64(0xD1B54A32D192ED03), np.uint64)
+            h = np.full(len(short), k * 0xD1B54A32D192ED03 % 2**64, np.uint64)
             for i in range(k):
                 h = mix(h * BASE + word_hash[first[short] + i])
             out_h.append(h)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, kneser, mixing, pieces, pii, ring, secrets, topk, warc
+from . import common, kneser, mixing, near, pieces, pii, ring, secrets, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.temperature_mix(table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -51,7 +55,7 @@ def op10_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_bootstrap, op2_kneser_ney, op3_topk_histogram, op4_warc_archive, op6_bounded_ring, op7_secret_ownership, op9_temperature_mix, op10_viterbi_pieces)
+    for f in (op1_pii_bootstrap, op2_kneser_ney, op3_topk_histogram, op4_warc_archive, op6_bounded_ring, op7_secret_ownership, op8_minmax_dedup, op9_temperature_mix, op10_viterbi_pieces)
 }
 
 ORACLE: dict[str, str] = {

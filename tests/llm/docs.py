@@ -11,9 +11,9 @@ def awkward(spark, texts=()):
     vocabulary = ["al", "bo", "ceta", "dun", "elf", "fi", "gor", "hum", "il", "jot"]
     long = "\n".join(" ".join(rng.choice(vocabulary) + rng.choice(vocabulary) for _ in range(12)) for _ in range(400))
     rows = [(i, t, "en", f"src{i % 2}", len(t), i, "r", "k") for i, t in enumerate(texts)]
-    rows += [(100, None, "en", "src0", None, 1, "r", None), (101, "", None, None, 0, None, None, "k"), (102, " \t\n ", "fr", "src1", 4, 2, "r", "k")]
-    rows += [(103, long, "en", "src0", len(long), 3, "x", "y"), (104, long, "en", "src1", len(long), 3, "x", "y"), (None, "one two three", "de", "src1", 13, 4, "r", "k")]
-    rows += [(105, "naïve café ▁x  \U0001f600 done", "fr", None, 20, 5, "r", "k")] * 2
+    rows += [(9100, None, "en", "src0", None, 1, "r", None), (9101, "", None, None, 0, None, None, "k"), (9102, " \t\n ", "fr", "src1", 4, 2, "r", "k")]
+    rows += [(9103, long, "en", "src0", len(long), 3, "x", "y"), (9104, long, "en", "src1", len(long), 3, "x", "y"), (None, "one two three", "de", "src1", 13, 4, "r", "k")]
+    rows += [(9105, "naïve café ▁x  \U0001f600 done", "fr", None, 20, 5, "r", "k")] * 2
     return spark.createDataFrame(rows, SCHEMA)
 
 
