@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, kneser, mixing, near, pieces, pii, ring, secrets, topk, warc
+from . import common, kneser, mixing, near, pieces, pii, ring, secrets, suffixes, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(spark, root)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ring.bounded_ring(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -55,7 +59,7 @@ def op10_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_bootstrap, op2_kneser_ney, op3_topk_histogram, op4_warc_archive, op6_bounded_ring, op7_secret_ownership, op8_minmax_dedup, op9_temperature_mix, op10_viterbi_pieces)
+    for f in (op1_pii_bootstrap, op2_kneser_ney, op3_topk_histogram, op4_warc_archive, op5_suffix_dedup, op6_bounded_ring, op7_secret_ownership, op8_minmax_dedup, op9_temperature_mix, op10_viterbi_pieces)
 }
 
 ORACLE: dict[str, str] = {
