@@ -202,8 +202,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = held.groupBy("band").agg(F.min("linked").alias("all"), F.min("of").alias("low"), F.max("of").alias("high")).where("not all and low < high").select("band")
     held = held.join(mixed, "band", "left_semi")
     few = materialize(texts.join(held.select("node").distinct(), "node", "left_semi"), "texts")
-    held = held.join(own_shingles(few), "node", "left").join(sketches(few), "node").join(classes.select("node", "bands"), "node")
-    held = materialize(held.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "held")
+    able = classes.select("node", "n", "bands").join(sketches(few), "node").join(own_shingles(few), "node", "left")
+    able = able.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") * 100 >= F.col("n") * 75)
+    held = materialize(held.join(materialize(able.select("node", "most", "bits", "bands"), "able"), "node"), "held")
     lone, others = held.where("not linked").alias("x"), held.alias("y")
     near = (F.abs(F.col("x.apart") - F.col("y.apart")) <= 0.25 + 1e-9) & (F.least("x.most", "y.most") * 7 >= (F.col("x.n") + F.col("y.n")) * 3)
     differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(1, FINE // 64)), F.bit_count(F.col("x.bits")[0].bitwiseXOR(F.col("y.bits")[0])))
