@@ -90,8 +90,12 @@ def scaled(legs: DataFrame, config: Config) -> DataFrame:
 
 
 def trace(legs: DataFrame, config: Config) -> DataFrame:
-    """Of every leg and t: e-value so far, first alarm, shift interval, saturation."""
-    rows = scaled(legs, config)
+    """Of every leg and t: e-value so far, first alarm, shift interval, saturation.
+
+    Legs are short and many, so they are dealt by stream once; all windows and groups below include the
+    stream in their keys and need no further exchange.
+    """
+    rows = scaled(legs, config).repartition("stream_id")
     detect = wealth.detector_trace if config.backend == "windows" else kernel.detector_trace
     options = {} if config.backend == "windows" else {"most_starts": config.most_starts}
     found = detect(rows, config.monitor_alpha, **options).select(*wealth.LEG, "t", "log_e", "peak_log_e", "alarm", "best_start", "direction")

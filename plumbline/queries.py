@@ -340,7 +340,7 @@ def call_costs(spark, sf):
     docs = tables.read(spark, sf, "documents")
     price = scores.longest_prefix_price(F.col("source"), {"src": 1.0, "src1": 2.0, "src12": 4.0})
     cost = scores.call_cost(F.col("n_chars") / 4.0, F.lit(10.0), price, price * 5.0)
-    return docs.groupBy("source").agg(F.round(F.sum(cost), 6).alias("cost"), F.count(F.lit(1)).alias("calls"))
+    return docs.groupBy("source").agg(F.round(F.sum(cost), 4).alias("cost"), F.count(F.lit(1)).alias("calls"))
 
 
 @query
