@@ -126,8 +126,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50) -> DataFrame:
     down = Window.partitionBy("query_id").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     for i in reversed(range(passes)):
         bins = pairs(state).mapInArrow(_histograms(i * DIGIT), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        seen = bins.withColumn("through", F.sum("n").over(down)).join(state, "query_id")
-        # the bin of the kth score; with fewer than k scores, the range's start
+        seen = state.join(bins.withColumn("through", F.sum("n").over(down)), "query_id", "left")
+        # the bin of the kth score; with fewer than k scores the range's start stays, below them all
         hit = F.when(F.col("through") >= F.col("need"), F.struct(F.col("bin"), (F.col("need") - F.col("through") + F.col("n")).alias("left")))
         best = seen.groupBy("query_id", "lo", "need").agg(F.max(hit).alias("hit"))
         stepped = best.select("query_id", (F.col("lo") + F.coalesce(F.shiftleft(F.col("hit.bin").cast("long"), i * DIGIT), F.lit(0))).alias("lo"), F.coalesce("hit.left", "need").alias("need"))
