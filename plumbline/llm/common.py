@@ -97,7 +97,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes each (a longer text is a range of its own)."""
     if not len(column):
         return
