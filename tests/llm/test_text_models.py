@@ -91,7 +91,7 @@ def test_bands_reject_noise_and_keep_prose(spark):
     prose = [t for t in prose if brute_stats(t)[4] <= 0.2 * 80]
     noise = ["".join(rng.choice("qxzjkvwpQXZ#@!0189") + rng.choice(["", " "]) for _ in range(300)) for _ in range(3)]
     docs = awkward(spark, [*prose, *noise])
-    kept = {r["doc_id"] for r in kneser.keep(docs).collect()}
+    kept = {r["doc_id"] for r in kneser.keep(docs, slack=0.35).collect()}  # three texts of noise are part of so small a corpus' own model
     assert set(range(len(prose))) <= kept and not kept & set(range(len(prose), len(prose) + 3))
     assert kneser.keep(docs).columns == docs.columns
 
