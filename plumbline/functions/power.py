@@ -103,19 +103,27 @@ def min_shift_column(n: Column, per_item_sd: Column, run_mean_sd: Column, n_item
     The bisection is one aggregate() over its 80 steps, so it stays in the JVM.
     """
     sigma = F.sqrt(F.greatest(F.lit(0.0), run_mean_sd * run_mean_sd - per_item_sd * per_item_sd / n_items) + per_item_sd * per_item_sd / n)
-    band = F.when(sigma <= 0.0, BAND_SDS).otherwise(F.greatest(F.lit(BAND_SDS), target / sigma)) * sigma
-    dead, unit, need = sigma * dead_factor, band * 2.0, needed_evidence(alpha)
+    need = needed_evidence(alpha)
 
-    def enough(shift: Column) -> Column:
-        drift, s = F.least((shift - dead) / unit, F.lit(0.5)), sigma / unit
+    def enough(shift: Column, g: Column) -> Column:
+        drift, s = F.least((shift - g["dead"]) / g["unit"], F.lit(0.5)), g["sigma"] / g["unit"]
         bet = F.least(drift / (s * s + drift * drift), F.lit(1.0))
         gain = F.ln(1.0 + bet * drift) - F.pow(bet * s / (1.0 + bet * drift), 2) / 2.0
-        return horizon * F.when(drift <= 0.0, 0.0).otherwise(gain) >= need
+        return g["runs"] * F.when(drift <= 0.0, 0.0).otherwise(gain) >= need
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2.0
-        ok = enough(mid)
-        return F.struct(F.when(ok, acc["lo"]).otherwise(mid).alias("lo"), F.when(ok, mid).otherwise(acc["hi"]).alias("hi"))
+    def search(g: Column) -> Column:
+        def halve(acc: Column, _: Column) -> Column:
+            mid = (acc["lo"] + acc["hi"]) / 2.0
+            ok = enough(mid, g)
+            return F.struct(F.when(ok, acc["lo"]).otherwise(mid).alias("lo"), F.when(ok, mid).otherwise(acc["hi"]).alias("hi"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(dead.alias("lo"), (dead + unit).alias("hi")), halve, lambda acc: acc["hi"])
-    return F.when(enough(dead + unit), found)
+        top = g["dead"] + g["unit"]
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(g["dead"].alias("lo"), top.alias("hi")), halve, lambda acc: acc["hi"])
+        return F.when(enough(top, g), found)
+
+    def geometry(s: Column) -> Column:
+        band = F.when(s <= 0.0, BAND_SDS).otherwise(F.greatest(F.lit(BAND_SDS), target / s)) * s
+        return F.struct(s.alias("sigma"), (s * dead_factor).alias("dead"), (band * 2.0).alias("unit"), horizon.alias("runs"))
+
+    # one-element arrays bind what is used many times to a name
+    return F.transform(F.transform(F.array(sigma), geometry), search)[0]

@@ -18,6 +18,7 @@ from ..functions import scores
 from ..functions.power import min_shift_column
 from ..functions.student import dead_zone_factor
 from ..operators import confseq, kernel, runs, wealth
+from ..sources.shared import written
 
 LEGS = ["system", "anchor", "corrected"]
 
@@ -54,7 +55,8 @@ def leg_table(obs: DataFrame, floors: DataFrame, config: Config) -> tuple[DataFr
     known = floors.select("stream_id", "replicates", F.greatest("run_mean_sd", F.lit(scores.MIN_SD)).alias("floor_sd"))
     first = F.when(F.col("kind") == "anchor", F.coalesce("replicates", F.lit(2))).otherwise(F.lit(config.baseline_runs))
     every = every.join(known, "stream_id", "left").withColumn("first", first)
-    devs = runs.deviations(obs, every, runs.item_baseline(obs, every, F.col("first")))
+    # the last step that reads observations; what follows reads this table of runs, several times
+    devs = every = written(runs.deviations(obs, every, runs.item_baseline(obs, every, F.col("first"))), "runs")
     held = devs.where(F.col("place") < F.col("first")).groupBy(*runs.STREAM).agg(runs.floored_sd(F.col("dev")).alias("held_sd"), F.count(F.lit(1)).alias("held"))
     devs = devs.join(held, runs.STREAM)
     watched = devs.where(F.col("place") >= F.col("first"))
