@@ -7,7 +7,7 @@ strings with one anchor are a stretch of the text around it, the suffix with its
 
 1. Documents that equal one with a smaller id are known from their digests, and go no further.
 2. Candidate search: anchors' fingerprints are dealt out by hash, in packed arrays, and those found in
-   several documents go back to their documents.
+   several documents go back to their documents. What a chunk of a task repeats by itself goes there at once.
 3. There they become suffix records. Equal stretches collapse to one with the smallest doc_id (partial
    aggregation, so a passage of a third of all documents is one row a task). What is left is range-partitioned
    by the suffixes' leading GRAM bytes, with splitters that Spark samples; buckets sort their strings by
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +81,28 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, place, x[place], np.searchsorted(offs, start, "right") - 1
 
 
+PACKED = "bucket int, known boolean, grams binary, ids binary"
+
+
 def _fingerprints(n_parts: int):
+    """Fingerprints to be looked for in other chunks, and those known to be repeated, which are dealt to their documents.
+
+    Of a fingerprint's documents in a chunk only the first and the last are asked about: those between share it
+    with them. A fingerprint of a third of all documents thus gives two entries a chunk to its partition.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def out() -> pa.RecordBatch:
-            x, ids = (np.concatenate(c) for c in zip(*held))
-            bucket = ((x >> np.uint64(48)) * np.uint64(n_parts)) >> np.uint64(16)
-            return _dealt(bucket.astype(np.int32), x & LOW, ids)
+        def out() -> Iterator[pa.RecordBatch]:
+            x, ids = _pairs(*(np.concatenate(c) for c in zip(*held)))
+            edge = np.ones(len(x) + 1, bool)
+            edge[1:-1] = x[1:] != x[:-1]
+            asked = edge[1:] | edge[:-1]
+            bucket = ((x[asked] >> np.uint64(48)) * np.uint64(n_parts)) >> np.uint64(16)
+            yield _dealt(bucket.astype(np.int32), x[asked] & LOW, ids[asked], False)
+            if not asked.all():
+                yield _dealt(np.mod(ids[~asked], n_parts).astype(np.int32), x[~asked] & LOW, ids[~asked], True)
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
@@ -98,15 +113,24 @@ def _fingerprints(n_parts: int):
                 held.append((x[new], ids[lo + row[new]]))
                 size += int(new.sum())
                 if size > HOLD:
-                    yield out()
+                    yield from out()
                     held, size = [], 0
         if size:
-            yield out()
+            yield from out()
 
     return run
 
 
-def _dealt(bucket: np.ndarray, x: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+def _pairs(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted."""
+    order = np.lexsort((ids, x))
+    x, ids = x[order], ids[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (ids[1:] != ids[:-1])
+    return x[new], ids[new]
+
+
+def _dealt(bucket: np.ndarray, x: np.ndarray, ids: np.ndarray, known: bool) -> pa.RecordBatch:
     """One row a bucket: fingerprints (low 4 bytes of all, then 2 more) and ids, as packed arrays."""
     order = np.argsort(bucket, kind="stable")
     bucket, x, ids = bucket[order], x[order], ids[order]
@@ -114,8 +138,8 @@ def _dealt(bucket: np.ndarray, x: np.ndarray, ids: np.ndarray) -> pa.RecordBatch
     low, high = x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint16)
     pairs = list(zip(cuts[:-1], cuts[1:]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[cuts[:-1]]), pa.array([low[a:b].tobytes() + high[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary())],
-        ["bucket", "grams", "ids"],
+        [pa.array(bucket[cuts[:-1]]), pa.array([known] * len(pairs), pa.bool_()), pa.array([low[a:b].tobytes() + high[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary())],
+        ["bucket", "known", "grams", "ids"],
     )
 
 
@@ -128,7 +152,13 @@ def _repeated(n_parts: int):
     """Of the fingerprints of a hash partition, those in several documents, dealt to their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpacked(g, i) for batch in batches for g, i in zip(batch.column("grams").to_pylist(), batch.column("ids").to_pylist())]
+        held = []
+        for batch in batches:
+            known = batch.column("known")
+            if known.true_count:
+                yield batch.filter(known)
+            asked = batch.filter(pc.invert(known))
+            held += [_unpacked(g, i) for g, i in zip(asked.column("grams").to_pylist(), asked.column("ids").to_pylist())]
         if not held:
             return
         x, ids = (np.concatenate(c) for c in zip(*held))
@@ -139,7 +169,7 @@ def _repeated(n_parts: int):
         several = np.minimum.reduceat(ids, cuts) < np.maximum.reduceat(ids, cuts)
         keep = np.repeat(several, np.diff(np.append(cuts, len(x))))
         if keep.any():
-            yield _dealt(np.mod(ids[keep], n_parts).astype(np.int32), x[keep], ids[keep])
+            yield _dealt(np.mod(ids[keep], n_parts).astype(np.int32), x[keep], ids[keep], True)
 
     return run
 
@@ -265,8 +295,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, rid, lo, hi: the byte ranges that go, overlapping as they come, for texts without an equal before them."""
     n_parts = parts(docs.sparkSession) | 1
-    prints = docs.select("doc_id", "text").mapInArrow(_fingerprints(n_parts), "bucket int, grams binary, ids binary")
-    found = prints.repartitionById(n_parts, "bucket").mapInArrow(_repeated(n_parts), "bucket int, grams binary, ids binary")
+    prints = docs.select("doc_id", "text").mapInArrow(_fingerprints(n_parts), PACKED)
+    found = prints.repartitionById(n_parts, "bucket").mapInArrow(_repeated(n_parts), PACKED)
     found = materialize(found, "repeated-grams")
     nothing = F.lit(None).cast("binary")
     rows = docs.select(F.pmod("doc_id", F.lit(n_parts)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "doc_id", "rid", "text", nothing.alias("grams"), nothing.alias("ids"))
