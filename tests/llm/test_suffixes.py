@@ -27,7 +27,7 @@ def brute(rows):
     return out
 
 
-def test_removed_bytes_equal_brute_force(spark):
+def test_removed_bytes_equal_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     passages = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (49, 50, 51, 60, 90, 400)]
     texts = ["a" * 300, "a" * 120, "ab" * 100, "x" * 49, "x" * 50, "x" * 50]
@@ -40,7 +40,10 @@ def test_removed_bytes_equal_brute_force(spark):
         texts.append("".join(parts))
     texts += texts[6:9]
     docs = awkward(spark, texts)
-    got = suffixes.remove_repeats(docs).collect()
-    assert len(got) == docs.count()
-    assert {tuple(r) for r in got} == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    for crowd in (suffixes.CROWD, 1):
+        monkeypatch.setattr(suffixes, "SPOT", 16 if crowd > 1 else 1)  # 1: every lead counts as crowded
+        got = suffixes.remove_repeats(docs, crowd).collect()
+        assert len(got) == docs.count()
+        assert {tuple(r) for r in got} == want
     assert suffixes.remove_repeats(empty(spark)).count() == 0
