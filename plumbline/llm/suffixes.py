@@ -14,8 +14,8 @@ strings with one anchor are a stretch of the text around it, the suffix with its
    leading 8-byte token, then by the rest, and compare neighbours byte by byte. A splitter lies between
    different leading grams, and a gram is shorter than a string, so no equal strings stand on two sides of a
    boundary, which is what comparing across boundaries has to settle. A lead that more than about `CROWD`
-   stretches share (a common line in many contexts) would be one bucket: its strings are dealt by all their
-   bytes instead. Which way a lead goes is told from a sixteenth of its stretches; both ways are exact.
+   stretches share (a common line in many contexts) is more than a block holds: its strings are dealt by all
+   their bytes instead. Which way a lead goes is told from a sixteenth of its stretches; both ways are exact.
 4. Each stretch's smallest doc_id per string goes back to all its documents by a join on its digest.
 
 Matches never cross documents and are judged on the input. Nulls: a null text is empty; a row with a null
@@ -42,7 +42,7 @@ GRAM = 20
 LOW = np.uint64((1 << 48) - 1)
 HOLD = 4 << 20
 STRINGS = 1 << 20
-CROWD = 512
+CROWD = STRINGS // 16
 SPOT = 16
 
 
