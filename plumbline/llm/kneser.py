@@ -9,9 +9,12 @@ and aggregation by code gives raw counts of 4-grams, continuation counts of the
 counts of counts from which the three discounts of each order follow. Counts are kept as sorted arrays of
 codes with log probabilities beside them, and are looked up by binary search.
 
-A text's score is its mean negative log probability per character. The bands are language-specific: the
-median plus and minus `width` median absolute deviations (and at least `slack` nats), from the scores of all
-texts. A text outside its language's band is rejected, as is one that fails the base rules.
+A text's score is its mean negative log probability per character. The bands are language-specific and come
+from the language's own scores, equal ones taken once (so that copies don't narrow the band): the median less
+`width` times the median deviation below it, and plus `width` times that above it. As a mean over n characters
+spreads like 1 / sqrt(n), texts shorter than the language's median get a reach wider by that law; a language
+of N scores gets one wider by 1 + 250 / N, since its few texts are also most of its model. `slack` is a floor in
+nats for who wants one. A text outside its language's band is rejected, as is one that fails the base rules.
 
 Nulls: a null text has no words and fails the base rules; a null lang is a language of its own. A text
 without characters has no score and is judged by the base rules alone. Repeated rows count one by one. A
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, blocks, buffers, materialize, mix, span_hash, words
@@ -219,7 +222,26 @@ def _repeat_words(hashes: np.ndarray, row: np.ndarray, rows: int, width: int = 5
     return np.bincount(row[covered], minlength=rows)
 
 
-def quality(docs: DataFrame, width: float = 8.0, slack: float = 1.0, key: str = "doc_id") -> DataFrame:
+def bands(scored: DataFrame) -> DataFrame:
+    """lang, mid, below and above (median deviations on each side), typical (median size) and many (scores), of distinct scores."""
+    once = scored.where("score is not null").groupBy("lang", "score").agg(F.max("size").alias("size"))
+    middle = F.percentile_approx("score", 0.5, 10_000)
+    mid = once.groupBy("lang").agg(middle.alias("mid"), F.percentile_approx("size", 0.5, 10_000).alias("typical"), F.count(F.lit(1)).alias("many"))
+    on = F.col("s.lang").eqNullSafe(F.col("m.lang"))
+    off = once.alias("s").join(mid.alias("m"), on).select("s.lang", "mid", "typical", "many", (F.col("score") - F.col("mid")).alias("off"))
+    side = [F.percentile_approx(F.when(x > 0, x), 0.5, 10_000).alias(name) for x, name in ((-F.col("off"), "below"), (F.col("off"), "above"))]
+    return off.groupBy("lang").agg(*(F.first(c).alias(c) for c in ("mid", "typical", "many")), *side)
+
+
+def within(width: float, slack: float) -> Column:
+    """Whether score lies in the band beside it; null without a score."""
+    off = F.col("score") - F.col("mid")
+    reach = width * F.when(off > 0, F.col("above")).otherwise(F.col("below"))
+    reach = reach * (1 + 250 / F.col("many")) * F.sqrt(F.greatest(F.lit(1.0), F.col("typical") / F.col("size")))
+    return F.abs(off) <= F.greatest(reach, F.lit(slack))
+
+
+def quality(docs: DataFrame, width: float = 8.0, slack: float = 0.0, key: str = "doc_id") -> DataFrame:
     """doc_id, lang, the statistics, base_failed, score, kept of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(models(count_ngrams(docs)))
@@ -242,19 +264,16 @@ def quality(docs: DataFrame, width: float = 8.0, slack: float = 1.0, key: str =
                         log_p[mine] = cache[name].score(code[mine])
                 mean = -np.divide(np.bincount(of, log_p, len(n)), n, out=np.full(len(n), np.nan), where=n > 0)
                 stats = [pa.array(x.astype(np.int64)) for x in text_stats(text)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), *stats, pa.array(mean.round(9), mask=n == 0)], names)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), *stats, pa.array(n), pa.array(mean.round(9), mask=n == 0)], names)
 
-    names = [c.split()[0] for c in STATS.split(", ")] + ["score"]
+    names = [c.split()[0] for c in STATS.split(", ")] + ["size", "score"]
     kind = dict(docs.dtypes)[key]
-    scored = docs.select(F.col(key).alias("key"), "lang", "text").mapInArrow(score, STATS.replace("doc_id long", f"doc_id {kind}") + ", score double")
+    scored = docs.select(F.col(key).alias("key"), "lang", "text").mapInArrow(score, STATS.replace("doc_id long", f"doc_id {kind}") + ", size long, score double")
     scored = materialize(scored, "quality")
-    middle = F.percentile_approx("score", 0.5, 10_000)
-    mid = scored.groupBy("lang").agg(middle.alias("mid"))
+    band = bands(scored)
     on = F.col("s.lang").eqNullSafe(F.col("m.lang"))
-    off = scored.alias("s").join(mid.alias("m"), on).select("s.lang", "mid", F.abs(F.col("score") - F.col("mid")).alias("off"))
-    band = off.groupBy("lang").agg(F.first("mid").alias("mid"), F.greatest(F.percentile_approx("off", 0.5, 10_000) * width, F.lit(slack)).alias("reach"))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    inside = F.coalesce(F.abs(F.col("score") - F.col("mid")) <= F.col("reach"), F.lit(True))
+    inside = F.coalesce(within(width, slack), F.lit(True))
     rows = scored.alias("s").join(band.alias("m"), on, "left").withColumn("base_failed", failed)
     return rows.select("s.doc_id", "s.lang", *(f"s.{c.split()[0]}" for c in STATS.split(", ")[2:]), "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.round("score", 6).alias("score"))
 

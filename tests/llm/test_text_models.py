@@ -96,6 +96,20 @@ def test_bands_reject_noise_and_keep_prose(spark):
     assert kneser.keep(docs).columns == docs.columns
 
 
+def test_production_band_is_fitted_to_the_language(spark):
+    rng = random.Random(4)
+    words = ["the", "river", "of", "stone", "and", "water", "ran", "under", "a", "bridge", "near", "town", "while", "children", "played"]
+    prose = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(250)]
+    prose = [t for t in prose if brute_stats(t)[4] <= 0.2 * 80]
+    prose += [" ".join(rng.sample(words, 10)) for _ in range(10)]
+    noise = ["".join(rng.choice("qxzjkvwpQXZ#@!0189") + rng.choice(["", " "]) for _ in range(300)) for _ in range(3)]
+    texts = [*prose, *noise, *(a[: len(a) // 2] + b[: len(b) // 2] for a, b in zip(prose, noise))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(9000 + i, prose[0], "aa") for i in range(8)] + [(9100, prose[1], "aa")], "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in kneser.quality(docs).collect()}
+    assert not any(rows[i]["base_failed"] for i in rows)
+    assert {i for i in rows if not rows[i]["kept"]} == set(range(len(prose), len(texts)))
+
+
 @pytest.fixture(scope="module")
 def viterbi():
     return pieces.Viterbi(pieces.load_vocabulary())
