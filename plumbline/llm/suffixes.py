@@ -11,7 +11,8 @@ strings with one anchor are a stretch of the text around it, the suffix with its
 3. There they become suffix records. Equal stretches collapse to one with the smallest doc_id (partial
    aggregation, so a passage of a third of all documents is one row a task). What is left is range-partitioned
    by the suffixes' leading GRAM bytes, with splitters that Spark samples; buckets sort their strings by
-   leading 8-byte token, then by the rest, and compare neighbours byte by byte. A splitter lies between
+   leading 8-byte token, then by a 64-bit hash of the rest (so strings are grouped, not in suffix order), and
+   compare neighbours byte by byte. A splitter lies between
    different leading grams, and a gram is shorter than a string, so no equal strings stand on two sides of a
    boundary, which is what comparing across boundaries has to settle. A lead that more than about `CROWD`
    stretches share (a common line in many contexts) is more than a block holds: its strings are dealt by all
@@ -319,6 +320,11 @@ def crowded_runs(stretches: DataFrame) -> DataFrame:
     return found.select("one", "two", *(F.array(c).alias(n) for c, n in (("place", "lo"), ("place", "hi"), ("first", "first"))))
 
 
+def digests(df: DataFrame) -> DataFrame:
+    """Two hashes of content under different seeds: xxhash64(content, 1) would only hash 1 under the first one's value."""
+    return df.withColumn("one", F.xxhash64("content")).withColumn("two", F.xxhash64(F.lit(1), "content"))
+
+
 def repeated_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, rid, lo, hi: the byte ranges that go, overlapping as they come, for texts without an equal before them."""
     n_parts = parts(docs.sparkSession) | 1
@@ -329,10 +335,9 @@ def repeated_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     rows = docs.select(F.pmod("doc_id", F.lit(n_parts)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "doc_id", "rid", "text", nothing.alias("grams"), nothing.alias("ids"))
     told = found.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("string").alias("text"), "grams", "ids")
     both = rows.unionByName(told).repartitionById(n_parts, "bucket").sortWithinPartitions("kind")
-    segments = materialize(both.mapInArrow(_segments, SEGMENTS).withColumn("one", F.xxhash64("content")).withColumn("two", F.xxhash64("content", F.lit(1))), "segments")
+    segments = materialize(digests(both.mapInArrow(_segments, SEGMENTS)), "segments")
     distinct = segments.groupBy("content", "lead").agg(F.min("doc_id").alias("first"))
-    distinct = distinct.withColumn("one", F.xxhash64("content")).withColumn("two", F.xxhash64("content", F.lit(1)))
-    distinct = materialize(distinct, "stretches")
+    distinct = materialize(digests(distinct), "stretches")
     often = distinct.where(F.pmod("one", F.lit(SPOT)) == 0).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SPOT >= crowd)
     often = materialize(often.select("lead"), "crowded")
     apart = distinct.join(often, "lead", "left_anti")

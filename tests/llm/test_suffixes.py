@@ -47,3 +47,23 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch):
         assert len(got) == docs.count()
         assert {tuple(r) for r in got} == want
     assert suffixes.remove_repeats(empty(spark)).count() == 0
+
+
+def colliding(seed=42):
+    """Two binaries of 64 bytes with equal xxhash64 under the seed: the second stripe makes up for the first in one lane."""
+    p1, p2, m = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 1 << 64
+
+    def lane(x):
+        a = (seed + p1 + p2 + x * p2) % m
+        return ((a << 31 | a >> 33) * p1) % m
+
+    def whole(x, y):
+        return x.to_bytes(8, "little") + bytes(24) + y.to_bytes(8, "little") + bytes(24)
+
+    return whole(1, 0), whole(2, (lane(1) - lane(2)) * pow(p2, -1, m) % m)
+
+
+def test_second_digest_does_not_follow_from_the_first(spark):
+    rows = suffixes.digests(spark.createDataFrame([(c,) for c in colliding()], "content binary")).collect()
+    assert rows[0]["content"] != rows[1]["content"] and rows[0]["one"] == rows[1]["one"]
+    assert rows[0]["two"] != rows[1]["two"]
