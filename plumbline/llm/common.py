@@ -159,3 +159,9 @@ def shingles(word_hash: np.ndarray, row: np.ndarray, width: int, rows: int) -> t
     if not out_h:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(out_h), np.concatenate(out_r), np.concatenate(out_at)
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), then start[1], ..."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(start - ends + n, n)

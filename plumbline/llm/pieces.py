@@ -3,40 +3,45 @@
 A text gets one leading space, and the best segmentation into pieces is the one with the highest sum of log
 probabilities; ties go to the longer last piece. The public vocabulary holds merge ranks, not
 probabilities, so a piece of rank r gets Zipf's, 1 / ((r + 1) H), in whole millionths of a nat: sums are
-exact, and ties do not depend on where a text is cut. A character that no piece covers is
-written as its UTF-8 bytes, each with a fixed penalty, so every text can be encoded and decodes to itself
-exactly.
+exact. A character at which no piece ends is written as its UTF-8 bytes, each with a fixed penalty, so every
+text can be encoded and decodes to itself exactly.
 
-`Viterbi.stream` is the operator's kernel: it reads characters one at a time, keeps the scores of as many
-last boundaries as the longest piece has characters, and commits ids whenever all surviving backpointer
-paths run through one boundary. A boundary that no piece can span (before a run of spaces, around a line
-break) is such a point whatever stands on either side, so the text falls apart there into units whose ids
-never depend on their neighbours: `Viterbi.batch` solves the distinct units of many texts in lockstep with
-numpy and remembers them; units too long for that go through `stream`.
+Every text is read one character at a time. A boundary stays alive while the characters since are a proper
+prefix of some piece, so the window of alive boundaries is shorter than the longest piece. After every
+character, as soon as the paths of all alive boundaries run through one boundary, the ids up to it are
+committed. What is pending after that determines the state wholly, since only score differences count. So
+`Machine` keeps the steps from states with at most `PENDING` pending characters as transitions of an automaton,
+built as texts need them: over one character, and over a word and its space, which are walked character by
+character the first time. At `REMEMBER` states or words it forgets these, a bound on its memory. Beyond `PENDING` (a long run of one character, say) `Open` steps in place, unremembered,
+over a tree of backpointers whose upkeep is constant a character. Both take the same steps; a text that was not
+seen before costs more, not other ids.
 
 Nulls: a null text has no ids, as an empty one; a null doc_id stays. Repeated rows are encoded one by one.
-An empty table gives no rows. Other columns are ignored.
+A very long text needs memory for its ids, not for a lattice. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, blocks, buffers, mix, powers
+from .common import blocks, buffers, ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_PENALTY = -25_000_000
-UNITS = re.compile(" +[^ \n\t]*|[^ \n\t]+|[\n\t]")
-LONG = 48
-REMEMBER = 400_000
+PENDING = 64
+REMEMBER = 300_000
+WORD = 24
 NEVER = -(1 << 62)
+HELD: dict = {}
 
 
 def load_vocabulary(path: str = MODEL) -> dict:
@@ -54,29 +59,22 @@ def load_vocabulary(path: str = MODEL) -> dict:
     rank = np.argsort(np.argsort([-sp.get_score(i) for i in ids], kind="stable"), kind="stable")
     harmonic = float((1.0 / np.arange(1, len(ids) + 1)).sum())
     scores = np.rint(-1e6 * np.log((rank + 1.0) * harmonic)).astype(np.int64)
-    if any(re.search("(?s)[^ ] |[\n\t].|.[\n\t]", p) for p in pieces):
-        raise ValueError("a piece spans a boundary between units")
     return {"pieces": pieces, "ids": ids, "scores": scores.tolist(), "bytes": byte_ids}
 
 
-class Viterbi:
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
+class Pieces:
+    """The vocabulary as the stream reads it, and its bytes for decoding."""
+
     def __init__(self, vocabulary: dict):
-        self.score = dict(zip(vocabulary["pieces"], zip(vocabulary["scores"], vocabulary["ids"])))
-        self.byte_ids = vocabulary["bytes"]
+        self.score = {p: (s, _packed([i])) for p, s, i in zip(vocabulary["pieces"], vocabulary["scores"], vocabulary["ids"])}
+        self.prefixes = {p[:n] for p in self.score for n in range(1, len(p))}
         self.longest = max(map(len, self.score))
-        lengths = np.array([len(p) for p in vocabulary["pieces"]])
-        self.by_length = {}
-        for n in range(1, self.longest + 1):
-            which = np.flatnonzero(lengths == n)
-            if len(which):
-                chars = np.array([[ord(c) for c in vocabulary["pieces"][i]] for i in which], np.uint64)
-                h = self._poly(chars)
-                order = np.argsort(h)
-                if len(np.unique(h)) < len(h):
-                    raise ValueError("two pieces share a hash")
-                seen = np.zeros(1 << 18, bool)
-                seen[h >> np.uint64(46)] = True
-                self.by_length[n] = h[order], np.array(vocabulary["scores"], np.int64)[which][order], np.array(vocabulary["ids"])[which][order], seen
+        self.keep = max(PENDING, self.longest)
+        self.byte_ids = vocabulary["bytes"]
         raw = [b""] * (max([*vocabulary["ids"], *self.byte_ids]) + 1)
         for p, i in zip(vocabulary["pieces"], vocabulary["ids"]):
             raw[i] = p.encode()
@@ -85,151 +83,16 @@ class Viterbi:
         self.piece_len = np.array([len(x) for x in raw])
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)[:-1]])
         self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
-        self.forget()
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    @staticmethod
-    def _poly(chars: np.ndarray) -> np.ndarray:
-        """Hash of each row of code points, the sum of mix(c) * BASE^place finished by mix."""
-        return mix((mix(chars + np.uint64(1)) * powers(chars.shape[1])).sum(axis=1, dtype=np.uint64))
-
-    def stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Ids of one unit or text, committed as soon as they are certain."""
-        best, back, piece = {0: 0}, {0: 0}, {0: -1}
-        window: list[str] = []
-        text: dict[int, str] = {}
-        at = done = 0
-        for c in chars:
-            at += 1
-            window = [*window[-(self.longest - 1) :], c] if self.longest > 1 else [c]
-            text[at] = c
-            top, from_, with_ = NEVER, at - 1, -1
-            tail = "".join(window)
-            for n in range(min(len(tail), self.longest), 0, -1):
-                if at - n < done:
-                    continue
-                found = self.score.get(tail[-n:])
-                if found and best[at - n] + found[0] > top:
-                    top, from_, with_ = best[at - n] + found[0], at - n, found[1]
-            if with_ < 0:
-                top = best[at - 1] + BYTE_PENALTY * len(c.encode())
-            best[at], back[at], piece[at] = top, from_, with_
-            if (at - done) % self.longest == 0:
-                alive = set(range(max(done, at - self.longest + 1), at + 1))
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.remove(last)
-                    alive.add(back[last])
-                meet = alive.pop()
-                if meet > done:
-                    yield from self._path(meet, done, back, piece, text)
-                    for i in range(done, meet):
-                        best.pop(i, None), back.pop(i, None), piece.pop(i, None), text.pop(i, None)
-                    done = meet
-        yield from self._path(at, done, back, piece, text)
-
-    def _path(self, end: int, start: int, back: dict, piece: dict, text: dict) -> list[int]:
-        out: list[int] = []
-        while end > start:
-            out.extend([piece[end]] if piece[end] >= 0 else [self.byte_ids[b] for b in reversed(text[end].encode())])
-            end = back[end]
-        return out[::-1]
-
-    def batch(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of units of at most LONG characters each, all solved in lockstep."""
-        length = np.fromiter(map(len, units), np.int64, len(units))
-        order = np.argsort(-length, kind="stable")
-        most, n = int(length.max(initial=0)), len(units)
-        cp = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        begin = np.cumsum(length) - length
-        chars = np.zeros((most, n), np.uint32)
-        sorted_len = length[order]
-        for j in range(most):
-            live = int(np.searchsorted(-sorted_len, -j, "left"))
-            chars[j, :live] = cp[begin[order[:live]] + j]
-        keys = mix(chars.astype(np.uint64) + np.uint64(1)) if most else chars
-        best = np.zeros((most + 1, n), np.int64)
-        back, with_ = np.zeros((most + 1, n), np.int8), np.full((most + 1, n), -1, np.int32)
-        for j in range(1, most + 1):
-            live = int(np.searchsorted(-sorted_len, -j, "right"))
-            top = np.full(live, NEVER)
-            for k in range(min(j, self.longest), 0, -1):
-                if k not in self.by_length:
-                    continue
-                table, scores, ids, seen = self.by_length[k]
-                h = keys[j - k, :live].copy()
-                for i in range(1, k):
-                    h += keys[j - k + i, :live] * powers(k)[i]
-                h = mix(h)
-                maybe = np.flatnonzero(seen[h >> np.uint64(46)])
-                at = np.minimum(np.searchsorted(table, h[maybe]), len(table) - 1)
-                hit = table[at] == h[maybe]
-                maybe, at = maybe[hit], at[hit]
-                value = best[j - k, maybe] + scores[at]
-                better = value > top[maybe]
-                maybe, at = maybe[better], at[better]
-                top[maybe], back[j, maybe], with_[j, maybe] = value[better], k, ids[at]
-            lost = np.flatnonzero(top == NEVER)
-            c = chars[j - 1, lost]
-            top[lost] = best[j - 1, lost] + BYTE_PENALTY * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-            back[j, lost] = 1
-            best[j, :live] = top
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
-        self._trace(units, order, sorted_len, back, with_, out)
-        return out
-
-    def _trace(self, units: list[str], order: np.ndarray, length: np.ndarray, back: np.ndarray, with_: np.ndarray, out: list[np.ndarray]) -> None:
-        """Follow all backpointers in lockstep; each step writes one piece of every unit, from the right."""
-        n = len(order)
-        at, all_ = length.copy(), np.arange(n)
-        steps = []
-        while True:
-            live = all_[at > 0]
-            if not len(live):
-                break
-            got = np.full(n, -2, np.int32)
-            got[live] = with_[at[live], live]
-            steps.append(got)
-            at[live] -= back[at[live], live]
-        grid = np.array(steps[::-1], np.int32).T if steps else np.zeros((n, 0), np.int32)
-        bare = ~(grid == -1).any(axis=1)
-        used = grid != -2
-        flat, cuts = grid[used], np.concatenate([[0], np.cumsum(used.sum(axis=1))])
-        for i in range(n):
-            ids = flat[cuts[i] : cuts[i + 1]]
-            out[order[i]] = ids if bare[i] else np.fromiter(self.stream(units[order[i]]), np.int32)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
-        split = [UNITS.findall(" " + t) if t else [] for t in texts]
-        names = set().union(*split) if split else set()
-        new = [u for u in names if u not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBER:
-                self.forget()
-                new = list(names)
-            short, long = [u for u in new if len(u) <= LONG], [u for u in new if len(u) > LONG]
-            got = [*self.batch(short), *(np.fromiter(self.stream(u), np.int32) for u in long)]
-            first = len(self.known)
-            self.known.update((u, first + i) for i, u in enumerate([*short, *long]))
-            counts = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.flat = np.concatenate([self.flat, *got])
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter((self.known[u] for s in split for u in s), np.int64, int(per_text.sum()))
-        counts = self.counts[which]
-        ids = self.flat[_ranges(self.starts[which], counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(per_text)]
-        return ids, np.diff(ends, prepend=0)
+    def spelled(self, c: str) -> tuple[int, bytes]:
+        """Score and ids of a character's bytes."""
+        raw = c.encode()
+        return BYTE_PENALTY * len(raw), _packed([self.byte_ids[x] for x in raw])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all texts, and offsets; the leading space of each is gone."""
         n = self.piece_len[ids]
-        raw = self.piece_bytes[_ranges(self.piece_at[ids], n)]
+        raw = self.piece_bytes[ranges(self.piece_at[ids], n)]
         offs = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
         some = np.flatnonzero(np.diff(offs))
         keep = np.ones(len(raw), bool)
@@ -239,34 +102,218 @@ class Viterbi:
         return raw[keep], offs - np.cumsum(gone)
 
 
-def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (n[0] of them), then start[1], ..."""
-    ends = np.cumsum(n)
-    return np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(start - ends + n, n)
+class State(dict):
+    """A remembered state: character -> (the state after it, ids committed by it); words: the same for a word and its space.
+
+    pending: the characters since the last commit. alive: (boundary, score, path) of the boundaries that a piece
+    may still start from, counted from the last commit; a path is the (boundary, ids) of the pieces up to there.
+    """
+
+    __slots__ = ("pending", "alive", "machine", "words")
+
+    def __init__(self, pending: str, alive: list[tuple], machine: Machine):
+        self.pending, self.alive, self.machine, self.words = pending, alive, machine, None
+
+    def __missing__(self, c: str) -> tuple[State | Open, bytes]:
+        pieces, pending = self.machine.pieces, self.pending + c
+        if len(pending) > PENDING:
+            return Open(pending, self.machine), b""
+        known, prefixes, at = pieces.score, pieces.prefixes, len(pending)
+        top, alive = NEVER, []
+        for one in self.alive:  # the longest piece first, which wins ties
+            s = pending[one[0] :]
+            if s in known:
+                score, ids = known[s]
+                score += one[1]
+                if score > top:
+                    top, path = score, (*one[2], (at, ids))
+            if s in prefixes:
+                alive.append(one)
+        if top == NEVER:
+            cost, ids = pieces.spelled(c)
+            top, path = one[1] + cost, (*one[2], (at, ids))
+        alive.append((at, top, path))
+        out, k, first = b"", 0, alive[0][2]
+        while k < len(first) and all(one[2][k] == first[k] for one in alive):
+            out += first[k][1]
+            k += 1
+        if k:  # all surviving paths run through this boundary
+            m = first[k - 1][0]
+            pending = pending[m:]
+            alive = [(b - m, score, tuple([(x - m, ids) for x, ids in path[k:]])) for b, score, path in alive]
+        self[c] = step = self.machine.state(pending, alive), out
+        return step
+
+    def rest(self) -> bytes:
+        """The ids still pending, if the text ends here."""
+        return b"".join(ids for _, ids in self.alive[-1][2])
+
+
+class Open:
+    """A state with too much pending to be remembered: its surviving backpointers form a tree, changed in place.
+
+    up: boundary -> (score, boundary before, ids from there); down: boundary -> boundaries that point to it.
+    """
+
+    pending = words = None
+
+    def __init__(self, pending: str, machine: Machine):
+        self.machine, self.at, self.root, self.recent, self.alive = machine, 0, 0, "", [0]
+        self.up, self.down = {0: (0, 0, b"")}, {0: ()}
+        for c in pending:
+            self.push(c)
+
+    def __getitem__(self, c: str) -> tuple[State | Open, bytes]:
+        out = self.push(c)
+        n = self.at - self.root
+        return (self if n > PENDING // 2 else self.machine.resume(self.recent[len(self.recent) - n :])), out
+
+    def push(self, c: str) -> bytes:
+        up, down, pieces, root = self.up, self.down, self.machine.pieces, self.root
+        at = self.at = self.at + 1
+        recent = self.recent = (self.recent + c)[-pieces.keep :]
+        top, before, ids = NEVER, at - 1, None
+        alive, dead = [], []
+        for b in self.alive:
+            s = recent[b - at :]
+            if s in pieces.score:
+                score, own = pieces.score[s]
+                if score + up[b][0] > top:
+                    top, before, ids = score + up[b][0], b, own
+            (alive if s in pieces.prefixes else dead).append(b)
+        if ids is None:
+            cost, ids = pieces.spelled(c)
+            top = up[before][0] + cost
+        alive.append(at)
+        up[at], down[at] = (top, before, ids), ()
+        down[before] += (at,)
+        self.alive = alive
+        for b in dead:
+            while b != root and not down[b] and b not in alive:
+                del down[b]
+                gone, b = b, up.pop(b)[1]
+                down[b] = tuple(x for x in down[b] if x != gone)
+        out = b""
+        while len(down[root]) == 1 and root not in alive:
+            del up[root]
+            root = down.pop(root)[0]
+            out += up[root][2]
+        self.root = root
+        return out
+
+    def rest(self) -> bytes:
+        out, b = [], self.at
+        while b != self.root:
+            _, b, ids = self.up[b]
+            out.append(ids)
+        return b"".join(reversed(out))
+
+
+class Machine:
+    def __init__(self, vocabulary: dict):
+        self.pieces = Pieces(vocabulary)
+        self.states: dict[str, State] = {}
+        self.learnt = 0
+
+    def state(self, pending: str, alive: list[tuple]) -> State:
+        found = self.states.get(pending)
+        if found is None:
+            if len(self.states) >= REMEMBER:
+                self.forget()
+            found = self.states[pending] = State(pending, alive, self)
+        return found
+
+    def start(self) -> State:
+        return self.state("", [(0, 0, ())])
+
+    def resume(self, pending: str) -> State | Open:
+        """The state with this pending: what is pending determines it."""
+        at = self.start()
+        for c in pending:
+            at, _ = at[c]
+        return at
+
+    def forget(self) -> None:
+        """States point to each other in circles, so they are emptied rather than left to the collector."""
+        for s in self.states.values():
+            s.clear()
+        self.forget_words()
+        self.states = {}
+
+    def forget_words(self) -> None:
+        for s in self.states.values():
+            s.words = None
+        self.learnt = 0
+
+    def walk(self, at: State | Open, word: str) -> tuple[State | Open, bytes]:
+        """Over a word and its space, character by character."""
+        begin, every = at, b""
+        for c in chain(word, " "):
+            at, out = at[c]
+            every += out
+        if len(word) <= WORD and isinstance(begin, State) and isinstance(at, State):
+            if self.learnt >= REMEMBER:
+                self.forget_words()
+            self.learnt += 1
+            begin.words = begin.words or {}
+            begin.words[word] = at, every
+        return at, every
+
+    def stream(self, text: Iterable[str]) -> Iterator[bytes]:
+        """Packed ids of a text that comes in characters, as they are committed."""
+        at = self.start()
+        for c in text:
+            at, out = at[c]
+            if out:
+                yield out
+        yield at.rest()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        every: list[bytes] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            own = []
+            at, out = self.start()[" "]
+            *words, last = text.split(" ")
+            for w in words:
+                known = at.words
+                at, out = known[w] if known and w in known else self.walk(at, w)
+                own.append(out)
+            for c in last:
+                at, out = at[c]
+                own.append(out)
+            own.append(at.rest())
+            every.append(b"".join(own))
+            counts[i] = len(every[-1]) // 4
+        return np.frombuffer(b"".join(every), "<i4"), counts
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_ids, ids, ids_sha256 (of the ids as little-endian int32), round_trip of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
-    held: list[Viterbi] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Viterbi(shared.value))
-        v = held[0]
+        if HELD.get("model") != model:  # kept for the next task of this worker
+            HELD.update(model=model, machine=Machine(shared.value))
+        machine = HELD["machine"]
+        gc.disable()  # it would visit every remembered step again and again
         for batch in batches:
             column = batch.column("text").fill_null("")
             for lo, hi in blocks(column, 1 << 20):
                 part = column.slice(lo, hi - lo)
-                ids, counts = v.encode(part.to_pylist())
+                ids, counts = machine.encode(part.to_pylist())
                 offs = np.concatenate([[0], np.cumsum(counts)])
                 buf, at = buffers(part)
-                raw, ends = v.decode(ids, counts)
+                raw, ends = machine.pieces.decode(ids, counts)
                 same = [np.array_equal(raw[ends[i] : ends[i + 1]], buf[at[i] : at[i + 1]]) for i in range(hi - lo)]
                 data = ids.astype("<i4").tobytes()
                 digest = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(offs[:-1], offs[1:])]
                 arrays = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(counts), arrays, pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "ids_sha256", "round_trip"])
+        gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, ids_sha256 string, round_trip boolean")
 
@@ -276,10 +323,10 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Viterbi(shared.value)
+        pieces = Pieces(shared.value)
         for batch in batches:
             column = batch.column("ids")
-            raw, offs = v.decode(column.flatten().to_numpy().astype(np.int64), np.diff(column.offsets.to_numpy()))
+            raw, offs = pieces.decode(column.flatten().to_numpy().astype(np.int64), np.diff(column.offsets.to_numpy()))
             texts = [raw[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 

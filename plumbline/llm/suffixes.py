@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, buffers, materialize, mix, parts, span_hash, text_or_empty
-from .pieces import _ranges
+from .common import ranges as _ranges
 
 LENGTH = 50
 GRAM = 20

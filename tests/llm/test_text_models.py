@@ -111,39 +111,50 @@ def test_production_band_is_fitted_to_the_language(spark):
 
 
 @pytest.fixture(scope="module")
-def viterbi():
-    return pieces.Viterbi(pieces.load_vocabulary())
+def machine():
+    return pieces.Machine(pieces.load_vocabulary())
 
 
-def best_score(v, text):
-    best = [0.0]
+def brute_ids(p, text):
+    """The whole lattice of a text, solved at once; the longest piece wins ties."""
+    best, back = [0], [None]
     for j in range(1, len(text) + 1):
-        top = max((best[j - n] + v.score[text[j - n : j]][0] for n in range(1, min(j, v.longest) + 1) if text[j - n : j] in v.score), default=None)
-        best.append(best[j - 1] + pieces.BYTE_PENALTY * len(text[j - 1].encode()) if top is None else top)
-    return best[-1]
-
-
-def score_of(v, ids):
-    by_id = {i: s for s, i in v.score.values()}
-    return sum(by_id.get(int(i), pieces.BYTE_PENALTY) for i in ids)
-
-
-def test_viterbi_is_optimal_streams_and_round_trips(viterbi):
+        found = [(best[j - n] + p.score[text[j - n : j]][0], n, p.score[text[j - n : j]][1]) for n in range(1, min(j, p.longest) + 1) if text[j - n : j] in p.score]
+        if found:
+            top = max(found, key=lambda x: x[:2])
+        else:
+            cost, ids = p.spelled(text[j - 1])
+            top = best[j - 1] + cost, 1, ids
+        best.append(top[0])
+        back.append(top[1:])
+    out, j = [], len(text)
+    while j:
+        n, ids = back[j]
+        out.append(ids)
+        j -= n
+    return np.frombuffer(b"".join(reversed(out)), "<i4")
+
+
+def test_stream_equals_the_whole_lattice_and_round_trips(machine, monkeypatch):
     rng = random.Random(9)
-    texts = ["", " ", "Hello  world", "naïve ▁ \U0001f600\n\ttab\r\n", "thnterti eandble", "x" * 200, "   lead", "日本語" * 40]
+    texts = ["", " ", "Hello  world", "naïve ▁ \U0001f600\n\ttab\r\n", "thnterti eandble", "x" * 200, "=" * 5000 + " a " + "-=" * 300, "   lead", "日本語" * 40]
     texts += ["".join(rng.choice("etaoin shrdlu\n.é▁,") for _ in range(rng.randint(1, 120))) for _ in range(60)]
-    ids, counts = viterbi.encode(texts)
-    raw, offs = viterbi.decode(ids, counts)
-    cuts = np.concatenate([[0], np.cumsum(counts)])
-    for i, t in enumerate(texts):
-        own = ids[cuts[i] : cuts[i + 1]]
-        assert raw[offs[i] : offs[i + 1]].tobytes().decode() == t
-        if t:
-            assert list(viterbi.stream(" " + t)) == own.tolist()
-            assert math.isclose(score_of(viterbi, own), best_score(viterbi, " " + t), rel_tol=1e-9)
-
-
-def test_window_stays_bounded(viterbi):
+    texts += ["".join(rng.choice("= -") for _ in range(400)), "abc def " * 50, "abc def " * 50]
+    for remember in (pieces.REMEMBER, 40):  # with so few, everything is forgotten again and again
+        monkeypatch.setattr(pieces, "REMEMBER", remember)
+        machine.forget()
+        ids, counts = machine.encode(texts)
+        raw, offs = machine.pieces.decode(ids, counts)
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        for i, t in enumerate(texts):
+            own = ids[cuts[i] : cuts[i + 1]]
+            assert raw[offs[i] : offs[i + 1]].tobytes().decode() == t
+            if t:
+                assert own.tolist() == brute_ids(machine.pieces, " " + t).tolist(), t[:40]
+                assert b"".join(machine.stream(" " + t)) == own.tobytes()
+
+
+def test_ids_are_committed_while_the_text_still_runs(machine):
     read = 0
 
     def chars():
@@ -152,8 +163,19 @@ def test_window_stays_bounded(viterbi):
             read += 1
             yield c
 
-    first = next(viterbi.stream(chars()))
-    assert first >= 0 and read <= 4 * viterbi.longest
+    first = next(machine.stream(chars()))
+    assert first and read <= 4 * machine.pieces.longest
+
+
+def test_memory_is_bounded(machine, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(pieces, "REMEMBER", 100)
+    machine.forget()
+    machine.encode(["".join(rng.choice("abcdefgh ") for _ in range(20_000))])
+    assert len(machine.states) <= 100 and machine.learnt <= 100
+    machine.forget()
+    machine.encode(["=" * 50_000])
+    assert all(len(s) <= pieces.PENDING for s in machine.states)
 
 
 def test_encode_decode_over_tables(spark):
