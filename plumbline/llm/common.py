@@ -44,6 +44,14 @@ def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{n}: {t}' for n, t in (c.split() for c in ddl.split(',')))}>>")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

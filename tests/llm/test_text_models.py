@@ -43,24 +43,36 @@ def test_stats_equal_brute_force(spark):
     assert kneser.quality(empty(spark)).count() == 0
 
 
-def brute_model(texts):
-    """Modified Kneser-Ney with dictionaries: probability of a folded character after three others."""
-    grams = {}
+def fold_of(lang, text):
+    return int(hashlib.sha256(f"{lang}\x00{text}".encode()).hexdigest()[0], 16) & 1
+
+
+def brute_discounts(counts):
+    c = [sum(n == i for n in counts) for i in range(1, 5)]
+    if min(c) == 0:
+        return [0, 0.5, 1.0, 1.5]
+    y = c[0] / (c[0] + 2 * c[1])
+    raw = [1 - 2 * y * c[1] / c[0], 2 - 3 * y * c[2] / c[1], 3 - 4 * y * c[3] / c[2]]
+    return [0, *(min(max(v, 0.05), i + 0.95) for i, v in enumerate(raw))]
+
+
+def brute_model(texts, letters):
+    """Modified Kneser-Ney with dictionaries: probability of a character after four others."""
+    levels = {5: {}}
     for t in texts:
-        c = [0, 0, 0, *kneser.folded(t).tolist()]
-        for i in range(3, len(c)):
-            g = tuple(c[i - 3 : i + 1])
-            grams[g] = grams.get(g, 0) + 1
-    levels = {4: grams}
-    for k in (3, 2, 1):
+        padded = "\x02" * 4 + t
+        for i in range(len(t)):
+            g = padded[i : i + 5]
+            levels[5][g] = levels[5].get(g, 0) + 1
+    for k in (4, 3, 2, 1):
         levels[k] = {}
         for g in levels[k + 1]:
             levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
-    discounts = {k: kneser._discounts(np.array(list(v.values()))) for k, v in levels.items()}
+    discounts = {k: brute_discounts(list(v.values())) for k, v in levels.items()}
 
     def p(g):
         if not g:
-            return 1 / 64
+            return 1 / letters
         level, d = levels[len(g)], discounts[len(g)]
         same = [n for h, n in level.items() if h[:-1] == g[:-1]]
         if not same:
@@ -71,37 +83,54 @@ def brute_model(texts):
     return p
 
 
-def test_model_equals_dictionaries(spark):
+def score_with(p, text):
+    padded = "\x02" * 4 + text
+    return -sum(math.log(p(padded[i : i + 5])) for i in range(len(text))) / len(text)
+
+
+def test_each_fold_is_scored_by_the_other_folds_model(spark, monkeypatch):
     rng = random.Random(3)
-    texts = ["".join(rng.choice("abcd ef.") for _ in range(rng.randint(1, 60))) for _ in range(25)]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    p = brute_model(texts)
-    assert math.isclose(sum(p((2, 3, 4, c)) for c in range(64)), 1, rel_tol=1e-9)
-    rows = {r["doc_id"]: r["score"] for r in kneser.quality(docs).collect()}
-    for i, t in enumerate(texts):
-        c = [0, 0, 0, *kneser.folded(t).tolist()]
-        want = -sum(math.log(p(tuple(c[j - 3 : j + 1]))) for j in range(3, len(c))) / len(t)
-        assert abs(rows[i] - want) < 1e-4
-
-
-def test_bands_reject_noise_and_keep_prose(spark):
-    rng = random.Random(4)
-    words = ["the", "river", "of", "stone", "and", "water", "ran", "under", "a", "bridge", "near", "town", "while", "children", "played"]
-    prose = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(120)]
-    prose = [t for t in prose if brute_stats(t)[4] <= 0.2 * 80]
-    noise = ["".join(rng.choice("qxzjkvwpQXZ#@!0189") + rng.choice(["", " "]) for _ in range(300)) for _ in range(3)]
-    docs = awkward(spark, [*prose, *noise])
-    kept = {r["doc_id"] for r in kneser.keep(docs, slack=0.35).collect()}  # three texts of noise are part of so small a corpus' own model
-    assert set(range(len(prose))) <= kept and not kept & set(range(len(prose), len(prose) + 3))
-    assert kneser.keep(docs).columns == docs.columns
+    texts = {"en": ["".join(rng.choice("abcd ef.\U0001f600字") for _ in range(rng.randint(1, 60))) for _ in range(25)]}
+    texts["zh"] = ["".join(rng.choice("日本語の文字列") for _ in range(rng.randint(5, 30))) for _ in range(12)]
+    rows = [(i, t, lang) for lang in texts for i, t in enumerate(texts[lang], 100 * len(lang) + 1000 * (lang == "zh"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(kneser, "RANGE", 300)  # several ranges
+    whole = {r["doc_id"]: r["score"] for r in kneser.quality(docs).collect()}
+    sliced = {r["doc_id"]: r["score"] for r in kneser.quality(docs, slice_bytes=300 * 16).collect()}  # several slices
+    for lang in texts:
+        letters = len(set("".join(texts[lang])))
+        models = [brute_model([t for t in texts[lang] if fold_of(lang, t) != f], letters) for f in (0, 1)]
+        assert math.isclose(sum(models[0]("abcd"[:4] + c) for c in set("".join(texts["en"]))), 1, rel_tol=1e-9) or lang != "en"
+        for i, t, of in rows:
+            if of == lang:
+                want = score_with(models[fold_of(lang, t)], t)
+                assert abs(whole[i] - want) < 1e-4 and abs(sliced[i] - want) < 1e-4
+
+
+def test_counts_do_not_depend_on_stretches_or_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcde fg") for _ in range(n)) for n in (3, 500, 41, 2000, 1)]
+    counter, small = kneser.Counter("en"), kneser.Counter("en")
+    counter.add(texts, 0)
+    monkeypatch.setattr(kneser, "STRETCH", 37)
+    small.add(texts, 0)
+    want = {}
+    for t in texts:
+        padded = "\x02" * 4 + t
+        for i in range(len(t)):
+            want[padded[i : i + 5]] = want.get(padded[i : i + 5], 0) + 1
+    for c in (counter, small):
+        assert {r["gram"]: r["n0"] for r in c.rows().to_pylist()} == want and not c.counts[:, 1].any()
+
+
+WORDS = ["the", "river", "of", "stone", "and", "water", "ran", "under", "a", "bridge", "near", "town", "while", "children", "played"]
 
 
-def test_production_band_is_fitted_to_the_language(spark):
+def test_production_band_rejects_noise_and_keeps_prose(spark):
     rng = random.Random(4)
-    words = ["the", "river", "of", "stone", "and", "water", "ran", "under", "a", "bridge", "near", "town", "while", "children", "played"]
-    prose = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(250)]
+    prose = [" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(250)]
     prose = [t for t in prose if brute_stats(t)[4] <= 0.2 * 80]
-    prose += [" ".join(rng.sample(words, 10)) for _ in range(10)]
+    prose += [" ".join(rng.sample(WORDS, 10)) for _ in range(10)]
     noise = ["".join(rng.choice("qxzjkvwpQXZ#@!0189") + rng.choice(["", " "]) for _ in range(300)) for _ in range(3)]
     texts = [*prose, *noise, *(a[: len(a) // 2] + b[: len(b) // 2] for a, b in zip(prose, noise))]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(9000 + i, prose[0], "aa") for i in range(8)] + [(9100, prose[1], "aa")], "doc_id long, text string, lang string")
@@ -110,6 +139,29 @@ def test_production_band_is_fitted_to_the_language(spark):
     assert {i for i in rows if not rows[i]["kept"]} == set(range(len(prose), len(texts)))
 
 
+def test_band_works_beyond_latin(spark):
+    rng = random.Random(6)
+    phrases = ["河水", "流过", "石桥", "孩子们", "在", "村庄", "附近", "玩耍", "的", "和"]
+    common = "".join(phrases)
+    prose = [" ".join("".join(rng.choice(phrases) for _ in range(4)) for _ in range(40)) for _ in range(250)]
+    junk = [" ".join("".join(rng.choice(common) for _ in range(8)) for _ in range(40)) for _ in range(3)]  # the same characters, shuffled
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate([*prose, *junk])], "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in kneser.quality(docs).collect()}
+    assert {i for i in rows if not rows[i]["kept"]} == set(range(len(prose), len(prose) + 3))
+
+
+def test_keep_returns_whole_rows_under_any_names(spark):
+    rng = random.Random(4)
+    prose = [" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(60)]
+    docs = awkward(spark, prose).selectExpr("*", "doc_id AS rejected", "1 AS rejected_", "'x' AS __key", "2 AS fold", "3 AS score", "4 AS lang0", "5 AS part")
+    kept = kneser.keep(docs)
+    assert kept.columns == docs.columns
+    want = {r["doc_id"] for r in kneser.quality(docs).collect() if r["kept"]}
+    got = kept.collect()
+    assert {r["doc_id"] for r in got} == want and all(r["__key"] == "x" and r["rejected"] == r["doc_id"] for r in got)
+    assert kneser.keep(empty(spark)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def machine():
     return pieces.Machine(pieces.load_vocabulary())
