@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, materialize, mix, parts, shingles, span_hash, words
+from .common import blocks, buffers, free_name, materialize, mix, parts, shingles, span_hash, words
 
 WIDTH = 5
 PERMUTATIONS = 64
@@ -223,5 +223,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, in their own columns."""
-    gone = materialize(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "dropped")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = materialize(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
