@@ -2,18 +2,24 @@
 
 Fixed patterns give the base spans (email, ip, card, phone). They seed the bootstrap: base spans,
 and all other tokens of at least six characters with four digits or an @, are instances; the one and the
-two words before them are lexical patterns. On the graph of patterns and instances, scores are updated in turn: a pattern's confidence for a
-kind is the share of its occurrences whose instance is believed to be of the kind; an instance's belief is
-the mean confidence of its occurrences' patterns, and 1 for seeds. Patterns below `least_confidence`, or
-with fewer than `least_seeds` different believed instances, count for nothing. After `rounds` rounds the
-tokens behind confident patterns become spans of that kind; those that touch a base span never do.
+two whole words before the word that an instance begins in, lower-cased, are its lexical patterns, for seeds and
+candidates alike. On the graph of patterns and instances, scores are updated in turn:
+
+* A pattern's confidence for a kind is the belief in its instances, as a mean over the pattern's occurrences.
+  Patterns below `least_confidence`, or with fewer than `least_seeds` different believed instances, count 0.
+* An occurrence takes the more confident of its two patterns (ties: the kind listed first). An instance's belief
+  is the mean of that over all its occurrences, so one that mostly stands elsewhere is refused; seeds keep 1.
+
+After `rounds` rounds, occurrences of believed instances that stand behind a confident pattern of the same kind
+become spans of that kind; those that touch a base span never do.
 
 Scanning happens once; the graph is built from its result, a narrow table in the shared folder. A pattern
 or instance that holds a third of all occurrences is one row per partition after the partial aggregation.
 
 Nulls: a null text is empty and has no spans; a null doc_id stays. Repeated rows are scanned one by one and
-count one by one in the graph. Tables may be empty; other columns are ignored by `pii_spans` and kept by
-`redact`.
+count one by one in the graph. Very long texts are scanned whole, words of any length kept whole. Ties between
+kinds go to the one listed first. Tables may be empty; other columns are ignored by `pii_spans` and kept by
+`redact`, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,84 +67,112 @@ def base_spans(text: Column) -> Column:
 
 
 INSTANCES = "array<struct<s:int,e:int,token:string,one:string,two:string,o:int>>"
+WORDS = "array<struct<ws:int,we:int,s:int,e:int,token:string,one:string,two:string,ok:boolean>>"
 
 
-def instance(s: Column, e: Column, token: Column, before: Column, o: Column) -> Column:
+def instance(s: Column, e: Column, token: Column, one: Column, two: Column, o: Column) -> Column:
     """One place in a text, with the one and the two words before it."""
-    tail = F.lower(F.substring(before, F.lit(-64), F.lit(64)))
-    one, two = F.regexp_extract(tail, r"(\S+)\s+$", 1), F.regexp_extract(tail, r"(\S+\s+\S+)\s+$", 1)
-    return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), F.lower(token).alias("token"), one.alias("one"), two.alias("two"), o.cast("int").alias("o"))
+    one, two = (F.coalesce(x, F.lit("")).alias(n) for x, n in ((one, "one"), (two, "two")))
+    return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), F.lower(token).alias("token"), one, two, o.cast("int").alias("o"))
 
 
-def tokens(text: Column) -> Column:
-    """Tokens that may be identifiers, of no kind yet."""
+def marked_words(text: Column) -> Column:
+    """All words with a digit or @: where they are, what is left without marks around it, and the words before."""
     matches = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(INSTANCES).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(WORDS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["gap"])
         e = s + F.length(x["m"])
+        before = F.reverse(F.concat(acc["tail"], x["gap"]))
+        last, other = (F.lower(F.reverse(F.regexp_extract(before, r"^\s+(\S+)(?:\s+(\S+))?", g))) for g in (1, 2))
         bare = F.regexp_replace(x["m"], r"^[\"'(\[<]+|[\"')\]>.,;:!?]+$", "")
         lead = F.length(F.regexp_extract(x["m"], r"^[\"'(\[<]*", 0))
-        new = instance(s + lead, s + lead + F.length(bare), bare, x["gap"], F.lit(None))
         ok = (F.length(bare) >= 6) & ((F.length(digits(bare)) >= 4) | F.contains(bare, F.lit("@")))
-        return F.struct(F.coalesce(e, s).cast("int").alias("at"), F.when(ok, F.array_append(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+        two = F.when(other != "", F.concat(other, F.lit(" "), last)).otherwise("")
+        new = F.struct(s.alias("ws"), e.alias("we"), (s + lead).alias("s"), (s + lead + F.length(bare)).alias("e"), bare.alias("token"), last.alias("one"), two.alias("two"), ok.alias("ok"))
+        return F.struct(
+            F.coalesce(e, s).cast("int").alias("at"),
+            F.coalesce(F.concat(last, F.lit(" "), x["m"]), F.lit("")).alias("tail"),
+            F.when(x["m"].isNotNull(), F.array_append(acc["out"], new)).otherwise(acc["out"]).cast(WORDS).alias("out"),
+        )
 
     zipped = F.transform(F.arrays_zip(matches.alias("m"), F.split(text, TOKEN, -1).alias("gap")), lambda z: F.struct(z["m"].alias("m"), z["gap"].alias("gap")))
-    return F.when(text.rlike(TOKEN), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(INSTANCES))
+    return F.when(text.rlike(TOKEN), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(WORDS))
 
 
 def scan(docs: DataFrame, *keys: Column) -> DataFrame:
     """The keys, base, and t: base spans and other tokens as instances, of every row, as a narrow table."""
     names = [f"k{i}" for i in range(len(keys))]
     text = text_or_empty()
-    found = docs.select(*(k.alias(n) for k, n in zip(keys, names)), text.alias("text"), base_spans(text).alias("base"), tokens(text).alias("t"))
-    seeds = F.transform("base", lambda b: instance(b["s"], b["e"], b["value"], F.substring(F.col("text"), F.greatest(b["s"] - 63, F.lit(1)), F.least(b["s"], F.lit(64))), b["o"]))
-    apart = F.filter("t", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"])))
-    return materialize(found.select(*names, "base", F.concat(seeds, apart).alias("t")), "pii-scan")
-
-
-def confident_patterns(scanned: DataFrame, least_confidence: float = 0.6, least_seeds: int = 3, rounds: int = 2) -> DataFrame:
-    """pattern, o: what the bootstrap has learnt."""
-    each = scanned.select(F.explode("t").alias("t")).select("t.token", "t.o", F.explode(F.array_distinct(F.array("t.one", "t.two"))).alias("pattern")).where("pattern <> ''")
-    edges = materialize(each.groupBy("pattern", "token").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o")), "pii-graph")
-    seeds = edges.where("o is not null").groupBy("token").agg(F.min("o").alias("o")).select("token", "o", F.lit(1.0).alias("belief"))
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") >= least_seeds)
-    believed, good = seeds, None
+    found = docs.select(*(k.alias(n) for k, n in zip(keys, names)), base_spans(text).alias("base"), marked_words(text).alias("w"))
+
+    def seed(b: Column) -> Column:  # it has a digit or an @, so it begins in a marked word
+        word = F.try_element_at(F.filter("w", lambda w: (w["ws"] <= b["s"]) & (b["s"] < w["we"])), F.lit(1))
+        return instance(b["s"], b["e"], b["value"], word["one"], word["two"], b["o"])
+
+    apart = F.filter("w", lambda w: w["ok"] & ~F.exists("base", lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
+    others = F.transform(apart, lambda w: instance(w["s"], w["e"], w["token"], w["one"], w["two"], F.lit(None)))
+    return materialize(found.select(*names, "base", F.concat(F.transform("base", seed), others).cast(INSTANCES).alias("t")), "pii-scan")
+
+
+def judged(places: DataFrame, patterns: DataFrame) -> DataFrame:
+    """places (one, two, ...) with kind and belief: of the more confident pattern, null and 0 without one."""
+    behind = places
+    for side in ("one", "two"):
+        known = patterns.select(F.col("pattern").alias(side), F.col("o").alias(f"o_{side}"), F.col("confidence").alias(f"c_{side}"))
+        behind = behind.join(known, side, "left")
+    one, two = F.coalesce("c_one", F.lit(0.0)), F.coalesce("c_two", F.lit(0.0))
+    first = (one > two) | ((one == two) & (F.coalesce("o_one", F.lit(99)) <= F.coalesce("o_two", F.lit(99))))
+    return behind.withColumn("kind", F.when(first, F.col("o_one")).otherwise(F.col("o_two"))).withColumn("belief", F.greatest(one, two)).drop("o_one", "o_two", "c_one", "c_two")
+
+
+def bootstrap(scanned: DataFrame, least_confidence: float = 0.6, least_seeds: int = 3, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(pattern, o, confidence) and (token, o, belief): what has been learnt, seeds included in the second."""
+    each = scanned.select(F.explode("t").alias("t")).select("t.*")
+    places = materialize(each.groupBy("token", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o")), "pii-places")
+    links = places.select("token", "n", F.explode(F.array_distinct(F.array("one", "two"))).alias("pattern")).where("pattern <> ''").groupBy("pattern", "token").agg(F.sum("n").alias("n"))
+    links = materialize(links, "pii-graph")
+    seeds = materialize(places.where("o is not null").groupBy("token").agg(F.min("o").alias("o")).withColumn("belief", F.lit(1.0)), "pii-seeds")
+    totals = links.groupBy("pattern").agg(F.sum("n").alias("total"))
+    believed, patterns = seeds, None
     for _ in range(rounds):
-        hits = edges.drop("o").join(believed, "token").groupBy("pattern", "o").agg(F.sum(F.col("n") * F.col("belief")).alias("hit"), F.count(F.lit(1)).alias("seeds"))
+        hits = links.join(believed, "token").groupBy("pattern", "o").agg(F.sum(F.col("n") * F.col("belief")).alias("hit"), F.count(F.lit(1)).alias("seeds"))
         good = hits.where(F.col("seeds") >= least_seeds).join(totals, "pattern").withColumn("confidence", F.col("hit") / F.col("total"))
-        good = materialize(good.where(F.col("confidence") >= least_confidence).select("pattern", "o", "confidence"), "pii-patterns")
-        mean = edges.drop("o").join(good, "pattern", "left").groupBy("token", "o").agg(F.sum(F.col("n") * F.coalesce("confidence", F.lit(0.0))).alias("up"), F.sum("n").alias("n"))
-        learnt = mean.where(F.col("o").isNotNull() & (F.col("up") >= F.col("n") * least_confidence)).select("token", "o", (F.col("up") / F.col("n")).alias("belief"))
-        believed = learnt.unionByName(seeds).groupBy("token", "o").agg(F.max("belief").alias("belief"))
-    return good.groupBy("pattern").agg(F.max_by("o", F.struct("confidence", -F.col("o"))).alias("o"))
+        good = good.where(F.col("confidence") >= least_confidence).groupBy("pattern").agg(F.max(F.struct("confidence", -F.col("o"))).alias("best"))
+        patterns = materialize(good.select("pattern", (-F.col("best.col2")).alias("o"), F.col("best.confidence").alias("confidence")), "pii-patterns")
+        sums = [F.sum(F.when(F.col("kind") == i, F.col("n") * F.col("belief")).otherwise(0.0)).alias("up") for i in range(len(KINDS))]
+        means = judged(places, patterns).groupBy("token").agg(F.sum("n").alias("n"), *(c.alias(f"up{i}") for i, c in enumerate(sums)))
+        best = F.array_max(F.array(*(F.struct((F.col(f"up{i}") / F.col("n")).alias("belief"), F.lit(-i).alias("minus")) for i in range(len(KINDS)))))
+        learnt = means.select("token", best.alias("best")).where(F.col("best.belief") >= least_confidence).join(seeds, "token", "left_anti")
+        believed = materialize(learnt.select("token", (-F.col("best.minus")).alias("o"), F.col("best.belief").alias("belief")).unionByName(seeds), "pii-believed")
+    return patterns, believed
 
 
-def added_spans(scanned: DataFrame, key: str, patterns: DataFrame) -> DataFrame:
-    """key, more: the spans that the learnt patterns add, for rows that have any."""
-    each = scanned.select(key, F.explode("t").alias("t")).where("t.o is null").select(key, "t.s", "t.e", "t.token", F.explode(F.array("t.one", "t.two")).alias("pattern")).where("pattern <> ''")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("o") + 1)
-    found = each.join(patterns, "pattern").groupBy(key, "s", "e", "token").agg(F.min("o").alias("o"))
-    return found.groupBy(key).agg(F.array_sort(F.collect_list(span(F.col("s"), F.col("o"), F.col("e"), kind, F.col("token")))).alias("more"))
+def added_spans(scanned: DataFrame, key: str, patterns: DataFrame, believed: DataFrame) -> DataFrame:
+    """key, more: the spans that the bootstrap adds, for rows that have any."""
+    each = scanned.select(key, F.explode("t").alias("t")).where("t.o is null").select(key, "t.s", "t.e", "t.token", "t.one", "t.two")
+    found = judged(each, patterns).where("kind is not null").join(believed.select("token", F.col("o").alias("kind")), ["token", "kind"])
+    name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
+    return found.groupBy(key).agg(F.array_sort(F.collect_list(span(F.col("s"), F.col("kind"), F.col("e"), name, F.col("token")))).alias("more"))
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """doc_id, base, more of every row: arrays of spans, sorted."""
     scanned = scan(docs, F.col("doc_id"), F.monotonically_increasing_id())
-    more = added_spans(scanned, "k1", confident_patterns(scanned))
+    more = added_spans(scanned, "k1", *bootstrap(scanned))
     return scanned.select("k1", "k0", "base").join(more, "k1", "left").select(F.col("k0").alias("doc_id"), "base", F.coalesce("more", F.array().cast(SPAN)).alias("more"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind. Learnt spans are found again by the text's hash."""
+    """docs with every span of text replaced by its kind. Rows find their spans by the text's hash."""
     key = F.sha2(text_or_empty(), 256)
     scanned = scan(docs, key)
-    more = added_spans(scanned.dropDuplicates(["k0"]), "k0", confident_patterns(scanned))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k0")).join(more, "k0", "left")
-    text = F.coalesce("row.text", F.lit(""))
-    spans = ordered(base_spans(text), F.coalesce("more", F.array().cast(SPAN)))
-    clean = F.when(F.col("row.text").isNotNull(), redacted(text, spans))
+    once = scanned.dropDuplicates(["k0"])
+    more = added_spans(once, "k0", *bootstrap(scanned))
+    spans = once.join(more, "k0", "left").select("k0", ordered(F.col("base"), F.coalesce("more", F.array().cast(SPAN))).alias("spans")).where(F.size("spans") > 0)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k0")).join(spans, "k0", "left")
+    clean = F.when(F.col("spans").isNotNull() & F.col("row.text").isNotNull(), redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
     return rows.select(*(clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 

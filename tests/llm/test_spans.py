@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -80,6 +81,120 @@ def test_bootstrap_learns_patterns_and_finds_the_unseen(spark):
     assert rows[8]["spans"] == ""
 
 
+def marked(text):
+    """Words with a digit or @, bare, with the one and the two words before them."""
+    out = []
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text)]
+    for i, (s, e, w) in enumerate(words):
+        if re.search("[0-9@]", w):
+            bare = re.sub(r"^[\"'(\[<]+|[\"')\]>.,;:!?]+$", "", w)
+            lead = len(re.match(r"[\"'(\[<]*", w)[0])
+            one = words[i - 1][2].lower() if i else ""
+            two = f"{words[i - 2][2]} {words[i - 1][2]}".lower() if i > 1 else ""
+            out.append((s, e, s + lead, s + lead + len(bare), bare, one, two))
+    return out
+
+
+def brute_bootstrap(texts, least=0.6, seeds_needed=3, rounds=2):
+    """The spans that the bootstrap adds to each text, with dictionaries."""
+    places = []  # text, s, e, token, one, two, kind of a seed
+    for n, text in enumerate(texts):
+        base = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in brute(text, pii.KINDS))]
+        words = marked(text or "")
+        for k, s, e in base:
+            w = next(w for w in words if w[0] <= s < w[1])
+            places.append((n, s, e, text[s:e].lower(), w[5], w[6], pii.KINDS.index(k)))
+        for w in words:
+            ok = len(w[4]) >= 6 and (len(re.sub("[^0-9]", "", w[4])) >= 4 or "@" in w[4])
+            if ok and not any(s < w[3] and e > w[2] for _, s, e in base):
+                places.append((n, w[2], w[3], w[4].lower(), w[5], w[6], None))
+    seeds = {}
+    for p in places:
+        if p[6] is not None:
+            seeds[p[3]] = min(seeds.get(p[3], 9), p[6])
+    believed, confident = {t: (o, 1.0) for t, o in seeds.items()}, {}
+
+    def best(p):
+        found = [(*confident[x],) for x in (p[4], p[5]) if x in confident]
+        return min(((-c, o) for o, c in found), default=None)
+
+    for _ in range(rounds):
+        total, hit, who = {}, {}, {}
+        for p in places:
+            for x in {p[4], p[5]} - {""}:
+                total[x] = total.get(x, 0) + 1
+                if p[3] in believed:
+                    o, b = believed[p[3]]
+                    hit[x, o] = hit.get((x, o), 0) + b
+                    who.setdefault((x, o), set()).add(p[3])
+        confident = {}
+        for (x, o), h in sorted(hit.items(), key=lambda i: i[0][1]):
+            c = h / total[x]
+            if len(who[x, o]) >= seeds_needed and c >= least and c > confident.get(x, (0, 0))[1]:
+                confident[x] = (o, c)
+        sums, count = {}, {}
+        for p in places:
+            count[p[3]] = count.get(p[3], 0) + 1
+            if got := best(p):
+                sums[p[3], got[1]] = sums.get((p[3], got[1]), 0) - got[0]
+        believed = {t: (o, 1.0) for t, o in seeds.items()}
+        for (t, o), v in sorted(sums.items(), key=lambda i: i[0][1]):
+            if t not in seeds and v / count[t] >= least - 1e-12 and v / count[t] > believed.get(t, (0, 0))[1]:
+                believed[t] = (o, v / count[t])
+    out = [[] for _ in texts]
+    for p in places:
+        got = best(p)
+        if p[6] is None and got and believed.get(p[3], (None,))[0] == got[1]:
+            out[p[0]].append((p[1], got[1], f"{pii.KINDS[got[1]]}:{p[1]}:{p[2]}"))
+    return [[x for _, _, x in sorted(o)] for o in out]
+
+
+def bootstrap_texts():
+    rng = random.Random(12)
+    lead = ["ref 7 acct:", "please phone us on", "host", "write to", "see page", "the year", "in"]
+    values = {
+        "host": lambda: f"10.{rng.randint(0, 255)}.0.{rng.randint(1, 340)}",
+        "write to": lambda: rng.choice(["ann{0}@mail.org"] * 4 + ["bob{0}@internal", "({0}777@x)"]).format(rng.randint(1, 99)),
+        "please phone us on": lambda: rng.choice(["+1 (555) 555-0{0}"] * 3 + ["0555-4711-{0}"]).format(rng.randint(100, 999)),
+    }
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            at = rng.choice(lead)
+            parts.append(f"{at} {values.get(at, lambda: rng.choice(['20240229', '0555-4711-222', '4111111111111111', 'x1234567']))()}")
+        texts.append(" and ".join(parts))
+    return texts
+
+
+def test_bootstrap_equals_dictionaries(spark):
+    texts = bootstrap_texts()
+    want = brute_bootstrap(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    assert sum(map(len, want)) > 20
+    for i, text in enumerate(texts):
+        base = brute(text, pii.KINDS)
+        assert sorted(filter(None, rows[i]["spans"].split(","))) == sorted(base + want[i]), text
+        assert rows[i]["n_added"] == len(want[i])
+
+
+def test_seeds_and_candidates_have_the_same_patterns(spark):
+    long = "w" * 200  # a word longer than any window
+    seeds = [f"ref {i} acct{long}: +1 (555) 555-0{i}{i}{i} x" for i in range(1, 5)]
+    docs = spark.createDataFrame(list(enumerate([*seeds, f"ref 77 acct{long}: 5550-4712-1 x", f"in 99 acct{long}: 5550-4713-1 x", f"ref 7 other{long}: 5550-4714-1 x"])), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    assert [rows[i]["n_added"] for i in range(7)] == [0, 0, 0, 0, 1, 1, 0]
+
+
+def test_a_token_of_mixed_contexts_is_refused(spark):
+    seeds = [f"please phone us on +1 (555) 555-0{i}{i}{i} today" for i in range(1, 8)]
+    mixed = ["please phone us on 0555-4711-99 today", "part number 0555-4711-99 fits", "order 0555-4711-99 now", "please phone us on 0555-1111-88 today"]
+    docs = spark.createDataFrame(list(enumerate([*seeds, *mixed])), "doc_id long, text string")
+    rows = {r["doc_id"]: r["n_added"] for r in pii.report(docs).collect()}
+    assert [rows[i] for i in range(7, 11)] == [0, 0, 0, 1]
+
+
 def test_redact_keeps_rows_and_columns(spark):
     docs = awkward(spark, [*TEXTS, *[f"please phone us on +1 (555) 555-0{i}{i}{i} today" for i in range(1, 8)], "please phone us on 0555-4711-99 today"])
     clean = pii.redact(docs)
