@@ -4,11 +4,15 @@ Fixed patterns give the base spans (assign, access, hex); long tokens that mix u
 digits are further candidates. Each candidate's value is hashed, and the hashes are aggregated over the
 corpus by distinct repositories (here: doc_id) and owners (here: source), one level after the other, so a
 value that is copied everywhere is one row per partition. A value seen with at least `example_owners`
-owners or in at least `example_repos` repositories is a widely copied example; others look live. Further
-candidates become spans (kind token) only where one owner has them; base spans stay in any case.
+owners or in at least `example_repos` repositories is a widely copied example; others look live.
+
+The verdict becomes spans of its own over the values: `live` for each value that looks live, `example` for the
+others where a base span holds them. Further candidates that are widely copied are no secrets and get none. Base
+spans stay in any case, and a value that two patterns found has one verdict span.
 
 Nulls: a null text is empty; a null owner or repository counts as one of its own. Repeated rows are scanned
-one by one and do not raise the distinct counts. Tables may be empty; other columns are ignored.
+one by one and do not raise the distinct counts. Very long texts are scanned whole. Counts that equal a threshold
+reach it. Tables may be empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
 from .pii import counts
-from .spans import SPAN, find, joined, ordered
+from .spans import SPAN, find, joined, ordered, span
 
 # The kinds, in this order.
 KINDS = ["assign", "access", "hex"]
@@ -38,23 +42,25 @@ def mixed(m: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_owners: int = 3, example_repos: int = 10) -> DataFrame:
-    """doc_id, base, more, n_live, n_example of every row."""
+    """doc_id, base, more (the verdicts' spans) of every row."""
     text = text_or_empty()
-    found = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(owner).alias("owner"), F.col(repo).alias("repo"), base_spans(text).alias("base"), find(text, LONG, "token", 3, mixed).alias("long"))
+    found = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(owner).alias("owner"), F.col(repo).alias("repo"), base_spans(text).alias("base"), find(text, LONG, "token", len(KINDS), mixed).alias("long"))
     apart = F.filter("long", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"])))
     scanned = materialize(found.withColumn("long", apart), "secret-scan")
     each = scanned.select("rid", "owner", "repo", F.explode(F.concat("base", "long")).alias("x"))
     value = F.when(F.col("x.kind") == "assign", F.regexp_extract("x.value", ASSIGN, 1)).otherwise(F.col("x.value"))
-    each = each.select("rid", "owner", "repo", "x", F.sha2(value, 256).alias("hash"))
+    each = each.withColumn("value", value).select("rid", "owner", "repo", (F.col("x.e") - F.length("value")).alias("s"), F.col("x.e").alias("e"), (F.col("x.kind") != "token").alias("sure"), F.sha2("value", 256).alias("hash"))
     by_repo = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     spread = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.join(spread, "hash").withColumn("example", (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos))
-    new = F.when((F.col("x.kind") == "token") & (F.col("owners") == 1) & ~F.col("example"), F.col("x"))
-    by_row = judged.groupBy("rid").agg(F.array_sort(F.collect_list(new)).alias("more"), F.sum(F.when(F.col("example"), 0).otherwise(1)).alias("n_live"), F.sum(F.when(F.col("example"), 1).otherwise(0)).alias("n_example"))
-    return scanned.select("rid", "doc_id", "base").join(by_row, "rid", "left").select("doc_id", "base", F.coalesce("more", F.array().cast(SPAN)).alias("more"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+    copied = spread.where((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)).select("hash", F.lit(True).alias("copied"))
+    judged = each.join(copied, "hash", "left").where("copied is null or sure")
+    place = F.when(F.col("copied"), len(KINDS) + 1).otherwise(len(KINDS))
+    verdict = span(F.col("s"), place, F.col("e"), F.when(F.col("copied"), "example").otherwise("live"), F.col("hash"))
+    by_row = judged.groupBy("rid").agg(F.array_sort(F.collect_set(verdict)).alias("more"))
+    return scanned.select("rid", "doc_id", "base").join(by_row, "rid", "left").select("doc_id", "base", F.coalesce("more", F.array().cast(SPAN)).alias("more"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     base = F.col("base")
-    return secret_spans(docs).select("doc_id", *counts(base, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(ordered(base, F.col("more"))).alias("spans"), "n_live", "n_example")
+    return secret_spans(docs).select("doc_id", *counts(base, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(ordered(base, F.col("more"))).alias("spans"), *counts(F.col("more"), ["live", "example"]))
