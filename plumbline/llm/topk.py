@@ -8,7 +8,9 @@ ties at it the smallest ids. A histogram row is a query's bin, at most `BINS` pe
 Nulls: vectors that are null, or hold null or non-finite components, and rows without an id take no part. A
 shorter vector counts as ending in zeros. A query's own id is no candidate for it; rows that repeat an id
 are candidates of their own and, as queries, count once. Fewer than k candidates: all are returned. Ties go
-to the smaller id. Empty tables give no rows; other columns are ignored.
+to the smaller id. Scores are exact whole numbers whatever the components; one beyond `TOP` (2^62 - 1, either
+way) counts as TOP. A component whose 256-fold is beyond doubles counts as non-finite. Very long vectors make
+blocks of fewer rows. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, parts
 
 DIGIT = 6
 BINS = 1 << DIGIT
 BLOCK = 2048
 QUERIES = 256
+SHARE = 16
+TOP = (1 << 62) - 1
 PACKED = "ids binary, vecs binary, dim int"
 
 
@@ -43,12 +47,22 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores (queries x vectors) as whole numbers; a query's own id gets the least."""
     dim = row["dim"]
     v_ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-    v, q = np.frombuffer(row["vecs"]).reshape(-1, dim), np.frombuffer(row["q_vecs"]).reshape(-1, dim)
-    s = np.rint(q @ v.T).astype(np.int64)
+    s = products(np.frombuffer(row["q_vecs"]).reshape(-1, dim), np.frombuffer(row["vecs"]).reshape(-1, dim))
     s[q_ids[:, None] == v_ids[None, :]] = np.iinfo(np.int64).min
     return q_ids, v_ids, s
 
 
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """All inner products of whole numbers, exactly: in floating point, in 64 bits or in Python's integers, as the block's bound asks."""
+    bound = q.shape[1] * int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0))
+    if bound < 1 << 52:
+        return np.rint(q @ v.T).astype(np.int64)
+    if bound <= TOP:
+        return q.astype(np.int64) @ v.astype(np.int64).T
+    exact = np.vectorize(int, otypes=[object])
+    return np.clip(exact(q) @ exact(v).T, -TOP, TOP).astype(np.int64)
+
+
 def _histograms(shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,19 +102,20 @@ def _survivors(k: int):
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by query_every."""
     x = F.col("embedding")
-    whole = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
-    whole = whole.select("vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * 256).cast("double")).alias("q"))
+    scaled = lambda c: c.cast("double") * 256
+    floor = lambda y: F.when(F.abs(y) >= 2.0**52, y).otherwise(F.floor(y).cast("double"))  # noqa: E731  (beyond, doubles are whole)
+    whole = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(scaled(c)) == float("inf"))))
+    whole = whole.select("vec_id", F.transform(x, lambda c: floor(scaled(c))).alias("q"))
     most, dim, count = whole.agg(F.max(F.array_max(F.transform("q", lambda c: F.abs(c)))), F.max(F.size("q")), F.count(F.lit(1))).first()
     dim, count = max(dim or 1, 1), count or 0
-    bound = int((most or 0) ** 2 * dim)
-    if bound >= 2**52:
-        raise ValueError("scores beyond 2^52 are not exact in floating point")
+    bound = min(int(most or 0) ** 2 * dim, TOP)
+    block = max(1, min(BLOCK, (64 << 20) // (8 * dim)))
     passes = max(1, -(-(2 * bound + 1).bit_length() // DIGIT))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(lo, BLOCK)
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
                 ids, m = part.column("vec_id").to_numpy().astype(np.int64), _matrix(part.column("q"), dim)
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([dim], pa.int32())], ["ids", "vecs", "dim"])
 
@@ -111,7 +126,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50) -> DataFrame:
                 cols = [part.column("vec_id").to_numpy().astype(np.int64), _matrix(part.column("q"), dim), part.column("lo").to_numpy().astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["q_ids", "q_vecs", "lo"])
 
-    groups = max(1, -(-count // BLOCK))
+    # every group of vector blocks gets all query blocks: the larger the groups, the less is copied
+    groups = max(1, -(-count // (block * SHARE)), min(-(-count // block), parts(vectors.sparkSession)))
     packed = materialize(whole.mapInArrow(pack, PACKED).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), "topk-vectors")
     queries = materialize(whole.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"]), "topk-queries")
     n_blocks = max(1, -(-count // query_every // QUERIES))
