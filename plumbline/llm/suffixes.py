@@ -10,18 +10,22 @@ strings with one anchor are a stretch of the text around it, the suffix with its
    several documents go back to their documents. What a chunk of a task repeats by itself goes there at once.
 3. There they become suffix records. Equal stretches collapse to one with the smallest doc_id (partial
    aggregation, so a passage of a third of all documents is one row a task). What is left is range-partitioned
-   by the suffixes' leading GRAM bytes, with splitters that Spark samples; buckets sort their strings by
+   by the suffixes' leading tokens, with splitters that Spark samples; buckets sort their strings by
    leading 8-byte token, then by a 64-bit hash of the rest (so strings are grouped, not in suffix order), and
-   compare neighbours byte by byte. A splitter lies between
-   different leading grams, and a gram is shorter than a string, so no equal strings stand on two sides of a
-   boundary, which is what comparing across boundaries has to settle. A lead that more than about `CROWD`
-   stretches share (a common line in many contexts) is more than a block holds: its strings are dealt by all
-   their bytes instead. Which way a lead goes is told from a sixteenth of its stretches; both ways are exact.
-4. Each stretch's smallest doc_id per string goes back to all its documents by a join on its digest.
+   compare neighbours byte by byte. A splitter lies between different leads, and a lead is shorter than a
+   string, so no equal strings stand on two sides of a boundary, which is what comparing across boundaries has
+   to settle.
+4. A lead of more than about `CROWD` stretches (a common line in many contexts) is partitioned further as
+   multikey quicksort would, by more bytes: a string's anchor lies `o` bytes after its start, equal strings have
+   equal `o`, and strings with `o` in [a, b] share a lead of 50 - (b - a) bytes around the anchor. So such a
+   stretch is cut in two halves of its `o`, each with a longer lead; equal halves collapse, and the halves are
+   dealt anew, down to single strings if need be. The size only says when to cut; how strings are compared is the
+   same for all. It is estimated from one stretch in `SPOT`.
+5. Each stretch's smallest doc_id per string goes back to all its documents by joins on its digest.
 
 Matches never cross documents and are judged on the input. Nulls: a null text is empty; a row with a null
-doc_id neither loses bytes nor makes others lose any. Rows that share a doc_id don't cut each other. An
-empty table gives no rows; other columns are ignored.
+doc_id neither loses bytes nor makes others lose any. Rows that share a doc_id don't cut each other. A very long
+text is a block of its own, never cut. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +47,10 @@ GRAM = 20
 LOW = np.uint64((1 << 48) - 1)
 HOLD = 4 << 20
 STRINGS = 1 << 20
-CROWD = STRINGS // 16
+CROWD = 4096
 SPOT = 16
+SALTS = 16
+PART_BYTES = 16 << 20
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +189,7 @@ def _key(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
     return mix(mix(ids.astype(np.uint64)) ^ (x & LOW))
 
 
-SEGMENTS = "doc_id long, rid long, start int, lead binary, content binary"
+SEGMENTS = "doc_id long, rid long, start int, at int, lead binary, content binary"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +216,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = known[at] == key if len(known) else np.zeros(len(key), bool)
             start, end, place, row = start[hit], end[hit], place[hit], row[hit]
             size = end - start + LENGTH
-            cols = [pa.array(doc_ids[lo + row]), pa.array(rids[lo + row]), pa.array((start - offs[row]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*cols, _binary(buf, place, np.full(len(place), GRAM)), _binary(buf, start, size)], ["doc_id", "rid", "start", "lead", "content"])
+            cols = [pa.array(doc_ids[lo + row]), pa.array(rids[lo + row]), pa.array((start - offs[row]).astype(np.int32)), pa.array((place - start).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*cols, _binary(buf, place, np.full(len(place), GRAM)), _binary(buf, start, size)], ["doc_id", "rid", "start", "at", "lead", "content"])
 
 
 def _binary(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -297,27 +303,51 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "rid", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of every stretch, with its place in it."""
+HALVES = "whole_one long, whole_two long, shift int, a int, b int, at int, first long, lead binary, content binary"
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches with anchors a to b bytes after their strings' starts, cut in the middle of that; shift: where a half begins."""
     for batch in batches:
         for lo, hi in blocks(batch.column("content")):
             part = batch.slice(lo, hi - lo)
             buf, offs = buffers(part.column("content"))
-            count = np.diff(offs) - LENGTH + 1
-            at = _ranges(offs[:-1], count)
-            row = pa.array(np.repeat(np.arange(len(count)), count))
-            own = [part.column(c).take(row) for c in ("one", "two", "first")]
-            place = pa.array((at - offs[row.to_numpy()]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*own, place, _binary(buf, at, np.full(len(at), LENGTH))], ["one", "two", "first", "place", "string"])
-
-
-def crowded_runs(stretches: DataFrame) -> DataFrame:
-    """What _compare gives, for leads that too many stretches share: dealt by whole strings, partially aggregated."""
-    each = stretches.select("one", "two", "first", "content").mapInArrow(_strings, "one long, two long, first long, place int, string binary")
-    each = materialize(each, "crowded-strings")
-    least = each.groupBy("string").agg(F.min("first").alias("first"))
-    found = each.drop("first").join(least, "string")
-    return found.select("one", "two", *(F.array(c).alias(n) for c, n in (("place", "lo"), ("place", "hi"), ("first", "first"))))
+            last = np.diff(offs) - LENGTH
+            at, a, b = (part.column(c).to_numpy().astype(np.int64) for c in ("at", "a", "b"))
+            middle = (a + b) // 2
+            for least, most in ((a, middle), (middle + 1, b)):
+                begin, end = np.maximum(0, at - most), np.minimum(last, at - least)
+                ok = np.flatnonzero((begin <= end) & (least <= most))
+                begin, end, least, most, g, base = begin[ok], end[ok], least[ok], most[ok], at[ok], offs[:-1][ok]
+                own = [part.column(c).take(pa.array(ok)) for c in ("one", "two", "first")]
+                cols = [pa.array(x.astype(np.int32)) for x in (begin, least, most, g - begin)]
+                lead, content = _binary(buf, base + g - least, LENGTH - most + least), _binary(buf, base + begin, end - begin + LENGTH)
+                yield pa.RecordBatch.from_arrays([own[0], own[1], *cols, own[2], lead, content], ["whole_one", "whole_two", "shift", "a", "b", "at", "first", "lead", "content"])
+
+
+def smallest_runs(stretches: DataFrame, n_parts: int, crowd: int, spot: int) -> DataFrame:
+    """one, two, lo, hi, first: what _compare gives for stretches (one, two, at, a, b, first, lead, content)."""
+    told, cuts, now = None, [], stretches
+    while True:
+        sample = now.where((F.pmod("one", F.lit(spot)) == 0) & (F.col("a") < F.col("b")))
+        often = materialize(sample.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * spot >= crowd).select("lead"), "crowded")
+        calm = now.join(often, "lead", "left_anti").select("lead", "content", "first", "one", "two")
+        told = calm if told is None else told.unionByName(calm)
+        if not often.take(1):
+            break
+        halves = materialize(digests(now.join(often, "lead", "left_semi").select("one", "two", "first", "at", "a", "b", "content").mapInArrow(_halves, HALVES)), "halves")
+        cuts.append(halves.select("whole_one", "whole_two", "shift", "one", "two"))
+        now = materialize(halves.groupBy("one", "two", "content", "lead", "at", "a", "b").agg(F.min("first").alias("first")), "stretches")
+    runs = told.repartitionByRange(n_parts, "lead").sortWithinPartitions("lead").mapInArrow(_compare, RUNS)
+    if not cuts:
+        return runs
+    runs = materialize(runs, "runs")
+    every = runs
+    for cut in reversed(cuts):  # from the smallest halves back to whole stretches
+        moved = [F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("lo", "hi")]
+        below = every.join(cut, ["one", "two"]).select(F.col("whole_one").alias("one"), F.col("whole_two").alias("two"), *moved, "first")
+        every = materialize(every.unionByName(below), "runs")
+    return every
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -325,9 +355,9 @@ def digests(df: DataFrame) -> DataFrame:
     return df.withColumn("one", F.xxhash64("content")).withColumn("two", F.xxhash64(F.lit(1), "content"))
 
 
-def repeated_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def repeated_ranges(docs: DataFrame, n_bytes: int, crowd: int = CROWD, spot: int = SPOT) -> DataFrame:
     """doc_id, rid, lo, hi: the byte ranges that go, overlapping as they come, for texts without an equal before them."""
-    n_parts = parts(docs.sparkSession) | 1
+    n_parts = max(parts(docs.sparkSession), -(-n_bytes // PART_BYTES)) | 1
     prints = docs.select("doc_id", "text").mapInArrow(_fingerprints(n_parts), PACKED)
     found = prints.repartitionById(n_parts, "bucket").mapInArrow(_repeated(n_parts), PACKED)
     found = materialize(found, "repeated-grams")
@@ -336,29 +366,29 @@ def repeated_ranges(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     told = found.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("string").alias("text"), "grams", "ids")
     both = rows.unionByName(told).repartitionById(n_parts, "bucket").sortWithinPartitions("kind")
     segments = materialize(digests(both.mapInArrow(_segments, SEGMENTS)), "segments")
-    distinct = segments.groupBy("content", "lead").agg(F.min("doc_id").alias("first"))
-    distinct = materialize(digests(distinct), "stretches")
-    often = distinct.where(F.pmod("one", F.lit(SPOT)) == 0).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SPOT >= crowd)
-    often = materialize(often.select("lead"), "crowded")
-    apart = distinct.join(often, "lead", "left_anti")
-    ranged = apart.repartitionByRange(n_parts, "lead").sortWithinPartitions("lead").select("lead", "content", "first", "one", "two")
-    runs = ranged.mapInArrow(_compare, RUNS).unionByName(crowded_runs(distinct.join(often, "lead", "left_semi")))
+    distinct = segments.groupBy("content", "lead", "at").agg(F.min("doc_id").alias("first"))
+    distinct = materialize(digests(distinct).withColumns({"a": F.lit(0), "b": F.lit(LENGTH - GRAM)}), "stretches")
+    runs = smallest_runs(distinct, n_parts, crowd, spot)
     joined = segments.select("doc_id", "rid", "start", "one", "two").join(runs, ["one", "two"])
     each = joined.select("doc_id", "rid", "start", F.explode(F.arrays_zip("lo", "hi", "first")).alias("r")).where("r.first < doc_id")
     return each.groupBy("doc_id", "rid").agg(F.collect_list((F.col("start") + F.col("r.lo")).cast("int")).alias("lo"), F.collect_list((F.col("start") + F.col("r.hi") + LENGTH).cast("int")).alias("hi"))
 
 
-def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowd: int = CROWD, spot: int = SPOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     text = text_or_empty()
     keyed = docs.select("doc_id", text.alias("text"))
     known = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     known = materialize(known, "digests")
-    before = known.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    known = materialize(known.join(before, "sha", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))), "copies")
+    before = known.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a large group of copies is salted: its few rows of `before` go to every salt
+    before = before.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = known.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+    known = materialize(salted.join(before, ["sha", "salt"], "left").drop("salt").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))), "copies")
     copies = materialize(known.where("copy").select("doc_id", "rid").distinct(), "copied")
     live = keyed.where("doc_id is not null").withColumn("rid", F.xxhash64("doc_id", "text")).where(F.octet_length("text") >= LENGTH).join(copies, ["doc_id", "rid"], "left_anti")
-    ranges = materialize(repeated_ranges(live, crowd), "ranges")
+    n_bytes = known.agg(F.sum("n_bytes")).first()[0] or 0
+    ranges = materialize(repeated_ranges(live, n_bytes, crowd, spot), "ranges")
     cut = live.join(ranges, ["doc_id", "rid"]).dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", "text", "lo", "hi").mapInArrow(_cut, "doc_id long, rid long, n_removed long, n_spans long, kept_sha256 string")
     cut = cut.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "n_removed", "n_spans", "kept_sha256")
     whole = F.col("copy") & (F.col("n_bytes") >= LENGTH)

@@ -27,7 +27,7 @@ def brute(rows):
     return out
 
 
-def test_removed_bytes_equal_brute_force(spark, monkeypatch):
+def test_removed_bytes_equal_brute_force(spark):
     rng = random.Random(2)
     passages = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (49, 50, 51, 60, 90, 400)]
     texts = ["a" * 300, "a" * 120, "ab" * 100, "x" * 49, "x" * 50, "x" * 50]
@@ -41,14 +41,23 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch):
     texts += texts[6:9]
     docs = awkward(spark, texts)
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
-    for crowd in (suffixes.CROWD, 1):
-        monkeypatch.setattr(suffixes, "SPOT", 16 if crowd > 1 else 1)  # 1: every lead counts as crowded
-        got = suffixes.remove_repeats(docs, crowd).collect()
+    for crowd, spot in ((suffixes.CROWD, suffixes.SPOT), (6, 1), (1, 1)):  # 1: every lead is cut down to single strings
+        got = suffixes.remove_repeats(docs, crowd, spot).collect()
         assert len(got) == docs.count()
         assert {tuple(r) for r in got} == want
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
 
+def test_a_line_in_many_contexts(spark):
+    """Halves of one lead collapse where they lie in the line, and part where they reach beyond it."""
+    rng = random.Random(3)
+    line = "All rights reserved by the owners of this very common line of text."
+    texts = [f"{rng.getrandbits(60):x} {rng.choice(['x', 'yy'])}{line}{rng.choice(['', ' 1', ' 22'])} {rng.getrandbits(60):x}" for _ in range(80)]
+    docs = awkward(spark, texts)
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {tuple(r) for r in suffixes.remove_repeats(docs, 10, 1).collect()} == want
+
+
 def colliding(seed=42):
     """Two binaries of 64 bytes with equal xxhash64 under the seed: the second stripe makes up for the first in one lane."""
     p1, p2, m = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 1 << 64
