@@ -10,14 +10,16 @@ of a band all nodes are compared with the smallest one, never all with all; text
 bucket may still hold nodes of different components. Two bounds say which of their pairs can be linked at
 all, and exactly those are compared too: Jaccard distance is a metric, so the distances to the pivot differ
 by at most 0.25; and shingles that no other node in question has are in no intersection, so what is left of
-either set must reach 3/7 of both sizes together (an intersection of 0.75 of the union). A finer min-max
-sketch of these nodes, one bit of each of 1024 values, leaves out most pairs that are clearly below: at 0.75
+either set must reach 3/7 of both sizes together (an intersection of 0.75 of the union). Nodes of a large
+bucket are dealt to tiles of about `TILE` for that, each against the whole bucket, so its pairs are tested by many
+tasks. A finer min-max sketch of these nodes, one bit of each of 1024 values, leaves out most pairs that are clearly below: at 0.75
 the differing bits are 128 with a standard deviation of 10.6, so 181 is passed with probability 3e-7. No
 partner or bucket is capped. Every link is confirmed on the full sets.
 
 Nulls: a null text and one without words have an empty set, linked with nothing; rows with a null doc_id
-stand alone and are kept. Texts of fewer than five words have one shingle. Rows that repeat a doc_id are one
-document. An empty table gives no rows; other columns are ignored by `near_duplicates` and kept by
+stand alone and are kept. Texts of fewer than five words have one shingle; very long ones are read whole. Rows that
+repeat a doc_id are one document; if their texts are unlike, it is linked by the one with the smallest set (ties:
+the smallest hashes), and all its rows get that component. Ties for a component's name can't be. An empty table gives no rows; other columns are ignored by `near_duplicates` and kept by
 `deduplicate`.
 """
 
@@ -37,6 +39,8 @@ PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 CHUNK = 256
+TILE = 1024
+SALTS = 16
 _rng = np.random.default_rng(75)
 TIMES = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -89,9 +93,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, two = (np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(k)), dtype=np.uint64)]) for k in (1, 2))
             bands = signatures(h, n).view(np.int64).ravel()
             offs = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
-            cols = [batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64))]
+            cols = [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "th")), pa.array(n.astype(np.int64))]
             cols += [pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in (one, two)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offs), pa.array(bands))], ["doc_id", "n", "one", "two", "bands"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offs), pa.array(bands))], ["doc_id", "th", "n", "one", "two", "bands"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +122,25 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pivot", "node", "both", "either"])
 
 
+def large_groups(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """key, and in how many parts of about size rows (name), of keys with more rows than that."""
+    return rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name)).where(F.col(name) > 1)
+
+
+def salted(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows (with a node) left-joined to groups by key; a key's rows are dealt to SALTS places."""
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"], "left").drop("salt")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pivot, node, both, either: sizes of intersection and union for every pair. texts: node, text."""
     spark = pairs.sparkSession
-    many = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    members = pairs.join(many, "pivot").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).select("pivot", "chunk", "node")
-    leads = many.select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("pivot").alias("node"))
-    asked = members.unionByName(leads.join(members.select("pivot", "chunk").distinct(), ["pivot", "chunk"], "left_semi"))
+    many = large_groups(pairs, "pivot", CHUNK, "chunks")
+    chunk = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
+    members = salted(pairs, many, "pivot").select("pivot", chunk.alias("chunk"), "node")
+    leads = members.select("pivot", "chunk").distinct().withColumn("node", F.col("pivot"))
+    asked = members.unionByName(leads)
     rows = asked.join(texts.hint("merge"), "node").repartition(parts(spark), "pivot", "chunk").sortWithinPartitions("pivot", "chunk", F.col("node") != F.col("pivot"))
     return rows.select("pivot", "chunk", "node", "text").mapInArrow(_confirm, "pivot long, node long, both long, either long")
 
@@ -182,8 +198,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n long, one long, two long, bands array<long>"), "minmax")
-    full = signed.where("n > 0 and doc_id is not null")
+    signed = materialize(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_scan, "doc_id long, th long, n long, one long, two long, bands array<long>"), "minmax")
+    named, whole = signed.where("doc_id is not null"), F.struct("n", "one", "two", "th")
+    unlike = named.groupBy("doc_id").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).where("low <> high").select("doc_id", "low")
+    unlike = materialize(unlike, "unlike")
+    signed = signed.join(unlike, "doc_id", "left")
+    own = {c: F.coalesce(F.col("low")[c], F.col(c)) for c in ("one", "two", "n")}
+    full = signed.where("n > 0 and doc_id is not null").where(F.col("low").isNull() | (whole == F.col("low")))
     classes = materialize(full.groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "classes")
     buckets = classes.select("node", "n", F.explode("bands").alias("band"))
     pivots = buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
@@ -191,7 +212,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialize(shared.where("node <> pivot").select("pivot", "node").distinct(), "pairs")
     nodes = pairs.select("node").union(pairs.select("pivot")).distinct()
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
-    texts = materialize(rows.hint("merge").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = rows.hint("merge").join(nodes, "node", "left_semi").join(unlike.withColumnRenamed("doc_id", "node"), "node", "left")
+    texts = texts.where(F.col("low").isNull() | (F.xxhash64("text") == F.col("low.th"))).select("node", "text")
+    texts = materialize(texts.dropDuplicates(["node"]), "texts")
     linked = F.col("both") * 100 >= F.col("either") * 75
     first = materialize(confirm(pairs, texts), "confirmed")
     label = components(first.where(linked).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
@@ -205,20 +228,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     able = classes.select("node", "n", "bands").join(sketches(few), "node").join(own_shingles(few), "node", "left")
     able = able.withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(F.col("most") * 100 >= F.col("n") * 75)
     held = materialize(held.join(materialize(able.select("node", "most", "bits", "bands"), "able"), "node"), "held")
-    lone, others = held.where("not linked").alias("x"), held.alias("y")
+    tiles = large_groups(held.where("not linked"), "band", TILE, "tiles")
+    count = F.coalesce("tiles", F.lit(1))
+    dealt = salted(held, tiles, "band")
+    lone = dealt.where("not linked").withColumn("tile", F.pmod(F.xxhash64("node"), count).cast("int")).alias("x")
+    others = dealt.withColumn("tile", F.explode(F.sequence(F.lit(0), count - 1))).alias("y")
     near = (F.abs(F.col("x.apart") - F.col("y.apart")) <= 0.25 + 1e-9) & (F.least("x.most", "y.most") * 7 >= (F.col("x.n") + F.col("y.n")) * 3)
     differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(1, FINE // 64)), F.bit_count(F.col("x.bits")[0].bitwiseXOR(F.col("y.bits")[0])))
     first_band = F.coalesce(*(F.when(F.col("x.bands")[i] == F.col("y.bands")[i], F.col("x.bands")[i]) for i in range(BANDS)))
     once = F.col("y.linked") | (F.col("x.node") < F.col("y.node"))
-    more = lone.join(others, (F.col("x.band") == F.col("y.band")) & (F.col("x.of") != F.col("y.of")) & near & once & (differ <= FINE_MOST) & (first_band == F.col("x.band")))
+    more = lone.join(others, (F.col("x.band") == F.col("y.band")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.of") != F.col("y.of")) & near & once & (differ <= FINE_MOST) & (first_band == F.col("x.band")))
     more = materialize(more.select(F.least("x.node", "y.node").alias("pivot"), F.greatest("x.node", "y.node").alias("node")).distinct(), "pairs")
     second = materialize(confirm(more, texts).where(linked), "confirmed")
     edges = first.where(linked).select("pivot", "node").unionByName(second.select("pivot", "node"))
     label = components(edges.select(F.col("pivot").alias("a"), F.col("node").alias("b"))) if second.take(1) else label
     of_class = classes.select("one", "two", "n", "node").join(label, "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component"))
-    out = signed.join(of_class, ["one", "two", "n"], "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), *(c.alias(k) for k, c in own.items())).join(of_class, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

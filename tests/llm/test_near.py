@@ -60,3 +60,36 @@ def test_components_equal_brute_force(spark):
     assert left.columns == docs.columns
     assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in got if r["kept"]}
     assert near.near_duplicates(empty(spark)).count() == 0
+
+
+def test_large_buckets_are_dealt_to_tiles_and_chunks(spark, monkeypatch):
+    """Many texts of one template, mostly below the threshold: buckets of several components."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(500)]
+    frame = [rng.choice(vocabulary) for _ in range(130)]
+    texts = []
+    for _ in range(60):
+        own = list(frame)
+        at = rng.randrange(90)
+        own[at : at + 30] = [rng.choice(vocabulary) for _ in range(30)]
+        texts.append(" ".join(own))
+        if rng.random() < 0.4:
+            own[rng.randrange(130)] = "other"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    docs = awkward(spark, texts).selectExpr("*", "1 AS gone", "2 AS node", "3 AS __gone", "4 AS low")
+    want = brute({(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None})
+    for size in (3, 1000):
+        monkeypatch.setattr(near, "CHUNK", size)
+        monkeypatch.setattr(near, "TILE", size)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(docs).collect() if r["doc_id"] is not None}
+        assert got == want
+    left = near.deduplicate(docs)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} - {None} == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_unlike_rows_of_one_document(spark):
+    text = [" ".join(f"w{i * k}" for i in range(40)) for k in (1, 2, 3)]
+    rows = [(1, text[0]), (5, text[0] + " a b"), (5, text[1]), (7, text[1]), (9, text[2])]
+    got = sorted(map(tuple, near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == [(1, 36, 1), (5, 36, 5), (5, 38, 5), (7, 36, 5), (9, 36, 9)]  # 5 is linked by its smaller set
