@@ -1,7 +1,12 @@
 """A training corpus from `documents`: quality rules, near-duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared
-folder and rereads it as the next stage's docs. All but the last return the columns of documents.
+folder and rereads it as the next stage's docs. All but the last return the columns of documents, and any others.
+
+Nulls: a null or empty text fails the base rules of the first stage; a null lang or source is a value of its own; a
+null doc_id stands alone in the second stage and passes the others. Very long texts are worked on whole. Repeated
+rows: of equal texts the smallest doc_id stays, with all rows that repeat it; mixing moves these together. Tables
+may be empty, and extra columns may have any name; both are returned as they are by all stages but the last.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ STAGES = [
     ("encoding", encode_pieces),
 ]
 
-# Perplexity models, signatures and segmentation are beyond SQL; tests compare run() with the stages one by one.
+# Perplexity models, signatures and segmentation are beyond SQL; tests hold each stage against its operator's brute force.
 ORACLE_SQL = None
 
 
