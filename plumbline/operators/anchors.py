@@ -119,3 +119,52 @@ def fill_from_cache(items: DataFrame, cache: DataFrame, score) -> DataFrame:
 def latest_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Upsert: of the rows with one key, the latest."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), order).alias("r")).select(key, "r.*")
+
+
+COVERED = 0.8
+GAP = 0.15
+
+
+def coverage_warnings(found: DataFrame) -> DataFrame:
+    """coverage()'s row with adequate, and warnings: what the control set would not see."""
+    adequate = (F.least("decile_coverage", "tag_coverage") >= COVERED) & (F.size("missing_tags") == 0)
+    texts = [
+        F.when(F.size("missing_tags") > 0, F.concat(F.lit("no control items tagged "), F.array_join("missing_tags", ", "))),
+        F.when(F.size("missing_deciles") > 0, F.concat(F.lit("no control items in score deciles "), F.array_join("missing_deciles", ", "))),
+        F.when(F.col("max_marginal_gap") > GAP, F.lit("the control set is made up unlike the suite")),
+    ]
+    return found.withColumn("adequate", adequate).withColumn("warnings", F.array_compact(F.array(*texts)))
+
+
+def floor_warnings(floors: DataFrame) -> DataFrame:
+    """noise_floor()'s rows with warnings: floors that say little about the scorer's noise."""
+    texts = [
+        F.when(F.col("degenerate"), F.lit("all replicates scored alike, any movement will read as drift")),
+        F.when(F.col("replicates") < 3, F.lit("fewer than 3 replicates bound the floor loosely")),
+    ]
+    return floors.withColumn("warnings", F.array_compact(F.array(*texts)))
+
+
+def first_items(items: DataFrame, n: int) -> DataFrame:
+    """The first n items by id."""
+    return items.orderBy("item_id").limit(n)
+
+
+def head_per_stratum(items: DataFrame, n: int) -> DataFrame:
+    """n items: the first n // strata of each stratum by id, and the rest from what the largest strata still have.
+
+    items: item_id, stratum. Only what the top-up may touch gets an order over all strata.
+    """
+    strata = items.select("stratum").distinct().count()
+    quota = n // max(strata, 1)
+    w = Window.partitionBy("stratum")
+    ranked = items.withColumn("rank", F.row_number().over(w.orderBy("item_id"))).withColumn("size", F.count(F.lit(1)).over(w))
+    chosen = ranked.where(F.col("rank") <= quota)
+    missing = n - chosen.count()
+    rest = ranked.where(F.col("rank") > quota).orderBy(F.col("size").desc(), "stratum", "rank").limit(max(missing, 0))
+    return chosen.unionByName(rest).select("item_id", "stratum")
+
+
+def clipped(text: Column, most: int) -> Column:
+    """A text's first characters, as prompts carry them."""
+    return F.substring(text, 1, most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.power import needed_evidence
+from .functions.power import min_horizon, needed_evidence
 from .functions.student import dead_zone_factor
 
 SQL: dict[str, str] = {}
@@ -245,3 +245,90 @@ SQL["refusal_rates"] = """WITH r AS (SELECT source AS config, avg((toxic = 1)::I
   SELECT config, n, round(rate, 6) AS rate, round(rate / (SELECT rate FROM r WHERE config = 'src0'), 6) AS multiple FROM r"""
 SQL["letter_grades"] = """SELECT translate(o_orderstatus, 'OFP', 'CIP') AS g, round(avg(CASE translate(o_orderstatus, 'OFP', 'CIP') WHEN 'C' THEN 1.0 WHEN 'I' THEN 0.0 WHEN 'P' THEN 0.5 WHEN 'N' THEN 0.0 END), 6)::DOUBLE AS score, count(*) AS n FROM orders GROUP BY 1"""
 SQL["chain_verify"] = """SELECT row_number() OVER (ORDER BY d) - 1 AS seq, row_number() OVER (ORDER BY d) <> 11 AS hash_ok, true AS link_ok, true AS seq_ok FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS d FROM events)"""
+
+# Student's tail by Simpson's rule over the density, as the tables have few rows.
+WELCH = SQL["welch_t_stat"].rsplit("SELECT t::INT", 1)[0]
+SQL_P = f"""{WELCH.rstrip()}, x AS (SELECT t::INT AS t, abs((m0 - m) / sqrt(v0 / n0 + v / n)) AS s, pow(v0 / n0 + v / n, 2) / (pow(v0 / n0, 2) / (n0 - 1) + pow(v / n, 2) / (n - 1)) AS df FROM d, b),
+  g AS (SELECT t, s, df, unnest(range(0, 2001)) AS i FROM x),
+  p AS (SELECT t, 1 - 2 * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - (df + 1) / 2 * ln(1 + pow(s * i / 2000, 2) / df)) / sqrt(df * pi()) * s / 6000) AS p FROM g GROUP BY t)"""
+SQL["peeking_t_test"] = f"{SQL_P} SELECT 'discounts' AS stream_id, min(t) FILTER (p < 0.05) AS alarm_at FROM p"
+SQL["bonferroni_t_test"] = f"{SQL_P} SELECT 'discounts' AS stream_id, min(t) FILTER (p < 0.05 / (t + 1)) AS alarm_at FROM p"
+SQL["adwin_alarm"] = f"""WITH RECURSIVE {obs()}, o AS (SELECT row_number() OVER (ORDER BY run_index * 20 + item_id::INT) AS n, run_index - 8 AS t, score FROM obs),
+  pre AS (SELECT 0 AS n, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q, -99 AS t UNION ALL SELECT n, sum(score) OVER (ORDER BY n {CUM}), sum(score * score) OVER (ORDER BY n {CUM}), t FROM o),
+  top AS (SELECT max(n) AS whole FROM pre),
+  steps AS (
+    SELECT 0::BIGINT AS lo, least(32, whole)::BIGINT AS hi, NULL::BIGINT AS alarm, false AS done FROM top
+    UNION ALL
+    SELECT lo + coalesce(cut, 0), CASE WHEN cut IS NULL THEN least(hi + 32, whole) ELSE hi END, coalesce(alarm, CASE WHEN cut IS NOT NULL AND here >= 0 THEN here END), cut IS NULL AND hi = whole
+    FROM (
+      SELECT st.lo, st.hi, st.alarm, max(b.t) AS here, max(c.n - st.lo) FILTER (st.hi - st.lo >= 10 AND c.n BETWEEN st.lo + 5 AND st.hi - 5 AND
+          abs((c.s - a.s) / (c.n - a.n) - (b.s - c.s) / (b.n - c.n)) >
+          sqrt(2 * (1.0 / (c.n - a.n) + 1.0 / (b.n - c.n)) * ((b.q - a.q) / (b.n - a.n) - pow((b.s - a.s) / (b.n - a.n), 2)) * ln(2 * ln(b.n - a.n) / 0.05)) + 2.0 / 3 * (1.0 / (c.n - a.n) + 1.0 / (b.n - c.n)) * ln(2 * ln(b.n - a.n) / 0.05)) AS cut
+      FROM (SELECT * FROM steps WHERE NOT done) st JOIN pre a ON a.n = st.lo JOIN pre b ON b.n = st.hi LEFT JOIN pre c ON c.n > st.lo AND c.n < st.hi GROUP BY st.lo, st.hi, st.alarm), top)
+  SELECT 'discounts' AS stream_id, max(alarm) AS alarm_at FROM steps"""
+SQL["plan_size"] = f"""WITH RECURSIVE sizes AS (SELECT unnest(range(1, 1500)) AS n), targets AS (SELECT unnest([0.10, 0.05, 0.03, 0.02, 0.015, 0.01])::DOUBLE AS target),
+  sg AS (SELECT n, 0.08 / sqrt(n) AS sigma FROM sizes), rows AS (SELECT n, sigma, sigma * {dead_zone_factor(5, 0.05)!r} AS dead, 8 * sigma AS unit FROM sg), {shift_search("rows", "50", "found")}
+  SELECT target, min(n) FILTER (min_shift <= target AND n >= 40) AS n, {min_horizon(0.05)}::BIGINT AS min_horizon FROM found, targets GROUP BY target"""
+
+OUTCOMES = """o AS (SELECT i, 's' || i AS stream_id, 'm' || (i % 3) AS method, i % 24 AS cell, (['stable', 'judge', 'system', 'both'])[i % 4 + 1] AS truth, ([0.02, 0.05, 0.1])[(i // 4) % 3 + 1]::DOUBLE AS shift,
+    CASE WHEN i * 37 % 11 < 7 THEN i * 53 % 60 END AS alarm_at, (['stable', 'system', 'judge', 'both', 'indeterminate'])[(i * 17 + i // 7) % 5 + 1] AS verdict FROM (SELECT unnest(range(0, 2000)) AS i))"""
+SQL["tally_rates"] = f"""WITH {OUTCOMES}, e AS (SELECT *, CASE WHEN truth <> 'stable' AND alarm_at >= 12 THEN alarm_at - 12 END AS delay FROM o)
+  SELECT method, truth, count(*) AS n, count(alarm_at) AS alarms, round(avg((alarm_at IS NOT NULL)::INT) FILTER (truth = 'stable'), 6) AS false_alarm_rate,
+    round(avg((alarm_at IS NOT NULL)::INT) FILTER (truth <> 'stable'), 6) AS detection_rate, round(quantile_cont(delay, 0.5), 6) AS median_delay, round(avg(delay), 6) AS mean_delay FROM e GROUP BY method, truth"""
+RATE = "round(avg((verdict = '{1}')::INT) FILTER (truth = '{0}'), 6)"
+SQL["tally_misattribution"] = f"""WITH {OUTCOMES} SELECT method, {RATE.format("judge", "system")} AS judge_as_system, {RATE.format("system", "judge")} AS system_as_judge,
+  round(avg((verdict = 'indeterminate')::INT), 6) AS indeterminate_rate, round(avg((verdict = truth)::INT), 6) AS accuracy FROM o GROUP BY method"""
+SQL["tally_modal_verdict"] = f"WITH {OUTCOMES}, v AS (SELECT cell, verdict, count(*) AS votes FROM o GROUP BY ALL) SELECT cell, verdict, votes FROM v QUALIFY row_number() OVER (PARTITION BY cell ORDER BY votes DESC, verdict) = 1"
+SQL["tally_arl0"] = f"WITH {OUTCOMES} SELECT method, round(avg(coalesce(alarm_at, 52)), 6) AS arl0 FROM o WHERE truth = 'stable' GROUP BY method"
+SQL["tally_worst_cell"] = f"""WITH {OUTCOMES}, r AS (SELECT cell, avg((verdict = 'system')::INT) AS rate FROM o WHERE truth = 'judge' GROUP BY cell)
+  SELECT round((SELECT avg(rate) FROM r), 6) AS mean_rate, round(rate, 6) AS worst_rate, cell AS worst_cell FROM r ORDER BY rate DESC, cell DESC LIMIT 1"""
+DELAYS = f"{OUTCOMES}, e AS (SELECT *, CASE WHEN alarm_at >= 12 THEN alarm_at - 12 END AS delay FROM o), d AS (SELECT method, shift, quantile_cont(delay, 0.5) AS median_delay, avg(delay) AS mean_delay, count(delay) AS n FROM e GROUP BY method, shift)"
+SQL["delay_by_shift"] = f"WITH {DELAYS} SELECT method, shift, round(median_delay, 6) AS median_delay, round(mean_delay, 6) AS mean_delay, n FROM d"
+SQL["delay_ratio"] = f"""WITH {DELAYS}, m AS (SELECT avg(median_delay) FILTER (method = 'm0') AS a, avg(median_delay) FILTER (method = 'm1') AS b FROM d) SELECT round(a, 6) AS mean_delay, round(b, 6) AS mean_delay_against, round(a / b, 6) AS ratio FROM m"""
+SQL["headline_guard"] = f"""WITH {OUTCOMES}, r AS (SELECT avg((alarm_at IS NOT NULL)::INT) FILTER (truth = 'stable') AS f, avg((verdict = 'judge')::INT) FILTER (truth = 'judge') AS c, avg((verdict = 'system')::INT) FILTER (truth = 'judge') AS w FROM o WHERE method = 'm0')
+  SELECT 'false alarms above alpha' AS failure, round(f, 6) AS value, 0.05::DOUBLE AS bound FROM r WHERE f > 0.05
+  UNION ALL SELECT 'correct causes under a silent change below the floor', round(c, 6), 0.9::DOUBLE FROM r WHERE c < 0.9
+  UNION ALL SELECT 'instrument changes blamed on the system', round(w, 6), 0.01::DOUBLE FROM r WHERE w > 0.01"""
+
+POOL = """l AS (SELECT *, lpad(l_suppkey::VARCHAR, 6, '0') AS item_id FROM lineitem),
+  pool AS (SELECT CASE l_returnflag WHEN 'A' THEN 'a-baseline' WHEN 'N' THEN 'b-other-snapshot' ELSE 'c-strict-rubric' END AS config, item_id, avg(l_discount) / 0.1 AS score FROM l GROUP BY ALL
+    UNION ALL SELECT 'd-effort', item_id, avg(l_tax) / 0.08 FROM l GROUP BY ALL),
+  placed AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS place FROM (SELECT item_id FROM pool GROUP BY item_id HAVING count(DISTINCT config) = 4)),
+  sides AS (SELECT item_id, CASE WHEN place <= 40 THEN 'anchor' ELSE 'system' END AS kind FROM placed WHERE place <= 80),
+  rep AS (SELECT l_linenumber % 5 AS k, l.item_id, avg(l_discount) / 0.1 AS s FROM l JOIN sides USING (item_id) WHERE kind = 'anchor' GROUP BY ALL),
+  fi AS (SELECT item_id, var_samp(s) AS v FROM rep GROUP BY item_id), fr AS (SELECT k, avg(s) AS m FROM rep GROUP BY k),
+  floors AS (SELECT greatest((SELECT sqrt(avg(v)) FROM fi), 1e-6) AS item_sd, greatest((SELECT stddev_samp(m) FROM fr), 1e-6) AS run_sd, (SELECT count(*) FROM fr) AS k, (SELECT count(*) FROM fi) AS n_items)"""
+SQL["pool_floor"] = f"WITH {POOL} SELECT round(item_sd, 6) AS per_item_sd, round(run_sd, 6) AS run_mean_sd, k AS replicates, n_items FROM floors"
+SQL["pool_halves"] = f"WITH {POOL} SELECT item_id, kind FROM sides"
+SQL["pool_common_items"] = "SELECT o_custkey AS item_id FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)"
+
+
+def composed() -> str:
+    """CTE streams: scenario and, by kind and whether the change has come, the configuration."""
+    from .plans.study import SCENARIOS
+
+    rows = ", ".join(str(tuple(x)) for x in SCENARIOS)
+    u = lambda at: f"((('0x' || substr(h, {at}, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)"
+    return f"""WITH {POOL}, scenarios(scenario, truth, sb, sa, ab, aa) AS (VALUES {rows}),
+      known AS (SELECT config, item_id, score FROM pool UNION ALL SELECT config || '-degraded', item_id, greatest(0, score - 0.1) FROM pool),
+      spread AS (SELECT scenario || '#0' AS stream_id, r AS run_index, kind, item_id, CASE WHEN kind = 'system' THEN (CASE WHEN r >= 20 THEN sa ELSE sb END) ELSE (CASE WHEN r >= 20 THEN aa ELSE ab END) END AS config
+        FROM scenarios, (SELECT unnest(range(0, 60)) AS r), sides),
+      hashed AS (SELECT s.*, score, md5(stream_id || '/' || kind || '/' || run_index || '/' || s.item_id) AS h FROM spread s JOIN known k ON k.config = s.config AND k.item_id = s.item_id),
+      composed AS (SELECT stream_id, kind, run_index, item_id, least(1, greatest(0, score + sqrt(-2 * ln({u(1)})) * cos(2 * pi() * {u(9)}) * item_sd / 4)) AS score FROM hashed, floors)"""
+
+
+SQL["composed_streams"] = f"{composed()} SELECT stream_id, kind, run_index, count(*) AS n, round(avg(score), 6) AS mean FROM composed GROUP BY ALL"
+SQL["coverage_warnings"] = f"""WITH c AS ({SQL["anchor_coverage"]})
+  SELECT least(decile_coverage, tag_coverage) >= 0.8 AND missing_tags = '' AS adequate, concat_ws('; ', CASE WHEN missing_tags <> '' THEN 'no control items tagged ' || replace(missing_tags, ',', ', ') END,
+    CASE WHEN missing_deciles <> '' THEN 'no control items in score deciles ' || replace(missing_deciles, ',', ', ') END, CASE WHEN max_marginal_gap > 0.15 THEN 'the control set is made up unlike the suite' END) AS warnings FROM c"""
+SQL["noise_floor_warnings"] = f"""WITH {REPLICATES}, v AS (SELECT unnest(['all', 'two', 'flat']) AS s2), x AS (SELECT s2, k, avg(CASE WHEN s2 = 'flat' THEN 0.5 ELSE s END) AS m FROM r, v WHERE s2 <> 'two' OR k < 2 GROUP BY ALL)
+  SELECT s2 AS "set", concat_ws('; ', CASE WHEN stddev_samp(m) <= 0 THEN 'all replicates scored alike, any movement will read as drift' END, CASE WHEN count(*) < 3 THEN 'fewer than 3 replicates bound the floor loosely' END) AS warnings FROM x GROUP BY s2"""
+SQL["head_per_stratum"] = """WITH i AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS item_id, lang AS stratum FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY item_id) AS rank, count(*) OVER (PARTITION BY stratum) AS size FROM i),
+  q AS (SELECT 450 // count(DISTINCT stratum) AS quota FROM i), c AS (SELECT count(*) AS have FROM r, q WHERE rank <= quota),
+  rest AS (SELECT item_id, stratum, row_number() OVER (ORDER BY size DESC, stratum, rank) AS place FROM r, q WHERE rank > quota)
+  SELECT item_id, stratum FROM r, q WHERE rank <= quota UNION ALL SELECT item_id, stratum FROM rest, c WHERE place <= 450 - have"""
+SQL["first_items"] = "SELECT lpad(doc_id::VARCHAR, 9, '0') AS item_id, lang FROM documents ORDER BY 1 LIMIT 30"
+SQL["clipped_texts"] = "SELECT doc_id, length(substr(text, 1, 1200))::INT AS n, sha256(substr(text, 1, 2400)) AS sha256 FROM documents"
+SQL["run_means_reordered"] = SQL["run_means"]
+SQL["point_null_wealth"] = f"""{LEG}, late AS (SELECT l.*, (SELECT avg(z) FROM leg WHERE t < 8) AS m0 FROM leg l WHERE t >= 8), {betting("late", "", "z", "m0", "m0", "agrapa")}
+  SELECT t, round(log_e, 6) AS log_wealth, log_e >= ln(20) AS alarm FROM w"""

@@ -69,7 +69,31 @@ def cached_scorer(spark: SparkSession, seeds: int = 2, levels: tuple = (0.0, 1.0
     return joined.withColumn("score", F.when(stale, F.col("old")).otherwise(F.col("score"))).drop("old", "level"), generator.floors(specs), level
 
 
-ATTACKS = {"evasion": evasion, "slow_ramp": slow_ramp, "cancellation": cancellation, "input_shift": input_shift, "staleness": staleness, "cached_scorer": cached_scorer}
+def ordering(spark: SparkSession, seeds: int = 2, levels: tuple = (0.0, 1.0)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """At level 1 each run's best scores come first: runs are sets, so nothing may change."""
+    rows = [{"name": f"{x:g}#{s}", "seed": 1000 + s, "system_shift": -0.08} for x in levels for s in range(seeds)]
+    specs = generator.specs(spark, rows)
+    level = specs.select(F.col("name").alias("stream_id"), F.split("name", "#")[0].cast("double").alias("level"))
+    obs = generator.observations(specs).join(F.broadcast(level), "stream_id")
+    obs = obs.repartition("stream_id").sortWithinPartitions("stream_id", "run_index", F.when(F.col("level") == 1, -F.col("score")))
+    return obs.drop("level"), generator.floors(specs), level
+
+
+def bounds(spark: SparkSession, seeds: int = 2, levels: tuple = (0.0, 1.0, 2.0)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores at their limits: 0 is a system near the ceiling that falls a little, 1 one whose scores are all equal, 2 such a one that steps down.
+
+    Scores outside the declared range never get here: ingest refuses them.
+    """
+    rows = [{"name": f"{x:g}#{s}", "seed": 1000 + s} | ({"system_level": 0.99, "anchor_level": 0.99, "per_item_sd": 0.01, "system_shift": -0.05} if x == 0 else {}) for x in levels for s in range(seeds)]
+    specs = generator.specs(spark, rows)
+    level = specs.select(F.col("name").alias("stream_id"), F.split("name", "#")[0].cast("double").alias("level"))
+    obs = generator.observations(specs).join(F.broadcast(level), "stream_id")
+    flat = (F.col("level") > 0) & (F.col("kind") == "system")
+    step = F.when((F.col("level") == 2) & (F.col("run_index") >= 20), 0.55).otherwise(0.75)
+    return obs.withColumn("score", F.when(flat, step).otherwise(F.col("score"))).drop("level"), generator.floors(specs), level
+
+
+ATTACKS = {"ordering": ordering, "bounds": bounds, "evasion": evasion, "slow_ramp": slow_ramp, "cancellation": cancellation, "input_shift": input_shift, "staleness": staleness, "cached_scorer": cached_scorer}
 
 
 def outcomes(spark: SparkSession, attack: str, seeds: int = 2) -> DataFrame:
@@ -77,3 +101,10 @@ def outcomes(spark: SparkSession, attack: str, seeds: int = 2) -> DataFrame:
     obs, floors, level = ATTACKS[attack](spark, seeds)
     decided = attribution.decide(obs, floors, CONFIG).select("stream_id", F.coalesce("verdict", F.lit("refused")).alias("verdict"))
     return tallies.verdict_counts(decided.join(level, "stream_id"), ["level"], [*VERDICTS, "refused"])
+
+
+def failure_rates(spark: SparkSession, attack: str, right: list[str], seeds: int = 2) -> DataFrame:
+    """level, n, failure_rate: how often a verdict that is not among the right ones (or no refusal, where that is right) came out."""
+    counts = outcomes(spark, attack, seeds)
+    n = sum((F.col(v) for v in VERDICTS), F.col("refused"))
+    return counts.select("level", n.alias("n"), (1.0 - sum((F.col(v) for v in right), F.lit(0)) / n).alias("failure_rate"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.power import min_shift_column
-from ..functions.student import dead_zone_factor
+from ..functions.student import dead_zone_factor, normal_expansion
 from ..operators import confseq, kernel, runs, wealth
 from ..sources.shared import written
 
@@ -32,17 +32,18 @@ class Config:
     min_runs: int = 8
     min_obs: int = 30
     most_starts: int = wealth.MOST_STARTS
-    backend: str = "windows"  # or "kernel": needed for legs longer than most_starts
+    backend: str = "kernel"  # or "windows": the same on legs of up to most_starts, refused beyond
 
     @property
     def monitor_alpha(self) -> float:
         return self.alpha - self.alpha / 2.0
 
 
-def dead_factor(k: Column, alpha: float, most: int = 64) -> Column:
-    """t quantile over sqrt(K) for K = 2..most, as one literal map."""
-    known = F.create_map(*(F.lit(x) for i in range(2, most + 1) for x in (i, dead_zone_factor(i, alpha))))
-    return F.element_at(known, F.least(k, F.lit(most)).cast("int"))
+def dead_factor(k: Column, alpha: float, exact: int = 64) -> Column:
+    """t quantile over sqrt(K): up to `exact` from a literal map, beyond from the expansion in 1 / (K - 1), right to 1e-9."""
+    known = F.create_map(*(F.lit(x) for i in range(2, exact + 1) for x in (i, dead_zone_factor(i, alpha))))
+    beyond = normal_expansion(1.0 - alpha * 0.25, k - 1.0) / F.sqrt(k)
+    return F.when(k <= exact, F.element_at(known, k.cast("int"))).otherwise(beyond)
 
 
 def leg_table(obs: DataFrame, floors: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -98,9 +99,12 @@ def trace(legs: DataFrame, config: Config) -> DataFrame:
     stream in their keys and need no further exchange.
     """
     rows = scaled(legs, config).repartition("stream_id")
-    detect = wealth.detector_trace if config.backend == "windows" else kernel.detector_trace
-    options = {} if config.backend == "windows" else {"most_starts": config.most_starts}
-    found = detect(rows, config.monitor_alpha, **options).select(*wealth.LEG, "t", "log_e", "peak_log_e", "alarm", "best_start", "direction")
+    if config.backend == "windows":
+        long = F.raise_error(F.concat(F.lit("leg too long for the windows backend: "), "stream_id")).cast("long")
+        found = wealth.detector_trace(rows.withColumn("t", F.when(F.col("t") < config.most_starts, F.col("t")).otherwise(long)), config.monitor_alpha)
+    else:
+        found = kernel.detector_trace(rows, config.monitor_alpha, config.most_starts)
+    found = found.select(*wealth.LEG, "t", "log_e", "peak_log_e", "alarm", "best_start", "direction")
     cs = confseq.empirical_bernstein(rows, wealth.LEG, "t", "y", config.monitor_alpha)
     w = Window.partitionBy(*wealth.LEG).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     cs = cs.withColumn("saturated", F.max((F.col("y") <= 0) | (F.col("y") >= 1)).over(w))
@@ -109,11 +113,31 @@ def trace(legs: DataFrame, config: Config) -> DataFrame:
     return out.select(*wealth.LEG, "t", "run_index", "log_e", "peak_log_e", "alarm", F.min(F.when(F.col("alarm"), F.col("t"))).over(w).alias("crossed_at"), back("cs_lo").alias("shift_lo"), back("cs_hi").alias("shift_hi"), "saturated", "best_start", "direction")
 
 
-def _last(rows: DataFrame) -> DataFrame:
-    """Each leg's last row per (stream_id, at), side by side, in one aggregation."""
+def _known_at(traced: DataFrame, every: DataFrame, points: DataFrame) -> DataFrame:
+    """stream_id, at: each leg's last trace row and the runs so far, carried forward along every stream in one pass."""
+    key = ["stream_id", "run_index"]
     cols = ["t", "peak_log_e", "alarm", "crossed_at", "shift_lo", "shift_hi", "saturated"]
-    last = rows.groupBy("stream_id", "at").agg(*(F.max(F.when(F.col("leg") == leg, F.struct(*cols))).alias(leg) for leg in LEGS))
-    return last.select("stream_id", "at", *(F.col(f"{leg}.{c}").alias(f"{leg}_{c}") for leg in LEGS for c in cols))
+    legs = traced.groupBy(*key).agg(*(F.max(F.when(F.col("leg") == leg, F.struct(*cols))).alias(leg) for leg in LEGS))
+    pinned = "judge_pin" in every.columns
+    system = F.col("kind") == "system"
+    facts = [F.max(F.when(system, F.struct("suite_hash", "n"))).alias("run")]
+    if pinned:
+        first = Window.partitionBy("stream_id", "kind").orderBy("run_index")
+        every = every.withColumn("delta", scores.differing_fields(F.col("judge_pin"), F.first("judge_pin").over(first)))
+        facts += [F.max(F.array_contains("delta", f)).alias(f"pin_{f}") for f in scores.PIN_FIELDS] + [F.max(system & (F.size("delta") > 0)).alias("pin_moved")]
+    runs_ = every.groupBy(*key).agg(*facts)
+    marks = points.select("stream_id", F.col("at").alias("run_index"), F.lit(True).alias("asked")).distinct()
+    rows = runs_.join(legs, key, "full").join(marks, key, "full")
+    w = Window.partitionBy("stream_id").orderBy("run_index").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(leg, ignorenulls=True).over(w).alias(leg) for leg in LEGS]
+    seen = F.count("run").over(w)
+    suite = [seen.alias("n_runs"), (F.coalesce(F.min("run.suite_hash").over(w) == F.max("run.suite_hash").over(w), F.lit(True))).alias("suite_agrees"), F.last("run", ignorenulls=True).over(w)["n"].alias("last_n")]
+    pins = []
+    if pinned:
+        ever = [F.when(F.max(f"pin_{f}").over(w), F.lit(f)) for f in scores.PIN_FIELDS]
+        pins = [F.array_sort(F.array_compact(F.array(*ever))).alias("pin_delta"), F.min(F.when(F.col("pin_moved"), F.col("run_index"))).over(w).alias("pin_changed_at")]
+    rows = rows.select("stream_id", F.col("run_index").alias("at"), "asked", *last, *suite, *pins).where("asked")
+    return rows.select("stream_id", "at", *(F.col(f"{leg}.{c}").alias(f"{leg}_{c}") for leg in LEGS for c in cols), "n_runs", "suite_agrees", "last_n", *(["pin_delta", "pin_changed_at"] if pinned else []))
 
 
 def evidence_at(traced: DataFrame, every: DataFrame, floors: DataFrame, points: DataFrame, config: Config) -> DataFrame:
@@ -121,18 +145,9 @@ def evidence_at(traced: DataFrame, every: DataFrame, floors: DataFrame, points:
 
     every: the run table, with judge_pin where pins are known. points: stream_id, at.
     """
-    upto = traced.join(points, "stream_id").where(F.col("run_index") <= F.col("at"))
-    out = points.join(_last(upto), ["stream_id", "at"], "left")
-    seen = every.where("kind = 'system'").join(points, "stream_id").where(F.col("run_index") <= F.col("at"))
-    first = Window.partitionBy("stream_id", "kind").orderBy("run_index")
-    changed = F.lit(False)
-    if "judge_pin" in every.columns:
-        pins = every.withColumn("delta", scores.differing_fields(F.col("judge_pin"), F.first("judge_pin").over(first)))
-        pins = pins.join(points, "stream_id").where(F.col("run_index") <= F.col("at")).groupBy("stream_id", "at")
-        pins = pins.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("delta")))).alias("pin_delta"), F.min(F.when((F.col("kind") == "system") & (F.size("delta") > 0), F.col("run_index"))).alias("pin_changed_at"))
-        out, changed = out.join(pins, ["stream_id", "at"], "left"), F.coalesce(F.size("pin_delta") > 0, F.lit(False))
-    suite = seen.groupBy("stream_id", "at").agg(F.count(F.lit(1)).alias("n_runs"), (F.count_distinct("suite_hash") <= 1).alias("suite_agrees"), F.max_by("n", "run_index").alias("last_n"))
-    out = out.join(suite, ["stream_id", "at"], "left").join(floors.select("stream_id", "per_item_sd", F.greatest("run_mean_sd", F.lit(scores.MIN_SD)).alias("floor_sd"), "replicates", "n_items"), "stream_id", "left")
+    out = _known_at(traced, every, points)
+    changed = F.coalesce(F.size("pin_delta") > 0, F.lit(False)) if "judge_pin" in every.columns else F.lit(False)
+    out = out.join(floors.select("stream_id", "per_item_sd", F.greatest("run_mean_sd", F.lit(scores.MIN_SD)).alias("floor_sd"), "replicates", "n_items"), "stream_id", "left")
     n_anchor = F.coalesce(F.col("anchor_t") + 1, F.lit(0))
     mds = min_shift_column(F.col("n_items"), F.col("per_item_sd"), F.col("floor_sd"), F.col("n_items"), dead_factor(F.col("replicates"), config.alpha), F.greatest(n_anchor, F.lit(1)), config.alpha, config.target)
     shift = (F.coalesce("system_shift_lo", F.lit(0.0)) + F.coalesce("system_shift_hi", F.lit(0.0))) / 2.0

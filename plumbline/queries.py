@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import power, scores
 from .functions.power import Floor
 from .operators import anchors, confseq, kernel, rivals, runs, tallies, wealth
-from .plans import attribution, replay
+from .plans import attribution, replay, study
 from .sources import generator, ingest, ledger, tables
+from .sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CONFIG = attribution.Config(min_obs=10, backend="windows")
@@ -398,3 +399,167 @@ def simulation_modal_verdict(spark, sf):
 @query
 def simulation_arl0(spark, sf):
     return tallies.arl0(simulated(spark)[0].withColumn("method", F.lit("full")), ["method"], 52)
+
+
+def outcomes_table(spark: SparkSession) -> DataFrame:
+    """2,000 made-up outcomes of streams, a fixed function of their numbers: what the tallies are checked on."""
+    i = F.col("id")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    rows = spark.range(2000).select(
+        F.concat(F.lit("s"), i.cast("string")).alias("stream_id"),
+        F.concat(F.lit("m"), (i % 3).cast("string")).alias("method"),
+        (i % 24).alias("cell"),
+        pick(["stable", "judge", "system", "both"], i % 4).alias("truth"),
+        pick([0.02, 0.05, 0.1], F.floor(i / 4) % 3).alias("shift"),
+        F.when(i * 37 % 11 < 7, i * 53 % 60).alias("alarm_at"),
+        pick(["stable", "system", "judge", "both", "indeterminate"], (i * 17 + F.floor(i / 7)) % 5).alias("verdict"),
+    )
+    return rows
+
+
+@query
+def tally_rates(spark, sf):
+    out = tallies.tally(outcomes_table(spark), ["method", "truth"], 12)
+    return out.select("method", "truth", "n", "alarms", *r6("false_alarm_rate", "detection_rate", "median_delay", "mean_delay"))
+
+
+@query
+def tally_misattribution(spark, sf):
+    return tallies.misattribution(outcomes_table(spark), ["method"]).select("method", *r6("judge_as_system", "system_as_judge", "indeterminate_rate", "accuracy"))
+
+
+@query
+def tally_modal_verdict(spark, sf):
+    return tallies.modal_verdict(outcomes_table(spark), ["cell"])
+
+
+@query
+def tally_arl0(spark, sf):
+    return tallies.arl0(outcomes_table(spark), ["method"], 52).select("method", *r6("arl0"))
+
+
+@query
+def tally_worst_cell(spark, sf):
+    rates = tallies.misattribution(outcomes_table(spark).where("truth = 'judge'"), ["cell"])
+    return tallies.worst_cell(rates, "cell", "judge_as_system").select(*r6("mean_rate", "worst_rate"), "worst_cell")
+
+
+@query
+def delay_by_shift(spark, sf):
+    return study.delay_by_shift(outcomes_table(spark), 12).select("method", "shift", *r6("median_delay", "mean_delay"), "n")
+
+
+@query
+def delay_ratio(spark, sf):
+    return study.delay_ratio(study.delay_by_shift(outcomes_table(spark), 12), "m0", "m1").select(*r6("mean_delay", "mean_delay_against", "ratio"))
+
+
+@query
+def headline_guard(spark, sf):
+    rows = outcomes_table(spark).where("method = 'm0'")
+    share = lambda truth, hit: F.avg(F.when(F.col("truth") == truth, hit.cast("double")))
+    said = F.col("verdict")
+    rates = rows.agg(share("stable", F.col("alarm_at").isNotNull()).alias("false_alarm_rate"), share("judge", said == "judge").alias("judge_correct"), share("judge", said == "system").alias("judge_as_system"))
+    return study.guard(rates).select("failure", *r6("value"), "bound")
+
+
+def supplier_pool(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as items, return flags and the tax as configurations, line numbers as repeated scorings."""
+    rows = tables.read(spark, sf, "lineitem").withColumn("item_id", F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
+    named = F.create_map(*(F.lit(x) for pair in (("A", "a-baseline"), ("N", "b-other-snapshot"), ("R", "c-strict-rubric")) for x in pair))
+    flags = rows.groupBy(named[F.col("l_returnflag")].alias("config"), "item_id").agg((F.avg("l_discount") / 0.1).alias("score"))
+    effort = rows.groupBy(F.lit("d-effort").alias("config"), "item_id").agg((F.avg("l_tax") / 0.08).alias("score"))
+    repeats = rows.groupBy((F.col("l_linenumber") % 5).alias("replicate"), "item_id").agg((F.avg("l_discount") / 0.1).alias("score"))
+    return flags.unionByName(effort), repeats
+
+
+@query
+def composed_streams(spark, sf):
+    """Six scenarios spliced from a pool: every run's size and mean."""
+    obs, _ = study.compose(spark, *supplier_pool(spark, sf), anchor_n=40, system_n=40)
+    return obs.groupBy("stream_id", "kind", "run_index").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean")).select("stream_id", "kind", "run_index", "n", *r6("mean"))
+
+
+@query
+def pool_floor(spark, sf):
+    pool, repeats = supplier_pool(spark, sf)
+    return study.pool_floor(repeats, study.halves(study.common_items(pool), 40, 40)).select(*r6("per_item_sd", "run_mean_sd"), "replicates", "n_items")
+
+
+@query
+def scenario_verdicts(spark, sf):
+    return study.scenario_verdicts(*study.compose(spark, *supplier_pool(spark, sf), anchor_n=40, system_n=40), attribution.Config())
+
+
+@query
+def pool_common_items(spark, sf):
+    """Customers with orders of every priority."""
+    orders = tables.read(spark, sf, "orders")
+    return study.common_items(orders.select(F.col("o_orderpriority").alias("config"), F.col("o_custkey").alias("item_id")))
+
+
+@query
+def pool_halves(spark, sf):
+    pool, _ = supplier_pool(spark, sf)
+    return study.halves(study.common_items(pool), 40, 40)
+
+
+@query
+def coverage_warnings(spark, sf):
+    suite = labelled(spark, sf)
+    out = anchors.coverage_warnings(anchors.coverage(suite, suite.where("score < 0.85 and not array_contains(tags, 'es')")))
+    return out.select("adequate", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query
+def noise_floor_warnings(spark, sf):
+    rows = tables.replicates(spark, sf).withColumn("set", F.explode(F.array(F.lit("all"), F.lit("two"), F.lit("flat"))))
+    rows = rows.where("set <> 'two' or replicate < 2").withColumn("score", F.when(F.col("set") == "flat", 0.5).otherwise(F.col("score")))
+    return anchors.floor_warnings(anchors.noise_floor(rows, ["set"])).select("set", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query
+def head_per_stratum(spark, sf):
+    docs = tables.read(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("item_id"), F.col("lang").alias("stratum"))
+    return anchors.head_per_stratum(docs, 450)
+
+
+@query
+def first_items(spark, sf):
+    return anchors.first_items(tables.read(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("item_id"), "lang"), 30)
+
+
+@query
+def clipped_texts(spark, sf):
+    docs = tables.read(spark, sf, "documents")
+    return docs.select("doc_id", F.length(anchors.clipped(F.col("text"), 1200)).alias("n"), F.sha2(anchors.clipped(F.col("text"), 2400), 256).alias("sha256"))
+
+
+@query
+def run_means_reordered(spark, sf):
+    """The order of observations within a run changes nothing."""
+    obs = monthly(spark, sf).repartition(3, "score").sortWithinPartitions(F.col("score").desc())
+    return runs.run_table(obs).select("kind", "run_index", "n", *r6("mean"), "suite_hash")
+
+
+@query
+def point_null_wealth(spark, sf):
+    legs = tables.discount_legs(spark, sf)
+    base = legs.where("t < 8").groupBy("stream_id").agg(F.avg("z").alias("m0"))
+    rows = study.point_null(legs.where("t >= 8").join(base, "stream_id"), wealth.LEG, "t", "z", F.col("m0"), 0.05)
+    return rows.select("t", *r6("log_wealth"), "alarm")
+
+
+def many_streams(spark: SparkSession, seeds: int = 13) -> tuple[DataFrame, DataFrame]:
+    """Eight methods on 8 cells of simulated streams: outcomes with truth, shift and cell; and the specs."""
+    specs = generator.grid(spark, seeds, judge_shift=[0.0, -0.1], system_shift=[0.0, -0.02, -0.05, -0.1], n_runs=[60], system_items=[60], anchor_items=[200])
+    obs = written(generator.observations(specs), "simulated")  # made once, read by every method
+    said = study.alarms(obs, generator.floors(specs), attribution.Config())
+    about = specs.select(F.col("name").alias("stream_id"), "cell", F.abs("system_shift").alias("shift"))
+    return said.join(generator.truth(specs), "stream_id").join(about, "stream_id"), specs
+
+
+@query
+def simulation_methods(spark, sf):
+    """Every method's rates over 104 streams."""
+    return tallies.tally(many_streams(spark)[0], ["method"], 12)

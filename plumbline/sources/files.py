@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def listing(spark: SparkSession, root: str, pattern: str = "*.json*", most: int = 4000) -> DataFrame:
-    """Paths and sizes under root that match; pruned folders are those that start with a dot."""
+def listing(spark: SparkSession, root: str, pattern: str = "*.json*", most: int | None = None) -> DataFrame:
+    """Paths and sizes under root that match; pruned folders are those that start with a dot. most: raises beyond so many."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "length").where(~F.col("path").rlike(r"/\.[^/]+/")).orderBy("path").limit(most)
+    found = files.select("path", "length").where(~F.col("path").rlike(r"/\.[^/]+/"))
+    if most is not None and len(found.limit(most + 1).collect()) > most:
+        raise ValueError(f"more than {most} files under {root}")
+    return found.orderBy("path")
 
 
 def detect_framework(spark: SparkSession, root: str) -> str:
@@ -36,12 +39,19 @@ def looks_like_scores(spark: SparkSession, path: str) -> bool:
     return 0 < r["n"] == r["good"]
 
 
-def log_sections(lines: DataFrame, section: str, outcome: str) -> DataFrame:
-    """lines (seq, value) as rows: the section's name carried forward to each line that matches outcome (one group: its kind)."""
+def log_sections(lines: DataFrame, section: str, outcome: str, stretch: int = 100_000) -> DataFrame:
+    """lines (seq, value) as rows: the section's name carried forward to each line that matches outcome (one group: its kind).
+
+    Names are carried within stretches of the log, then from stretch to stretch, so no task reads the whole log.
+    """
     name = F.nullif(F.regexp_extract("value", section, 1), F.lit(""))
     kind = F.nullif(F.regexp_extract("value", outcome, 1), F.lit(""))
-    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("config", F.last(name, ignorenulls=True).over(w)).withColumn("kind", kind).where("kind is not null").select("seq", "config", "kind")
+    cut = lines.select("seq", F.floor(F.col("seq") / stretch).alias("stretch"), name.alias("name"), kind.alias("kind")).where("name is not null or kind is not null")
+    within = Window.partitionBy("stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ends = cut.groupBy("stretch").agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("seq"))).alias("end"))
+    carried = ends.select("stretch", F.last("end", ignorenulls=True).over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    rows = cut.withColumn("own", F.last("name", ignorenulls=True).over(within)).join(carried, "stretch")
+    return rows.where("kind is not null").select("seq", F.coalesce("own", "before").alias("config"), "kind")
 
 
 def verified(data: DataFrame, manifest: DataFrame, text: str = "text") -> DataFrame:

@@ -58,11 +58,15 @@ def observations(specs_df: DataFrame) -> DataFrame:
         for batch in batches:
             for s in batch.itertuples():
                 rng = np.random.default_rng(s.seed)
+                ids = {prefix: [f"{prefix}-{i}" for i in range(n)] for prefix, n in (("item", s.system_items), ("anchor", s.anchor_items))}
+                parts = []
                 for t in range(s.n_runs):
                     judge, system = (s.judge_shift, s.system_shift) if t >= s.change_at else (0.0, 0.0)
                     for kind, level, n, prefix in (("system", s.system_level + judge + system, s.system_items, "item"), ("anchor", s.anchor_level + judge, s.anchor_items, "anchor")):
                         x = scores_of(rng, level, n, s)
-                        yield pd.DataFrame({"stream_id": s.name, "kind": kind, "epoch": 0, "run_index": t, "item_id": [f"{prefix}-{i}" for i in range(n)], "score": x})
+                        parts.append((np.full(n, kind, object), np.full(n, t), np.array(ids[prefix], object), x))
+                kinds, runs, items, x = (np.concatenate(c) for c in zip(*parts))
+                yield pd.DataFrame({"stream_id": s.name, "kind": kinds, "epoch": 0, "run_index": runs, "item_id": items, "score": x})
 
     n = max(1, specs_df.count())
     return specs_df.repartition(min(n, 4 * specs_df.sparkSession.sparkContext.defaultParallelism), "name").mapInPandas(make, OBSERVATIONS)

@@ -44,10 +44,11 @@ def validate(rows: DataFrame, lo: float, hi: float, keys: list[str] | None = Non
 
 
 def strict(rows: DataFrame) -> DataFrame:
-    """Only sound tables pass: the first issues are gathered into one error."""
-    bad = rows.where("issue is not null").limit(20).collect()
-    if bad:
-        raise ValueError("; ".join(f"{r['item_id']}: {r['issue']}" for r in bad))
+    """Only sound tables pass: all issues are gathered into one error."""
+    bad = rows.where("issue is not null").select("item_id", "issue").toLocalIterator()
+    text = "; ".join(f"{r['item_id']}: {r['issue']}" for r in bad)
+    if text:
+        raise ValueError(text)
     if not rows.take(1):
         raise ValueError("no scored items")
     return rows
