@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from plumbline.llm import pieces
 
-from .docs import awkward
+from .docs import awkward, empty
 from .test_near import brute, family
 from .test_text_models import brute_stats
 
@@ -28,3 +28,20 @@ def test_each_stage_acts_on_what_the_one_before_kept(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     back = sorted((r["doc_id"], r["text"]) for r in pieces.decode(out).collect())
     assert back == sorted(seen[3])
+
+
+def test_an_empty_table_and_any_column_names(spark, tmp_path):
+    empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rng = random.Random(3)
+    docs = awkward(spark, [family(rng, 1, 0)[0] for _ in range(12)])
+    names = ["key", "row", "gone", "rejected", "k0", "spans", "node", "fold", "times", "__key", "__gone", "of", "d", "low"]
+    docs = docs.drop("key", "row").selectExpr("*", *(f"doc_id AS {n}" for n in names))
+    step = docs
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        step = f(spark, step, "")
+        assert step.columns == docs.columns
+    rows = step.collect()
+    assert {r["doc_id"] for r in rows} >= set(range(12)) and all(r[n] == r["doc_id"] for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, step, "").count() == len(rows)
+

@@ -2,10 +2,13 @@ import base64
 import collections
 import hashlib
 import math
+import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import common, mixing, ring, topk, warc
@@ -163,3 +166,73 @@ def test_mix_budget_and_entropy(spark):
     assert 4950 <= total <= 5000 and abs(entropy - 0.8 * math.log(2)) < 0.01
     again = mixing.temperature_mix(docs, max_repeats=None, entropy_share=0.8, budget_share=0.5, block_rows=50)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
+
+
+def spark_hash(*values):
+    """Spark's xxhash64: ("i", n) is an int, an int is a long, a text its bytes; null passes the seed on."""
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v[1].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True) if isinstance(v, int) else v.encode()
+            h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def brute_mix(rows, a, full, block_rows, seed):
+    """doc_id, source, epoch, block, mix_point of every taken row, by loops over the definition."""
+    keyed = {}
+    for i, text, source in rows:
+        key = (spark_hash(i, text), i, source)
+        tokens, times = keyed.get(key, (0, 0))
+        keyed[key] = tokens + len(re.findall(r"[^ \t\n\x0b\f\r]+", text or "")), times + 1
+    sources = {}
+    for (_, _, s), (n, _) in keyed.items():
+        have = sources.setdefault(s, [0, 0])
+        have[0] += n
+        have[1] += 1
+    total = sum(n for n, _ in sources.values())
+    z = sum((n / total) ** a for n, _ in sources.values() if n)
+    out = []
+    for s, (tokens, keys) in sources.items():
+        target = round((tokens / total) ** a / z * (full * total)) if tokens else 0
+        epochs = target // tokens if tokens else 1
+        rest = target - epochs * tokens if tokens else 0
+        n_blocks = max(1, -(-keys // block_rows))
+        blocks = {}
+        for (h, i, of), (n, _) in keyed.items():
+            if of == s:
+                blocks.setdefault(spark_hash(h, ("i", seed)) % n_blocks, []).append((h, i, n))
+        for e in range(epochs + 1):
+            before = 0
+            for b in sorted(blocks, key=lambda b: (spark_hash(b, ("i", e), ("i", seed)), b)):
+                through = before
+                for h, i, n in sorted(blocks[b], key=lambda r: (spark_hash(r[0], ("i", e), ("i", seed)), r[0])):
+                    through += n
+                    if e < epochs or (before < rest and through <= rest):
+                        out.append((i, s, e, b, round((e * tokens + before) / target, 9) if target else 0.0))
+                before += sum(n for _, _, n in blocks[b])
+    return out
+
+
+def test_mix_equals_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 9)) + f" {i % 50}", rng.choice("aaaaaaaabbbc") if i % 90 else None) for i in range(500)]
+    rows += rows[:20] + [(None, "x y", "b"), (7, None, "empty"), (8, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = {}
+    for _, t, s in rows:
+        words[s] = words.get(s, 0) + len((t or "").split())
+    shares = [n / sum(words.values()) for n in words.values() if n]
+    lo, hi = 0.0, 1.0
+    for _ in range(60):  # the flattest exponent that repeats no source over 2.5 times as often as another
+        a = (lo + hi) / 2
+        repeats = [q ** (a - 1) for q in shares]
+        lo, hi = (lo, a) if max(repeats) / min(repeats) <= 2.5 else (a, hi)
+    sources = spark.createDataFrame([(n, n / sum(words.values()) if n else None) for n in words.values()], "tokens long, share double")
+    found, full = mixing.fit_exponent(sources, 2.5)
+    assert abs(found - hi) < 1e-7
+    got = mixing.temperature_mix(docs, max_repeats=2.5, block_rows=16).collect()
+    have = sorted((r["doc_id"] is None, r["doc_id"] or 0, str(r["source"]), r["epoch"], r["block"], r["mix_point"]) for r in got)
+    want = sorted((i is None, i or 0, str(s), e, b, p) for i, s, e, b, p in brute_mix(rows, found, full, 16, 17))
+    assert [x[:5] for x in have] == [x[:5] for x in want] and all(abs(x[5] - y[5]) < 1e-8 for x, y in zip(have, want))
+
