@@ -3,40 +3,50 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from ..sources.shared import folder
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only on a single local JVM."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+_SCRATCH: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
+
 
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here and outlives executors.
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and outlives executors."""
+    keep: it outlives the scratch() it is made in, too.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
+    held = _SCRATCH[: len(_SCRATCH) - keep]
+    if held:
+        held[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside are deleted at the end. What is needed after that must have been materialized to keep."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A driver-made table of bounded size, without Python workers."""
     names = [c.strip().split()[0] for c in ddl.split(",")]

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, blocks, buffers, free_name, materialize, mix, span_hash, words
+from .common import BASE, blocks, buffers, free_name, materialize, mix, scratch, span_hash, words
 
 ORDER = 5
 START = "\x02"
@@ -244,12 +244,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def model(texts: DataFrame) -> DataFrame:
     """range, size, keys, l0, l1: the model as sorted hash arrays, one row a hash range."""
-    entries = materialize(probabilities(count_ngrams(texts)).mapInArrow(_hashed, "key long, l0 float, l1 float"), "entries")
-    ranges = max(1, -(-entries.count() // RANGE))
-    bits = (ranges - 1).bit_length()
-    place = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int") if bits else F.lit(0)
-    ranged = entries.withColumn("range", place).repartitionById(1 << bits, "range").sortWithinPartitions("key")
-    return materialize(ranged.mapInArrow(_packed, "range int, size long, keys binary, l0 binary, l1 binary"), "model")
+    with scratch(texts.sparkSession):
+        entries = materialize(probabilities(count_ngrams(texts)).mapInArrow(_hashed, "key long, l0 float, l1 float"), "entries")
+        ranges = max(1, -(-entries.count() // RANGE))
+        bits = (ranges - 1).bit_length()
+        place = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int") if bits else F.lit(0)
+        ranged = entries.withColumn("range", place).repartitionById(1 << bits, "range").sortWithinPartitions("key")
+        return materialize(ranged.mapInArrow(_packed, "range int, size long, keys binary, l0 binary, l1 binary"), "model", keep=True)
 
 
 class Slice:
