@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, materialize, mix, parts, span_hash, text_or_empty
+from .common import blocks, buffers, materialize, mix, parts, scratch, span_hash, text_or_empty
 from .common import ranges as _ranges
 
 LENGTH = 50
@@ -388,7 +388,8 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD, spot: int = SPOT) -> Dat
     copies = materialize(known.where("copy").select("doc_id", "rid").distinct(), "copied")
     live = keyed.where("doc_id is not null").withColumn("rid", F.xxhash64("doc_id", "text")).where(F.octet_length("text") >= LENGTH).join(copies, ["doc_id", "rid"], "left_anti")
     n_bytes = known.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = materialize(repeated_ranges(live, n_bytes, crowd, spot), "ranges")
+    with scratch(docs.sparkSession):
+        ranges = materialize(repeated_ranges(live, n_bytes, crowd, spot), "ranges", keep=True)
     cut = live.join(ranges, ["doc_id", "rid"]).dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", "text", "lo", "hi").mapInArrow(_cut, "doc_id long, rid long, n_removed long, n_spans long, kept_sha256 string")
     cut = cut.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "n_removed", "n_spans", "kept_sha256")
     whole = F.col("copy") & (F.col("n_bytes") >= LENGTH)
