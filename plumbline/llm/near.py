@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, free_name, materialize, mix, parts, shingles, span_hash, words
+from .common import blocks, buffers, free_name, materialize, mix, parts, scratch, shingles, span_hash, words
 
 WIDTH = 5
 PERMUTATIONS = 64
@@ -183,17 +183,18 @@ def own_shingles(texts: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of edges (a, b)."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    now = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        told = both.join(now, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("told"))
-        step = now.join(told, "node").select("node", F.least("component", "told").alias("near"), F.col("component").alias("old"))
-        jump = now.select(F.col("node").alias("at"), F.col("component").alias("far"))
-        new = step.join(jump, F.col("near") == F.col("at")).select("node", F.least("near", "far").alias("component"), (F.least("near", "far") != F.col("old")).alias("moved"))
-        new = materialize(new, "labels")
-        now = new.select("node", "component")
-        if not new.where("moved").take(1):
-            return now
+    with scratch(edges.sparkSession):
+        both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+        now = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+        while True:
+            told = both.join(now, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("told"))
+            step = now.join(told, "node").select("node", F.least("component", "told").alias("near"), F.col("component").alias("old"))
+            jump = now.select(F.col("node").alias("at"), F.col("component").alias("far"))
+            new = step.join(jump, F.col("near") == F.col("at")).select("node", F.least("near", "far").alias("component"), (F.least("near", "far") != F.col("old")).alias("moved"))
+            new = materialize(new, "labels")
+            now = new.select("node", "component")
+            if not new.where("moved").take(1):
+                return materialize(now, "labels", keep=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
