@@ -55,6 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), "stage")
+    for _, stage in STAGES[:-1]:
+        with common.scratch(spark):  # a stage's own tables go once its result is written
+            docs = common.materialize(stage(spark, docs, sf_dir), "stage", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
