@@ -6,7 +6,6 @@ with the stream. Micro-batches of any size give the batch result, since each obs
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,12 +21,17 @@ from ..sources import ingest
 OUT = "stream_id string, leg string, t long, log_e double, peak_log_e double, alarm boolean, best_start long, direction string, late boolean"
 
 
-def _dump(state: dict) -> str:
-    return json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in state.items()})
+STATE = "epoch long, last long, t long, peak double, starts binary"
 
 
-def _load(text: str) -> dict:
-    return {k: np.array(v, float) if isinstance(v, list) else v for k, v in json.loads(text).items()}
+def _dump(state: dict) -> tuple[int, float, bytes]:
+    """t, peak, and the arrays of the live starts one after the other."""
+    return state["t"], float(state["peak"]), np.concatenate([state[f] for f in kernel.FIELDS]).tobytes()
+
+
+def _load(t: int, peak: float, starts: bytes) -> dict:
+    rows = np.frombuffer(starts).reshape(len(kernel.FIELDS), -1)
+    return dict(zip(kernel.FIELDS, rows)) | {"t": t, "peak": peak}
 
 
 def detect(legs: DataFrame, alpha: float, most_starts: int = MOST_STARTS) -> DataFrame:
@@ -39,7 +43,7 @@ def detect(legs: DataFrame, alpha: float, most_starts: int = MOST_STARTS) -> Dat
     limit = float(np.log(1.0 / alpha))
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        epoch, last, state = (held.get[0], held.get[1], _load(held.get[2])) if held.exists else (-1, -1, kernel.fresh())
+        epoch, last, state = (*held.get[:2], _load(*held.get[2:])) if held.exists else (-1, -1, kernel.fresh())
         out = []
         for r in pd.concat(list(frames)).sort_values(["epoch", "t"]).itertuples():
             if r.epoch > epoch:
@@ -50,10 +54,10 @@ def detect(legs: DataFrame, alpha: float, most_starts: int = MOST_STARTS) -> Dat
             state, log_e, best, rising = kernel.step(state, r.z, r.null_lo, r.null_hi, most_starts)
             last = int(r.t)
             out.append((*key, r.t, log_e, state["peak"], state["peak"] >= limit, best, "up" if rising else "down", False))
-        held.update((epoch, last, _dump(state)))
+        held.update((epoch, last, *_dump(state)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"alarm": "object", "best_start": "Int64"})
 
-    return legs.groupBy(*LEG).applyInPandasWithState(run, OUT, "epoch long, last long, state string", "append", GroupStateTimeout.NoTimeout)
+    return legs.groupBy(*LEG).applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def ingest_files(lines: DataFrame, lo: float, hi: float, accept: Callable[[DataFrame], None], refuse: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
