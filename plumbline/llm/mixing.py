@@ -12,7 +12,8 @@ each block, so no source is gathered row by row in one task.
 The default budget is the least that takes every row of every source at least once: nothing is dropped,
 and small sources repeat. Nulls: a null source is a source of its own; a null text has no tokens. Rows
 that repeat doc_id, source and text move together, with their number in n_rows. A source without tokens
-is taken once. An empty table gives no rows. Other columns pass `mix_rows` unchanged, names of working
+is taken once. A very long text is a row with many tokens, taken whole or not at all; equal hashes are ordered by
+block number or row_key. An empty table gives no rows. Other columns pass `mix_rows` unchanged, names of working
 columns included.
 """
 
