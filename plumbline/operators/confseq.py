@@ -41,7 +41,7 @@ def empirical_bernstein(df: DataFrame, keys: list[str], order: str, x: str, alph
     return df.withColumn("cs_hi", 1.0 - F.col("_up")).drop("_y", "_up")
 
 
-def hedged_capital(df: DataFrame, keys: list[str], order: str, x: str, alpha: float, breaks: int = 100, theta: float = 0.5) -> DataFrame:
+def hedged_capital(df: DataFrame, keys: list[str], order: str, x: str, alpha: float, breaks: int = 1000, theta: float = 0.5) -> DataFrame:
     """keys, order, m, capital: log capital against each mean m of the grid. The grid is exploded, breaks + 1 rows to a row."""
     df = with_bets(df, keys, order, x, alpha * theta, "_a", None)
     df = with_bets(df, keys, order, x, alpha * (1.0 - theta), "_b", None)
@@ -56,7 +56,7 @@ def hedged_capital(df: DataFrame, keys: list[str], order: str, x: str, alpha: fl
     return grid.withColumn("capital", F.when(inner, capital).otherwise(float("inf"))).drop("_a", "_b")
 
 
-def hedged(df: DataFrame, keys: list[str], order: str, x: str, alpha: float, breaks: int = 100) -> DataFrame:
+def hedged(df: DataFrame, keys: list[str], order: str, x: str, alpha: float, breaks: int = 1000) -> DataFrame:
     """keys, order, cs_lo, cs_hi by inverting the capital, widened by one grid step on both sides."""
     inside = F.when(F.col("capital") <= F.ln(F.lit(1.0 / alpha)) + 1e-10, F.col("m"))
     step = 1.0 / breaks

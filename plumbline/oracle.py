@@ -135,7 +135,7 @@ def hedged(source: str, alpha: float, breaks: int) -> str:
       cs AS (SELECT t, CASE WHEN hi < lo THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN hi < lo THEN (lo + hi) / 2 ELSE hi END AS hi FROM h8)"""
 
 
-SQL["hedged_confidence_sequence"] = f"{LEG}, {hedged('leg', 0.05, 100)} SELECT t, round(lo, 6) AS cs_lo, round(hi, 6) AS cs_hi FROM cs"
+SQL["hedged_confidence_sequence"] = f"{LEG}, {hedged('leg', 0.05, 1000)} SELECT t, round(lo, 6) AS cs_lo, round(hi, 6) AS cs_hi FROM cs"
 SQL["estimated_baseline_null"] = f"""{LEG}, early AS (SELECT * FROM leg WHERE t < 8), {hedged('early', 0.025, 200)}
   SELECT 'system' AS leg, round(lo, 6) AS null_lo, round(hi, 6) AS null_hi, round((SELECT avg(z) FROM early), 6) AS point FROM cs ORDER BY t DESC LIMIT 1"""
 
