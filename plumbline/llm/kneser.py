@@ -405,10 +405,12 @@ def scored(docs: DataFrame, slice_bytes: int = 192 << 20) -> DataFrame:
 def bands(rows: DataFrame) -> DataFrame:
     """lang, mid, below and above (median deviations on each side), typical (median size) and many (texts), of distinct texts."""
     once = rows.where("score is not null").groupBy("lang", "key").agg(F.max("score").alias("score"), F.max("size").alias("size"))
-    bin_, length = F.round(F.col("score") / GRAIN).cast("long"), F.round(F.log2("size") * 64).cast("long")
-    counted = materialize(once.groupBy("lang", bin_.alias("bin"), length.alias("length")).agg(F.count(F.lit(1)).alias("n")), "bins")
+    # a language's rows below are its different bins, of a bounded number, however many texts it has
+    once = materialize(once.select("lang", F.round(F.col("score") / GRAIN).cast("long").alias("bin"), F.round(F.log2("size") * 64).cast("long").alias("length")), "bins")
+    counted, lengths = (once.groupBy("lang", c).agg(F.count(F.lit(1)).alias("n")) for c in ("bin", "length"))
     half = F.lit(0.5)
-    mid = counted.groupBy("lang").agg(F.percentile("bin", half, F.col("n")).alias("mid"), F.percentile("length", half, F.col("n")).alias("typical"), F.sum("n").alias("many"))
+    mid = counted.groupBy("lang").agg(F.percentile("bin", half, F.col("n")).alias("mid"), F.sum("n").alias("many"))
+    mid = mid.join(lengths.groupBy("lang").agg(F.percentile("length", half, F.col("n")).alias("typical")), "lang")
     off = counted.join(mid, "lang").withColumn("off", F.col("bin") - F.col("mid"))
     side = [F.percentile(F.when(x > 0, x), half, F.col("n")).alias(name) for x, name in ((-F.col("off"), "below"), (F.col("off"), "above"))]
     whole = off.groupBy("lang").agg(*(F.first(c).alias(c) for c in ("mid", "typical", "many")), *side)
