@@ -7,14 +7,16 @@ ties at it the smallest ids. A histogram row is a query's bin, at most `BINS` pe
 
 Nulls: vectors that are null, or hold null or non-finite components, and rows without an id take no part. A
 shorter vector counts as ending in zeros. A query's own id is no candidate for it; rows that repeat an id
-are candidates of their own and, as queries, count once. Fewer than k candidates: all are returned. Ties go
-to the smaller id. Scores are exact whole numbers whatever the components; one beyond `TOP` (2^62 - 1, either
-way) counts as TOP. A component whose 256-fold is beyond doubles counts as non-finite. Very long vectors make
-blocks of fewer rows. Empty tables give no rows; other columns are ignored.
+are candidates of their own and, as queries, count once, with the least of their vectors (by their components in
+order). Fewer than k candidates: all are returned. Ties go to the smaller id. Scores are exact whole numbers whatever
+the components, and so is their order; where one doesn't fit a long, the nearest long is reported in its place. A
+component whose 256-fold is beyond doubles counts as non-finite. Very long vectors make blocks of fewer rows. Empty
+tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ BINS = 1 << DIGIT
 BLOCK = 2048
 QUERIES = 256
 SHARE = 16
-TOP = (1 << 62) - 1
+LONG = (1 << 63) - 1
 PACKED = "ids binary, vecs binary, dim int"
 
 
@@ -43,13 +45,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores (queries x vectors) as whole numbers; a query's own id gets the least."""
+def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of queries and vectors, scores (queries x vectors) as whole numbers, and where the vector is another than the query."""
     dim = row["dim"]
     v_ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
     s = products(np.frombuffer(row["q_vecs"]).reshape(-1, dim), np.frombuffer(row["vecs"]).reshape(-1, dim))
-    s[q_ids[:, None] == v_ids[None, :]] = np.iinfo(np.int64).min
-    return q_ids, v_ids, s
+    return q_ids, v_ids, s, q_ids[:, None] != v_ids[None, :]
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -57,22 +58,31 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     bound = q.shape[1] * int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0))
     if bound < 1 << 52:
         return np.rint(q @ v.T).astype(np.int64)
-    if bound <= TOP:
+    if bound <= LONG:
         return q.astype(np.int64) @ v.astype(np.int64).T
     exact = np.vectorize(int, otypes=[object])
-    return np.clip(exact(q) @ exact(v).T, -TOP, TOP).astype(np.int64)
+    return exact(q) @ exact(v).T
 
 
-def _histograms(shift: int):
+def starts(digits: list[list[int]], bound: int, passes: int) -> list[int]:
+    """Where the ranges begin that the digits of the passes so far have led to."""
+    return [sum(d << (passes - 1 - i) * DIGIT for i, d in enumerate(row)) - bound for row in digits]
+
+
+def _histograms(bound: int, passes: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, _, s = _scores(row)
-                lo = np.frombuffer(row["lo"], np.int64)
-                own = s == np.iinfo(np.int64).min
-                b = (s - lo[:, None]) >> shift
-                ok = ~own & (b >= 0) & (b < BINS)
-                flat = (np.arange(len(q_ids))[:, None] * BINS + b)[ok]
+                q_ids, _, s, other = _scores(row)
+                lo = starts(json.loads(row["digits"]), bound, passes)
+                if s.dtype == object or bound > LONG:
+                    b = (s.astype(object) - np.array(lo, object)[:, None]) >> shift
+                    b = np.where((b >= 0) & (b < BINS), b, -1).astype(np.int64)
+                else:  # the difference of two longs fits 64 bits without a sign
+                    lo = np.array(lo, np.int64)[:, None]
+                    above = (s.astype(np.uint64) - lo.astype(np.uint64)) >> np.uint64(shift)
+                    b = np.where((s >= lo) & (above < BINS), above.astype(np.int64), -1)
+                flat = (np.arange(len(q_ids))[:, None] * BINS + b)[other & (b >= 0)]
                 n = np.bincount(flat, minlength=len(q_ids) * BINS)
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[at // BINS]), pa.array((at % BINS).astype(np.int32)), pa.array(n[at])], ["query_id", "bin", "n"])
@@ -80,21 +90,26 @@ def _histograms(shift: int):
     return run
 
 
-def _survivors(k: int):
+def _survivors(k: int, bound: int, passes: int):
+    width = passes * DIGIT // 8 + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, v_ids, s = _scores(row)
-                lo = np.frombuffer(row["lo"], np.int64)
-                own = s == np.iinfo(np.int64).min
-                qi, vi = np.nonzero((s > lo[:, None]) & ~own)
-                ti, tv = np.nonzero((s == lo[:, None]) & ~own)
+                q_ids, v_ids, s, other = _scores(row)
+                lo = starts(json.loads(row["digits"]), bound, passes)
+                lo = np.array(lo, object if s.dtype == object or bound > LONG else np.int64)[:, None]
+                qi, vi = np.nonzero((s > lo) & other)
+                ti, tv = np.nonzero((s == lo) & other)
                 order = np.lexsort((v_ids[tv], ti))
                 ti, tv = ti[order], tv[order]
                 first = np.searchsorted(ti, ti, "left")
                 keep = np.arange(len(ti)) - first < k
                 qi, vi = np.concatenate([qi, ti[keep]]), np.concatenate([vi, tv[keep]])
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(v_ids[vi]), pa.array(s[qi, vi])], ["query_id", "vec_id", "score"])
+                found = [int(x) for x in s[qi, vi]]
+                places = pa.array([(x + bound).to_bytes(width, "big") for x in found], pa.binary())
+                scores = pa.array([max(-LONG - 1, min(LONG, x)) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(v_ids[vi]), scores, places], ["query_id", "vec_id", "score", "place"])
 
     return run
 
@@ -108,7 +123,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50) -> DataFrame:
     whole = whole.select("vec_id", F.transform(x, lambda c: floor(scaled(c))).alias("q"))
     most, dim, count = whole.agg(F.max(F.array_max(F.transform("q", lambda c: F.abs(c)))), F.max(F.size("q")), F.count(F.lit(1))).first()
     dim, count = max(dim or 1, 1), count or 0
-    bound = min(int(most or 0) ** 2 * dim, TOP)
+    bound = int(most or 0) ** 2 * dim
     block = max(1, min(BLOCK, (64 << 20) // (8 * dim)))
     passes = max(1, -(-(2 * bound + 1).bit_length() // DIGIT))
 
@@ -123,31 +138,32 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(lo, QUERIES)
-                cols = [part.column("vec_id").to_numpy().astype(np.int64), _matrix(part.column("q"), dim), part.column("lo").to_numpy().astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["q_ids", "q_vecs", "lo"])
+                cols = [part.column("vec_id").to_numpy().astype(np.int64), _matrix(part.column("q"), dim)]
+                digits = pa.array([json.dumps(part.column("digits").to_pylist())])
+                yield pa.RecordBatch.from_arrays([*(pa.array([c.tobytes()], pa.binary()) for c in cols), digits], ["q_ids", "q_vecs", "digits"])
 
     # every group of vector blocks gets all query blocks: the larger the groups, the less is copied
     groups = max(1, -(-count // (block * SHARE)), min(-(-count // block), parts(vectors.sparkSession)))
     packed = materialize(whole.mapInArrow(pack, PACKED).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), "topk-vectors")
-    queries = materialize(whole.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"]), "topk-queries")
+    queries = materialize(whole.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("q").alias("q")), "topk-queries")
     n_blocks = max(1, -(-count // query_every // QUERIES))
 
     def pairs(state: DataFrame) -> DataFrame:
         q = queries.join(state, F.col("vec_id") == F.col("query_id")).repartition(n_blocks, F.xxhash64("vec_id"))
-        q = q.select("vec_id", "q", "lo").mapInArrow(pack_queries, "q_ids binary, q_vecs binary, lo binary")
+        q = q.select("vec_id", "q", "digits").mapInArrow(pack_queries, "q_ids binary, q_vecs binary, digits string")
         q = q.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         return packed.join(q, "g").drop("g")
 
-    state = queries.select(F.col("vec_id").alias("query_id"), F.lit(-bound).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
+    state = queries.select(F.col("vec_id").alias("query_id"), F.array().cast("array<int>").alias("digits"), F.lit(k).cast("long").alias("need"))
     down = Window.partitionBy("query_id").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     for i in reversed(range(passes)):
-        bins = pairs(state).mapInArrow(_histograms(i * DIGIT), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        bins = pairs(state).mapInArrow(_histograms(bound, passes, i * DIGIT), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         seen = state.join(bins.withColumn("through", F.sum("n").over(down)), "query_id", "left")
         # the bin of the kth score; with fewer than k scores the range's start stays, below them all
         hit = F.when(F.col("through") >= F.col("need"), F.struct(F.col("bin"), (F.col("need") - F.col("through") + F.col("n")).alias("left")))
-        best = seen.groupBy("query_id", "lo", "need").agg(F.max(hit).alias("hit"))
-        stepped = best.select("query_id", (F.col("lo") + F.coalesce(F.shiftleft(F.col("hit.bin").cast("long"), i * DIGIT), F.lit(0))).alias("lo"), F.coalesce("hit.left", "need").alias("need"))
+        best = seen.groupBy("query_id", "digits", "need").agg(F.max(hit).alias("hit"))
+        stepped = best.select("query_id", F.array_append("digits", F.coalesce("hit.bin", F.lit(0))).alias("digits"), F.coalesce("hit.left", "need").alias("need"))
         state = materialize(stepped, "topk-state")
-    found = pairs(state).mapInArrow(_survivors(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = pairs(state).mapInArrow(_survivors(k, bound, passes), "query_id long, vec_id long, score long, place binary")
+    order = Window.partitionBy("query_id").orderBy(F.col("place").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

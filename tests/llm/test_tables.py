@@ -132,12 +132,20 @@ def test_top_k_equals_brute_force(spark):
         want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
     assert {tuple(r) for r in got} == want
     huge = [(i, [1e9 * (i % 7 - 3), 3e38 if i % 5 == 0 else -2.5, float(i)], 0, "a", "b") for i in range(120)] + [(500, [1e9, 0.0, 0.0], 0, "a", "b")]
-    whole = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in v]) for i, v, *_ in huge]
-    want = set()
-    for q, a in [x for x in whole if x[0] % 50 == 0]:
-        best = sorted((-max(-topk.TOP, min(topk.TOP, sum(x * y for x, y in zip(a, b)))), i) for i, b in whole if i != q)[:5]
-        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
-    assert {tuple(r) for r in topk.top_k(spark.createDataFrame(huge, VECTORS)).collect()} == want
+    near = [(50, [2.0**24], 0, "a", "b"), *((i, [(2.0**22 - 1 + i / 4) if i % 2 else 2.0**22 - i], 0, "a", "b") for i in range(1, 30))]  # floor(256 x) near 2^30, the query's 2^32
+    edge = [(100, [2.0**23, 2.0**23], 0, "a", "b"), *((i, [2.0**23, 2.0**23 - i], 0, "a", "b") for i in range(1, 9)), (9, [-(2.0**23), -(2.0**23)], 0, "a", "b"), (11, [2.0**24, 2.0**23], 0, "a", "b"), (12, [2.0**24, 2.0**23 + 1], 0, "a", "b")]  # sums to 2^63 and over
+    twice = [(50, [2.0, 1.0], 0, "a", "b"), (50, [1.0, 9.0], 0, "a", "b"), *((i, [float(i % 3), float(i)], 0, "a", "b") for i in range(1, 9))]
+    for table in (huge, near, edge, twice):
+        whole = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in v]) for i, v, *_ in table]
+        queries = {}
+        for i, v in whole:
+            if i % 50 == 0:
+                queries[i] = min(v, queries.get(i, v))
+        want = set()
+        for q, a in queries.items():
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:5]
+            want |= {(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)}
+        assert {tuple(r) for r in topk.top_k(spark.createDataFrame(table, VECTORS)).collect()} == want
     few = topk.top_k(spark.createDataFrame(rows[:3], VECTORS)).collect()
     assert len(few) == 2 and topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
 
