@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import columns, materialize
 
 GRID = 33
 ROUNDS = 6
@@ -110,6 +110,6 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, in its own columns."""
     taken = temperature_mix(docs, **options)
     copies = taken.groupBy(F.col("row_key").alias("key"), F.col("source").alias("of")).agg(F.count(F.lit(1)).cast("int").alias("times"))
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("source").alias("of"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("source").alias("of"), F.struct(*columns(docs)).alias("row"))
     joined = keyed.alias("d").join(copies.alias("c"), (F.col("d.key") == F.col("c.key")) & F.col("d.of").eqNullSafe(F.col("c.of")))
     return joined.select(F.explode(F.array_repeat("d.row", F.col("c.times"))).alias("row")).select("row.*")

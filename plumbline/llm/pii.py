@@ -27,8 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
-from .spans import SPAN, find, joined, ordered, redacted, span
+from .common import columns, materialize, text_or_empty
+from .spans import ITEM, SPAN, apart, find, joined, matches, ordered, redacted, running, span
 
 # The kinds, in this order.
 KINDS = ["email", "ip", "card", "phone"]
@@ -66,8 +66,8 @@ def base_spans(text: Column) -> Column:
     )
 
 
-INSTANCES = "array<struct<s:int,e:int,token:string,one:string,two:string,o:int>>"
-WORDS = "array<struct<ws:int,we:int,s:int,e:int,token:string,one:string,two:string,ok:boolean>>"
+INSTANCE = "struct<s:int,e:int,token:string,one:string,two:string,o:int>"
+WORD = "struct<ws:int,we:int,s:int,e:int,token:string,one:string,two:string,ok:boolean>"
 
 
 def instance(s: Column, e: Column, token: Column, one: Column, two: Column, o: Column) -> Column:
@@ -78,10 +78,8 @@ def instance(s: Column, e: Column, token: Column, one: Column, two: Column, o: C
 
 def marked_words(text: Column) -> Column:
     """All words with a digit or @: where they are, what is left without marks around it, and the words before."""
-    matches = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(WORDS).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column, Column]:
         s = acc["at"] + F.length(x["gap"])
         e = s + F.length(x["m"])
         before = F.reverse(F.concat(acc["tail"], x["gap"]))
@@ -91,14 +89,26 @@ def marked_words(text: Column) -> Column:
         ok = (F.length(bare) >= 6) & ((F.length(digits(bare)) >= 4) | F.contains(bare, F.lit("@")))
         two = F.when(other != "", F.concat(other, F.lit(" "), last)).otherwise("")
         new = F.struct(s.alias("ws"), e.alias("we"), (s + lead).alias("s"), (s + lead + F.length(bare)).alias("e"), bare.alias("token"), last.alias("one"), two.alias("two"), ok.alias("ok"))
-        return F.struct(
-            F.coalesce(e, s).cast("int").alias("at"),
-            F.coalesce(F.concat(last, F.lit(" "), x["m"]), F.lit("")).alias("tail"),
-            F.when(x["m"].isNotNull(), F.array_append(acc["out"], new)).otherwise(acc["out"]).cast(WORDS).alias("out"),
-        )
+        after = F.struct(F.coalesce(e, s).cast("int").alias("at"), F.coalesce(F.concat(last, F.lit(" "), x["m"]), F.lit("")).alias("tail"))
+        return after, new.cast(WORD), x["m"].isNotNull()
 
-    zipped = F.transform(F.arrays_zip(matches.alias("m"), F.split(text, TOKEN, -1).alias("gap")), lambda z: F.struct(z["m"].alias("m"), z["gap"].alias("gap")))
-    return F.when(text.rlike(TOKEN), F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(WORDS))
+    found = running(matches(text, TOKEN), F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), WORD, step)["out"]
+    return F.when(text.rlike(TOKEN), found).otherwise(F.array().cast(f"array<{WORD}>"))
+
+
+def seeds_in(base: Column, words: Column) -> Column:
+    """Base spans as instances, in order. Each has a digit or an @, so it begins in a marked word."""
+    nothing = F.lit(None).cast(ITEM).alias("b")
+    places = F.concat(
+        F.transform(words, lambda w: F.struct(w["ws"].alias("at"), F.lit(-1).alias("o"), w["one"].alias("one"), w["two"].alias("two"), nothing)),
+        F.transform(base, lambda b: F.struct(b["s"].alias("at"), b["o"].alias("o"), F.lit(None).cast("string").alias("one"), F.lit(None).cast("string").alias("two"), b.alias("b"))),
+    )
+
+    def step(word: Column, p: Column) -> tuple[Column, Column, Column]:
+        here = F.struct(p["one"].alias("one"), p["two"].alias("two"))
+        return F.when(p["o"] < 0, here).otherwise(word), instance(p["b"]["s"], p["b"]["e"], p["b"]["value"], word["one"], word["two"], p["o"]), p["o"] >= 0
+
+    return running(F.array_sort(places), F.struct(F.lit("").alias("one"), F.lit("").alias("two")), INSTANCE, step)["out"]
 
 
 def scan(docs: DataFrame, *keys: Column) -> DataFrame:
@@ -107,13 +117,10 @@ def scan(docs: DataFrame, *keys: Column) -> DataFrame:
     text = text_or_empty()
     found = docs.select(*(k.alias(n) for k, n in zip(keys, names)), base_spans(text).alias("base"), marked_words(text).alias("w"))
 
-    def seed(b: Column) -> Column:  # it has a digit or an @, so it begins in a marked word
-        word = F.try_element_at(F.filter("w", lambda w: (w["ws"] <= b["s"]) & (b["s"] < w["we"])), F.lit(1))
-        return instance(b["s"], b["e"], b["value"], word["one"], word["two"], b["o"])
-
-    apart = F.filter("w", lambda w: w["ok"] & ~F.exists("base", lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"])))
-    others = F.transform(apart, lambda w: instance(w["s"], w["e"], w["token"], w["one"], w["two"], F.lit(None)))
-    return materialize(found.select(*names, "base", F.concat(F.transform("base", seed), others).cast(INSTANCES).alias("t")), "pii-scan")
+    free = apart(F.filter("w", lambda w: w["ok"]), F.col("base"), WORD)
+    others = F.transform(free, lambda w: instance(w["s"], w["e"], w["token"], w["one"], w["two"], F.lit(None)))
+    seeds = F.when(F.size("base") > 0, seeds_in(F.col("base"), F.col("w"))).otherwise(F.array().cast(f"array<{INSTANCE}>"))
+    return materialize(found.select(*names, "base", F.concat(seeds, others).cast(f"array<{INSTANCE}>").alias("t")), "pii-scan")
 
 
 def judged(places: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -171,7 +178,7 @@ def redact(docs: DataFrame) -> DataFrame:
     once = scanned.dropDuplicates(["k0"])
     more = added_spans(once, "k0", *bootstrap(scanned))
     spans = once.join(more, "k0", "left").select("k0", ordered(F.col("base"), F.coalesce("more", F.array().cast(SPAN))).alias("spans")).where(F.size("spans") > 0)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k0")).join(spans, "k0", "left")
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), key.alias("k0")).join(spans, "k0", "left")
     clean = F.when(F.col("spans").isNotNull() & F.col("row.text").isNotNull(), redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
     return rows.select(*(clean.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 

@@ -2,8 +2,8 @@
 
 Fixed patterns give the base spans (assign, access, hex); long tokens that mix upper case, lower case and
 digits are further candidates. Each candidate's value is hashed, and the hashes are aggregated over the
-corpus by distinct repositories (here: doc_id) and owners (here: source), one level after the other, so a
-value that is copied everywhere is one row per partition. A value seen with at least `example_owners`
+corpus by distinct repositories (here: doc_id) and by distinct owners (here: source), each of them once, whatever
+else it occurs with. A value seen with at least `example_owners`
 owners or in at least `example_repos` repositories is a widely copied example; others look live.
 
 The verdict becomes spans of its own over the values: `live` for each value that looks live, `example` for the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
 from .pii import counts
-from .spans import SPAN, find, joined, ordered, span
+from .spans import ITEM, SPAN, apart, find, joined, ordered, span
 
 # The kinds, in this order.
 KINDS = ["assign", "access", "hex"]
@@ -45,14 +45,14 @@ def secret_spans(docs: DataFrame, owner: str = "source", repo: str = "doc_id", e
     """doc_id, base, more (the verdicts' spans) of every row."""
     text = text_or_empty()
     found = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(owner).alias("owner"), F.col(repo).alias("repo"), base_spans(text).alias("base"), find(text, LONG, "token", len(KINDS), mixed).alias("long"))
-    apart = F.filter("long", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"])))
-    scanned = materialize(found.withColumn("long", apart), "secret-scan")
+    scanned = materialize(found.withColumn("long", apart(F.col("long"), F.col("base"), ITEM)), "secret-scan")
     each = scanned.select("rid", "owner", "repo", F.explode(F.concat("base", "long")).alias("x"))
     value = F.when(F.col("x.kind") == "assign", F.regexp_extract("x.value", ASSIGN, 1)).otherwise(F.col("x.value"))
     each = each.withColumn("value", value).select("rid", "owner", "repo", (F.col("x.e") - F.length("value")).alias("s"), F.col("x.e").alias("e"), (F.col("x.kind") != "token").alias("sure"), F.sha2("value", 256).alias("hash"))
-    by_repo = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
-    by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    spread = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+    # each pair once (a value that is copied everywhere is one row per partition and pair), then counts by hash
+    owners = each.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
+    repos = each.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("repos"))
+    spread = owners.join(repos, "hash")
     copied = spread.where((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)).select("hash", F.lit(True).alias("copied"))
     judged = each.join(copied, "hash", "left").where("copied is null or sure")
     place = F.when(F.col("copied"), len(KINDS) + 1).otherwise(len(KINDS))

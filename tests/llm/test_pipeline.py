@@ -35,8 +35,8 @@ def test_an_empty_table_and_any_column_names(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     rng = random.Random(3)
     docs = awkward(spark, [family(rng, 1, 0)[0] for _ in range(12)])
-    names = ["key", "row", "gone", "rejected", "k0", "spans", "node", "fold", "times", "__key", "__gone", "of", "d", "low"]
-    docs = docs.drop("key", "row").selectExpr("*", *(f"doc_id AS {n}" for n in names))
+    names = ["a.b", "c`d", "e f", "key", "row", "gone", "rejected", "k0", "spans", "node", "fold", "times", "__key", "__gone", "of", "d", "low"]
+    docs = docs.drop("key", "row").selectExpr("*", *("doc_id AS `" + n.replace("`", "``") + "`" for n in names))
     step = docs
     for _, f in corpus_pipeline.STAGES[:-1]:
         step = f(spark, step, "")

@@ -1,10 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
-from plumbline.llm import pii, secrets
+from pyspark.sql.functions import col as spark_col
+
+from plumbline.llm import pii, secrets, spans
 
 from .docs import awkward, empty
 
@@ -243,3 +246,51 @@ def test_ownership_separates_examples_from_live_ones(spark):
             assert r[f"n_{k}"] == sum(x.startswith(k) for x in want.get(r["doc_id"], ()))
         kinds |= {x.split(":")[0] for x in want.get(r["doc_id"], ())}
     assert kinds == {"live", "example"} and 1000 not in want
+
+
+def test_repositories_are_counted_once_whatever_their_owners(spark):
+    secret = "password=Zx8Kq2Lm9Pw4"
+    rows = [(i, secret, o) for i in range(6) for o in ("a", "b")]  # 6 repositories, 2 owners, 12 pairs
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["n_live"] for r in secrets.report(docs).collect()} == {1}
+    more = docs.unionByName(spark.createDataFrame([(100 + i, secret, "a") for i in range(4)], docs.schema))
+    assert {r["n_example"] for r in secrets.report(more).collect()} == {1}
+
+
+def test_texts_with_many_matches_take_linear_time(spark):
+    n = 100_000
+    text = " ".join(f"10.{i % 200}.{i // 200 % 200}.7 x{i}y555" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "mail a@b.cd")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    base = brute(text, pii.KINDS)
+    assert got[1]["n_ip"] == n and got[1]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[2] == "mail <EMAIL>" and clean[1] == re.sub(r"10\.\d+\.\d+\.7", "<IP>", text)
+    keys = " ".join(f"token=Ab9{i}xyzQ{i % 977}1" for i in range(n))
+    found = secrets.report(spark.createDataFrame([(1, keys, "s")], "doc_id long, text string, source string")).first()
+    assert found["n_assign"] == n and found["base_sha256"] == hashlib.sha256(",".join(brute(keys, secrets.KINDS)).encode()).hexdigest()
+    assert time.time() - began < 200
+
+
+def test_redaction_merges_overlaps_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK", 7)
+    rng = random.Random(2)
+    rows = []
+    for i in range(200):
+        text = "".join(rng.choice("abcdé😀 ") for _ in range(rng.randint(0, 60)))
+        cuts = sorted((a, rng.randint(0, 3), min(len(text), a + rng.randint(1, 20))) for a in rng.sample(range(max(len(text), 1)), min(len(text), rng.randint(0, 6))))
+        rows.append((i, text, [(s, o, e, pii.KINDS[o], "v") for s, o, e in cuts]))
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, spans {spans.SPAN}")
+    got = {r[0]: r[1] for r in frame.select("doc_id", spans.redacted(spark_col("text"), spark_col("spans"))).collect()}
+    for i, text, cuts in rows:
+        out, at, one = [], 0, []
+        for s, _, e, kind, _ in cuts:
+            if one and one[-1][1] > s:
+                one[-1][1] = max(one[-1][1], e)
+            else:
+                one.append([s, e, kind])
+        for s, e, kind in one:
+            out += [text[at:s], f"<{kind.upper()}>"]
+            at = e
+        assert got[i] == "".join(out) + text[at:], (text, cuts)
