@@ -5,6 +5,8 @@ runs: stream_id, t (monitored place from 0), mean, and base_mean / base_sd of th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -121,3 +123,73 @@ def adwin(scores: DataFrame, delta: float = 0.05, every: int = 32) -> DataFrame:
     return scores.groupBy(*KEY).applyInPandas(run, "stream_id string, alarm_at long")
 
 
+class Buckets:
+    """An adaptive window kept as an exponential histogram (Bifet and Gavalda, 2007): O(log n) numbers for n scores.
+
+    A bucket is a count (a power of two), a sum and a sum of squares. Of each count there are at most `per_size`
+    buckets; one more, and the two oldest of it become one of twice the count. After every score the window is tested
+    at every boundary between buckets, and its oldest bucket goes while any test finds the two sides apart.
+    """
+
+    def __init__(self, delta: float = 0.05, per_size: int = 5):
+        self.delta, self.per_size = delta, per_size
+        self.sizes: list[list[tuple[float, float, float]]] = []  # of each power of two, the oldest bucket first
+
+    def add(self, score: float) -> bool:
+        """Takes a score in; whether the window then lost its oldest scores."""
+        new = (1.0, score, score * score)
+        for size in self.sizes:
+            size.append(new)
+            if len(size) <= self.per_size:
+                break
+            a, b = size[:2]
+            del size[:2]
+            new = (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+        else:
+            self.sizes.append([new])
+        shrunk = False
+        while self._apart():
+            while not self.sizes[-1]:
+                self.sizes.pop()
+            self.sizes[-1].pop(0)
+            shrunk = True
+        return shrunk
+
+    def buckets(self) -> np.ndarray:
+        """Count, sum and squares of every bucket, the oldest first."""
+        return np.array([b for size in reversed(self.sizes) for b in size]).reshape(-1, 3)
+
+    def _apart(self) -> bool:
+        sums = np.cumsum(self.buckets(), axis=0)
+        n, total, squares = sums[-1] if len(sums) else (0.0, 0.0, 0.0)
+        if n < 10:
+            return False
+        left, s = sums[:-1, 0], sums[:-1, 1]
+        fine = (left >= 5) & (n - left >= 5)
+        left, s = left[fine], s[fine]
+        share = 1.0 / left + 1.0 / (n - left)
+        log_term = np.log(2.0 * np.log(n) / self.delta)
+        spread = max(squares / n - (total / n) ** 2, 0.0)
+        return bool((np.abs(s / left - (total - s) / (n - left)) > np.sqrt(2.0 * share * spread * log_term) + 2.0 / 3.0 * share * log_term).any())
+
+
+def adwin_buckets(scores: DataFrame, delta: float = 0.05) -> DataFrame:
+    """As adwin(), tested at every score, from an exponential histogram: a task reads its streams score by score and holds one histogram."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, window, alarm = None, None, None
+        for batch in batches:
+            done = []
+            for name, t, score in zip(batch["stream_id"], batch["t"], batch["score"]):
+                if name != stream or window is None:
+                    if window is not None:
+                        done.append((stream, alarm))
+                    stream, window, alarm = name, Buckets(delta), None
+                if window.add(score) and t >= 0 and alarm is None:
+                    alarm = t
+            yield pd.DataFrame(done, columns=["stream_id", "alarm_at"]).astype({"stream_id": "object", "alarm_at": "Int64"})
+        if window is not None:
+            yield pd.DataFrame({"stream_id": [stream], "alarm_at": pd.array([alarm], "Int64")})
+
+    rows = scores.select(*KEY, "t", "i", "score").repartition(*KEY).sortWithinPartitions(*KEY, "i")
+    return rows.mapInPandas(run, "stream_id string, alarm_at long")

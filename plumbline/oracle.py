@@ -113,7 +113,7 @@ for _name in ("agrapa", "predmix", "fixed"):
       SELECT t, round(bet_up, 6) AS bet_up, round(bet_down, 6) AS bet_down, round(up, 6) AS up, round(down, 6) AS down, round(log_e, 6) AS log_wealth FROM w"""
 SQL["composite_wealth"] = f"{LEG}, {betting('leg', '', 'z', clip('hi'), clip('lo'))} SELECT t, round(up, 6) AS up, round(down, 6) AS down, round(log_e, 6) AS log_e FROM w"
 SQL["edetector_trace"] = f"{LEG}, {detector('leg')} SELECT t, round(log_e, 6) AS log_e, round(peak, 6) AS peak_log_e, peak >= ln(40) AS alarm, best_start, direction FROM trace"
-SQL["arrow_detector"] = SQL["edetector_trace"]
+SQL["arrow_detector"] = SQL["streamed_detector"] = SQL["edetector_trace"]
 SQL["edetector_alarm"] = f"""{LEG}, shifted AS (SELECT leg, t, least(1, greatest(0, z - CASE WHEN t >= 30 THEN 0.3 ELSE 0 END)) AS z, lo, hi FROM leg), {detector('shifted')}
   SELECT leg, min(t) FILTER (peak >= ln(40)) AS alarm_at, round(max(peak), 6) AS peak_log_e FROM trace GROUP BY leg"""
 SQL["eb_confidence_sequence"] = f"""{LEG}, {bernstein("leg", "z", 0.0125, "l")}, {bernstein("leg", "1 - z", 0.0125, "u")}
@@ -266,6 +266,31 @@ SQL["adwin_alarm"] = f"""WITH RECURSIVE {obs()}, o AS (SELECT row_number() OVER
           sqrt(2 * (1.0 / (c.n - a.n) + 1.0 / (b.n - c.n)) * ((b.q - a.q) / (b.n - a.n) - pow((b.s - a.s) / (b.n - a.n), 2)) * ln(2 * ln(b.n - a.n) / 0.05)) + 2.0 / 3 * (1.0 / (c.n - a.n) + 1.0 / (b.n - c.n)) * ln(2 * ln(b.n - a.n) / 0.05)) AS cut
       FROM (SELECT * FROM steps WHERE NOT done) st JOIN pre a ON a.n = st.lo JOIN pre b ON b.n = st.hi LEFT JOIN pre c ON c.n > st.lo AND c.n < st.hi GROUP BY st.lo, st.hi, st.alarm), top)
   SELECT 'discounts' AS stream_id, max(alarm) AS alarm_at FROM steps"""
+# one row steps through its scores: 'add' takes the next one in, 'merge' joins the two oldest of six equal buckets, 'cut' drops the oldest while any boundary is too wide
+SQL["adwin_buckets_alarm"] = f"""WITH RECURSIVE {obs()},
+  streams AS (SELECT 'discounts' AS stream_id, run_index - 8 AS t, run_index * 20 + item_id::INT AS i, score FROM obs
+    UNION ALL SELECT 'moved', run_index - 8, run_index * 20 + item_id::INT, score * CASE WHEN run_index >= 38 THEN 0.4 ELSE 1.0 END FROM obs),
+  lists AS (SELECT stream_id, list(score ORDER BY i) AS xs, list(t ORDER BY i) AS ts FROM streams GROUP BY stream_id),
+  steps AS (
+    SELECT stream_id, 0::BIGINT AS k, 'add' AS phase, []::STRUCT(n DOUBLE, s DOUBLE, q DOUBLE)[] AS b, NULL::BIGINT AS alarm FROM lists
+    UNION ALL
+    SELECT stream_id, CASE WHEN phase = 'add' THEN k + 1 ELSE k END,
+      CASE WHEN phase = 'add' THEN 'merge' WHEN phase = 'merge' THEN CASE WHEN crowded IS NULL THEN 'cut' ELSE 'merge' END WHEN apart THEN 'cut' ELSE 'add' END,
+      CASE WHEN phase = 'add' THEN list_append(b, {{'n': 1.0::DOUBLE, 's': xs[k + 1], 'q': xs[k + 1] * xs[k + 1]}})
+        WHEN phase = 'merge' AND crowded IS NOT NULL THEN b[1:crowded - 1] || [{{'n': 2 * b[crowded].n, 's': b[crowded].s + b[crowded + 1].s, 'q': b[crowded].q + b[crowded + 1].q}}] || b[crowded + 2:]
+        WHEN phase = 'cut' AND apart THEN b[2:] ELSE b END,
+      coalesce(alarm, CASE WHEN phase = 'cut' AND apart AND ts[k] >= 0 THEN ts[k] END)
+    FROM (
+      SELECT *, phase = 'cut' AND whole.n >= 10 AND len(list_filter(cuts, lambda c: c.n >= 5 AND whole.n - c.n >= 5 AND
+          abs(c.s / c.n - (whole.s - c.s) / (whole.n - c.n)) > sqrt(2 * (1 / c.n + 1 / (whole.n - c.n)) * greatest(whole.q / whole.n - pow(whole.s / whole.n, 2), 0) * ln(2 * ln(whole.n) / 0.05)) + 2.0 / 3 * (1 / c.n + 1 / (whole.n - c.n)) * ln(2 * ln(whole.n) / 0.05))) > 0 AS apart
+      FROM (
+        SELECT *, cuts[-1] AS whole
+        FROM (
+          SELECT st.*, xs, ts,
+            CASE WHEN phase = 'merge' THEN list_position(list_transform(b, lambda x: x.n), list_min(list_filter(list_transform(b, lambda x: x.n), lambda v: len(list_filter(b, lambda y: y.n = v)) > 5))) END AS crowded,
+            CASE WHEN phase = 'cut' THEN list_transform(range(1, len(b) + 1), lambda j: {{'n': list_sum(list_transform(b[1:j], lambda x: x.n)), 's': list_sum(list_transform(b[1:j], lambda x: x.s)), 'q': list_sum(list_transform(b[1:j], lambda x: x.q))}}) END AS cuts
+          FROM steps st JOIN lists USING (stream_id) WHERE NOT (phase = 'add' AND k = len(xs)) AND alarm IS NULL))))
+  SELECT stream_id, max(alarm) AS alarm_at FROM steps GROUP BY stream_id"""
 SQL["plan_size"] = f"""WITH RECURSIVE sizes AS (SELECT unnest(range(1, 1500)) AS n), targets AS (SELECT unnest([0.10, 0.05, 0.03, 0.02, 0.015, 0.01])::DOUBLE AS target),
   sg AS (SELECT n, 0.08 / sqrt(n) AS sigma FROM sizes), rows AS (SELECT n, sigma, sigma * {dead_zone_factor(5, 0.05)!r} AS dead, 8 * sigma AS unit FROM sg), {shift_search("rows", "50", "found")}
   SELECT target, min(n) FILTER (min_shift <= target AND n >= 40) AS n, {min_horizon(0.05)}::BIGINT AS min_horizon FROM found, targets GROUP BY target"""

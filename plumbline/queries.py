@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +12,9 @@ from .functions import power, scores
 from .functions.power import Floor
 from .operators import anchors, confseq, kernel, rivals, runs, tallies, wealth
 from .plans import attribution, replay, study
-from .sources import generator, ingest, ledger, tables
+from .sources import generator, ingest, ledger, shared, tables
 from .sources.shared import written
+from .streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CONFIG = attribution.Config(min_obs=10, backend="windows")
@@ -120,6 +122,18 @@ def arrow_detector(spark, sf):
     return kernel.detector_trace(tables.discount_legs(spark, sf), 0.025).select("t", *r6("log_e", "peak_log_e"), "alarm", "best_start", "direction")
 
 
+@query
+def streamed_detector(spark, sf):
+    """The detector over a folder that the runs of table streams arrive in, 40 runs a file."""
+    at = f"{shared.folder(spark)}/plumbline/stream-{uuid.uuid4().hex}"
+    legs = tables.discount_legs(spark, sf).withColumn("epoch", F.lit(0).cast("long")).select(*(c.split()[0] for c in live.IN.split(", ")))
+    legs.withColumn("part", F.floor(F.col("t") / 40)).repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{at}/in")
+    for part in sorted(r["part"] for r in spark.read.parquet(f"{at}/in").select("part").distinct().collect()):
+        spark.read.schema(live.IN).parquet(f"{at}/in/part={part}").write.mode("append").parquet(f"{at}/landing")
+        live.detect_folder(spark, f"{at}/landing", f"{at}/out", 0.025)
+    return spark.read.schema(live.OUT).parquet(f"{at}/out/trace").select("t", *r6("log_e", "peak_log_e"), "alarm", "best_start", "direction")
+
+
 @query
 def eb_confidence_sequence(spark, sf):
     return confseq.empirical_bernstein(tables.discount_legs(spark, sf), wealth.LEG, "t", "z", 0.025).select("t", *r6("cs_lo", "cs_hi"))
@@ -201,6 +215,12 @@ def adwin_alarm(spark, sf):
     return rivals.adwin(outcomes(spark, sf))
 
 
+@query
+def adwin_buckets_alarm(spark, sf):
+    moved = outcomes(spark, sf).withColumn("score", F.col("score") * F.when(F.col("t") >= 30, 0.4).otherwise(1.0))
+    return rivals.adwin_buckets(outcomes(spark, sf).unionByName(moved.withColumn("stream_id", F.lit("moved"))))
+
+
 @query
 def min_detectable_shift(spark, sf):
     sizes = spark.range(1, 11).select((F.col("id") * 40).alias("n"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import student
-from plumbline.operators import anchors, kernel
+from plumbline.operators import anchors, kernel, rivals
 from plumbline.plans import adversarial, attribution, study
 from plumbline.sources import anchor_store, files, generator, ledger
 
@@ -139,3 +139,50 @@ def test_guard_and_warnings(spark):
     assert study.guard(good.withColumn("judge_as_system", F.lit(0.02))).count() == 1
     floor = spark.createDataFrame([(True, 2)], "degenerate boolean, replicates long")
     assert len(anchors.floor_warnings(floor).first()["warnings"]) == 2
+
+
+def test_bucket_window_equals_lists_of_scores(spark):
+    """The exponential histogram against buckets that hold their scores, over streams with and without a change."""
+
+    def brute(xs, delta=0.05):
+        window, hits = [], []
+        for at, x in enumerate(xs):
+            window.append([x])
+            while True:
+                sizes = [len(b) for b in window]
+                full = [n for n in set(sizes) if sizes.count(n) > 5]
+                if not full:
+                    break
+                i = sizes.index(min(full))
+                window[i : i + 2] = [window[i] + window[i + 1]]
+            while (n := sum(map(len, window))) >= 10:
+                flat = np.concatenate(window)
+                bounds = np.cumsum([len(b) for b in window])[:-1]
+                log_term = np.log(2 * np.log(n) / delta)
+                apart = any(
+                    abs(flat[:c].mean() - flat[c:].mean()) > np.sqrt(2 * (1 / c + 1 / (n - c)) * flat.var() * log_term) + 2 / 3 * (1 / c + 1 / (n - c)) * log_term for c in bounds if c >= 5 and n - c >= 5
+                )
+                if not apart:
+                    break
+                window.pop(0)
+                hits.append(at)
+        return sorted(set(hits)), [(len(b), sum(b)) for b in window]
+
+    rng = np.random.default_rng(4)
+    streams = {f"s{i}": np.clip(rng.normal(0.7 - (0.08 * (i % 4)) * (np.arange(400) >= 250), 0.05 * (1 + i % 3)), 0, 1) for i in range(8)} | {"flat": np.full(300, 0.5), "one": np.array([0.3])}
+    rows, want = [], {}
+    for name, xs in streams.items():
+        window, hits = rivals.Buckets(), []
+        for at, x in enumerate(xs):
+            if window.add(float(x)):
+                hits.append(at)
+            held = len(window.buckets())
+            assert held <= 6 * (np.log2(at + 1) + 1)
+        expected, left = brute(xs)
+        assert hits == expected, name
+        assert [(int(n), round(s, 6)) for n, s, _ in window.buckets()] == [(n, round(s, 6)) for n, s in left]
+        rows += [(name, int(i) // 10 - 5, int(i), float(x)) for i, x in enumerate(xs)]
+        late = [h // 10 - 5 for h in hits if h >= 50]
+        want[name] = late[0] if late else None
+    got = rivals.adwin_buckets(spark.createDataFrame(rows, "stream_id string, t long, i long, score double")).collect()
+    assert {r["stream_id"]: r["alarm_at"] for r in got} == want and sum(v is not None for v in want.values()) >= 3
