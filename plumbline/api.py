@@ -108,14 +108,8 @@ class Bench:
         """Recorded verdicts that are not derived again, by the alpha and target that each was issued with."""
         lines = self.lines()
         obs, floors, pins = self._inputs(lines)
-        recorded = ledger.verdicts(lines).drop("seq").persist()
-        out = None
-        for r in recorded.select("alpha", "target").distinct().collect():
-            config = Settings(**{**self.settings.__dict__, "alpha": r["alpha"], "target": r["target"]}).plan()
-            mine = recorded.where((F.col("alpha") == r["alpha"]) & (F.col("target") == r["target"]))
-            found = replay.divergences(mine, attribution.every_prefix(obs, floors, config, pins), 1)
-            out = found if out is None else out.unionByName(found)
-        return out
+        recorded = ledger.verdicts(lines).drop("seq")
+        return replay.divergences(recorded, attribution.by_settings(obs, floors, recorded, self.settings.plan(), pins), 1).drop("alpha", "target")
 
     def plan(self, stream_id: str) -> dict:
         f = self.floors(self.lines()).where(F.col("stream_id") == stream_id).first()

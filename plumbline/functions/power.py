@@ -97,13 +97,13 @@ def plan(floor: Floor, target: float = 0.05, alpha: float = 0.05, horizon: int =
     return {"n": n, "min_shift": now, "min_shift_at_4n": min_shift(4 * n, floor, alpha, horizon), "shared_sd": math.sqrt(floor.shared_variance), "min_horizon": min_horizon(alpha), "target": target, "horizon": horizon, "alpha": alpha}
 
 
-def min_shift_column(n: Column, per_item_sd: Column, run_mean_sd: Column, n_items: Column, dead_factor: Column, horizon: Column, alpha: float, target: float) -> Column:
+def min_shift_column(n: Column, per_item_sd: Column, run_mean_sd: Column, n_items: Column, dead_factor: Column, horizon: Column, alpha: float | Column, target: float | Column) -> Column:
     """min_shift for a column of control sets, with the band the running detector has. Null: nothing is provable.
 
     The bisection is one aggregate() over its 80 steps, so it stays in the JVM.
     """
     sigma = F.sqrt(F.greatest(F.lit(0.0), run_mean_sd * run_mean_sd - per_item_sd * per_item_sd / n_items) + per_item_sd * per_item_sd / n)
-    need = needed_evidence(alpha)
+    need = SAFETY * (F.ln(2.0 / alpha) + math.log(2.0)) if isinstance(alpha, Column) else needed_evidence(alpha)
 
     def enough(shift: Column, g: Column) -> Column:
         drift, s = F.least((shift - g["dead"]) / g["unit"], F.lit(0.5)), g["sigma"] / g["unit"]

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.student import two_sided_p_column
+
 KEY = ["stream_id"]
 
 
@@ -58,17 +60,8 @@ def welch_trace(items: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def t_test(items: DataFrame, base: DataFrame, alpha: float = 0.05, bonferroni: bool = False) -> DataFrame:
-    """Alarm of the t-test repeated at every look, at alpha or alpha / look. Only the p-value leaves the JVM, in Arrow batches."""
-    from ..functions.student import two_sided_p_array
-
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-        known = (t.notna() & df.notna()).to_numpy()
-        out = np.full(len(t), np.nan)
-        out[known] = two_sided_p_array(t.to_numpy(float)[known], df.to_numpy(float)[known])
-        return pd.Series(out).where(known)
-
-    rows = welch_trace(items, base).withColumn("p", p_value("t_stat", "df"))
+    """Alarm of the t-test repeated at every look, at alpha or alpha / look."""
+    rows = welch_trace(items, base).withColumn("p", two_sided_p_column(F.col("t_stat"), F.col("df")))
     return first_time(rows, F.col("p") < (F.lit(alpha) / (F.col("t") + 1) if bonferroni else F.lit(alpha)))
 
 

@@ -90,15 +90,21 @@ FLOOR = """
       fl_run AS (SELECT run_index, avg(score) AS m FROM obs WHERE kind = 'anchor' AND run_index < 5 GROUP BY run_index),
       fl AS (SELECT greatest((SELECT sqrt(avg(v)) FROM fl_item), 1e-6) AS item_sd, greatest((SELECT stddev_samp(m) FROM fl_run), 1e-6) AS run_sd, (SELECT count(*) FROM fl_item) AS n_items)"""
 HOLD = "(CASE WHEN kind = 'anchor' THEN 5 ELSE 8 END)"
-LEGS = f"""{run_tables(HOLD)}, {FLOOR},
+
+
+def legs(alpha: float = 0.05) -> str:
+    """CTE legs over obs: the three legs with their SDs and dead zone factors at alpha."""
+    return f"""{run_tables(HOLD)}, {FLOOR},
       sys_sd AS (SELECT greatest(stddev_samp(dev), 1e-6) AS sd FROM devs WHERE kind = 'system' AND place < 8),
       s AS (SELECT run_index, place - 8 AS t, dev FROM devs WHERE kind = 'system' AND place >= 8),
       a AS (SELECT run_index, place - 5 AS t, dev FROM devs WHERE kind = 'anchor' AND place >= 5),
       legs AS (
-        SELECT 'system' AS leg, t, run_index, dev, (SELECT sd FROM sys_sd) AS sd, {dead_zone_factor(8, 0.05)!r} AS f FROM s UNION ALL
-        SELECT 'anchor', t, run_index, dev, (SELECT run_sd FROM fl), {dead_zone_factor(5, 0.05)!r} FROM a UNION ALL
-        SELECT 'corrected', row_number() OVER (ORDER BY run_index) - 1, run_index, s.dev - a.dev, sqrt(pow((SELECT sd FROM sys_sd), 2) + pow((SELECT run_sd FROM fl), 2)), {dead_zone_factor(5, 0.05)!r} FROM s JOIN a USING (run_index))"""
-SQL["paired_difference"] = f"WITH {obs()}, {LEGS} SELECT t, run_index, round(dev, 6) AS dev, round(sd, 6) AS sd, 5::BIGINT AS k FROM legs WHERE leg = 'corrected'"
+        SELECT 'system' AS leg, t, run_index, dev, (SELECT sd FROM sys_sd) AS sd, {dead_zone_factor(8, alpha)!r} AS f FROM s UNION ALL
+        SELECT 'anchor', t, run_index, dev, (SELECT run_sd FROM fl), {dead_zone_factor(5, alpha)!r} FROM a UNION ALL
+        SELECT 'corrected', row_number() OVER (ORDER BY run_index) - 1, run_index, s.dev - a.dev, sqrt(pow((SELECT sd FROM sys_sd), 2) + pow((SELECT run_sd FROM fl), 2)), {dead_zone_factor(5, alpha)!r} FROM s JOIN a USING (run_index))"""
+
+
+SQL["paired_difference"] = f"WITH {obs()}, {legs()} SELECT t, run_index, round(dev, 6) AS dev, round(sd, 6) AS sd, 5::BIGINT AS k FROM legs WHERE leg = 'corrected'"
 
 REPLICATES = "r AS (SELECT (event_id % 5)::INT AS k, user_id % 20 AS item, avg(value) / 1000 AS s FROM events GROUP BY ALL)"
 SQL["noise_floor"] = f"""WITH {REPLICATES}, i AS (SELECT item, var_samp(s) AS v, count(*) AS c, max(s) > min(s) AS moved FROM r GROUP BY item), m AS (SELECT k, avg(s) AS m FROM r GROUP BY k),
@@ -158,9 +164,9 @@ SQL["ddm_stat"] = f"{DDM} SELECT i, round(rate, 6) AS rate, round(sd, 6) AS sd,
 SQL["ddm_alarm"] = f"{DDM} SELECT 'discounts' AS stream_id, min(t) FILTER (t >= 0 AND rate + sd > best.p + best.s) AS alarm_at FROM z"
 
 
-def shift_search(rows: str, horizon: str, out: str) -> str:
+def shift_search(rows: str, horizon: str, out: str, alpha: float = 0.05) -> str:
     """Recursive CTE out: 80 halvings for rows (id, sigma, dead, unit); lo, hi and whether the top suffices."""
-    need = needed_evidence(0.05)
+    need = needed_evidence(alpha)
 
     def enough(shift: str) -> str:
         drift = f"least(({shift} - dead) / unit, 0.5)"
@@ -188,27 +194,38 @@ SQL["lattice_decision"] = """WITH b AS (SELECT unnest([false, true]) AS v), c AS
   v AS (SELECT *, CASE rule_id WHEN 'insufficient_data' THEN 'stable' WHEN 'no_crossing' THEN 'stable' WHEN 'both_crossed' THEN 'both' WHEN 'judge_only' THEN 'judge' WHEN 'race_failed' THEN 'indeterminate' WHEN 'system_only' THEN 'system' END AS verdict FROM r)
   SELECT *, CASE WHEN verdict IS NULL THEN 3 WHEN verdict IN ('system', 'both') THEN 1 WHEN verdict IN ('judge', 'indeterminate') THEN 2 ELSE 0 END::INT AS exit_code FROM v"""
 
-DECIDED = f"""WITH RECURSIVE {obs(-0.1)}, {LEGS},
-      scaled AS (SELECT *, greatest(0.05, 4 * sd) AS w, greatest(0.2, 20 * sd) AS wide FROM legs),
+def decided(alpha: float = 0.05, target: float = 0.05) -> str:
+    """CTE decided: the verdict after every run of the moved discount stream."""
+    limit = f"ln({2 / alpha!r})"
+    return f"""WITH RECURSIVE {obs(-0.1)}, {legs(alpha)},
+      scaled AS (SELECT *, greatest({target}, 4 * sd) AS w, greatest({4 * target}, 20 * sd) AS wide FROM legs),
       src AS (SELECT leg, t, run_index, wide, least(greatest(0.5 + dev / (2 * w), 0), 1) AS z, least(greatest(0.5 + dev / (2 * wide), 0), 1) AS y,
                 greatest(0, 0.5 - sd * f / (2 * w)) AS lo, least(1, 0.5 + sd * f / (2 * w)) AS hi FROM scaled),
-      {detector("src")}, {bernstein("src", "y", 0.0125, "bl")}, {bernstein("src", "1 - y", 0.0125, "bu")},
-      full_trace AS (SELECT leg, t, run_index, peak, peak >= ln(40) AS alarm, min(CASE WHEN peak >= ln(40) THEN t END) OVER (PARTITION BY leg ORDER BY t {CUM}) AS crossed_at,
+      {detector("src")}, {bernstein("src", "y", alpha / 4, "bl")}, {bernstein("src", "1 - y", alpha / 4, "bu")},
+      full_trace AS (SELECT leg, t, run_index, peak, peak >= {limit} AS alarm, min(CASE WHEN peak >= {limit} THEN t END) OVER (PARTITION BY leg ORDER BY t {CUM}) AS crossed_at,
           (bl.bound - 0.5) * 2 * wide AS shift_lo, (1 - bu.bound - 0.5) * 2 * wide AS shift_hi
         FROM src JOIN trace USING (leg, t) JOIN bl USING (leg, t) JOIN bu USING (leg, t)),
       points AS (SELECT run_index AS upto, place + 1 AS n_runs, n AS last_n FROM ranked WHERE kind = 'system'),
       last AS (SELECT p.upto, p.n_runs, p.last_n, {", ".join(f"arg_max(struct_pack(t := t, peak := peak, alarm := alarm, crossed_at := crossed_at, lo := shift_lo, hi := shift_hi), t) FILTER (leg = '{x}') AS {x[0]}" for x in ("system", "anchor", "corrected"))}
         FROM points p LEFT JOIN full_trace x ON x.run_index <= p.upto GROUP BY ALL),
       sg AS (SELECT last.*, coalesce(a.t + 1, 0) AS n_anchor, sqrt(greatest(0, run_sd * run_sd - item_sd * item_sd / n_items) + item_sd * item_sd / n_items) AS sigma FROM last, fl),
-      rows AS (SELECT *, sigma * {dead_zone_factor(5, 0.05)!r} AS dead, 2 * greatest(4, 0.05 / sigma) * sigma AS unit FROM sg), {shift_search("rows", "greatest(n_anchor, 1)", "found")},
+      rows AS (SELECT *, sigma * {dead_zone_factor(5, alpha)!r} AS dead, 2 * greatest(4, {target} / sigma) * sigma AS unit FROM sg), {shift_search("rows", "greatest(n_anchor, 1)", "found", alpha)},
       facts AS (SELECT *, CASE WHEN n_anchor > 0 THEN min_shift END AS mds, (coalesce(s.lo, 0) + coalesce(s.hi, 0)) / 2 AS shift FROM found),
       ruled AS (SELECT *, CASE WHEN n_runs < 8 OR last_n < 10 THEN 'insufficient_data' WHEN coalesce(a.alarm, false) AND coalesce(c.alarm, false) THEN 'both_crossed' WHEN coalesce(a.alarm, false) THEN 'judge_only'
           WHEN coalesce(s.alarm, false) AND NOT coalesce(mds < abs(shift), false) THEN 'race_failed' WHEN coalesce(s.alarm, false) THEN 'system_only' ELSE 'no_crossing' END AS rule_id FROM facts),
       decided AS (SELECT *, CASE rule_id WHEN 'both_crossed' THEN 'both' WHEN 'judge_only' THEN 'judge' WHEN 'race_failed' THEN 'indeterminate' WHEN 'system_only' THEN 'system' ELSE 'stable' END AS verdict FROM ruled)"""
+
+
+DECIDED = decided()
 SQL["verdict_by_stream"] = f"""{DECIDED} SELECT 'discounts' AS stream_id, rule_id, verdict, n_runs, s.crossed_at AS system_crossed_at, a.crossed_at AS anchor_crossed_at, c.crossed_at AS corrected_crossed_at,
   round(s.peak, 6) AS system_peak_log_e, round(a.peak, 6) AS anchor_peak_log_e, round(c.peak, 6) AS corrected_peak_log_e, round(s.lo, 6) AS system_shift_lo, round(s.hi, 6) AS system_shift_hi,
   round(coalesce(c.lo, s.lo - a.hi), 6) AS corrected_lo, round(coalesce(c.hi, s.hi - a.lo), 6) AS corrected_hi, round(mds, 6) AS min_shift FROM decided ORDER BY upto DESC LIMIT 1"""
 SQL["replay_all_prefixes"] = f"""{DECIDED} SELECT 'discounts' AS stream_id, upto AS "at", rule_id, verdict, round(s.peak, 6) AS system_peak_log_e, round(mds, 6) AS min_shift FROM decided"""
+SQL["replay_by_settings"] = " UNION ALL ".join(
+    f"""SELECT * FROM ({decided(a, t)} SELECT 'discounts' AS stream_id, upto AS "at", {a}::DOUBLE AS alpha, {t}::DOUBLE AS target, rule_id, verdict, round(s.peak, 6) AS system_peak_log_e, round(mds, 6) AS min_shift FROM decided WHERE upto % 10 = 9)"""
+    for a in (0.2, 0.1, 0.05, 0.02, 0.01)
+    for t in (0.05, 0.1)
+)
 SQL["replay_divergence"] = f"""{DECIDED} SELECT 'discounts' AS stream_id, upto AS "at", 'judge' AS verdict, rule_id, verdict AS verdict_now, rule_id AS rule_now, CASE WHEN upto = 70 THEN 'semantics' ELSE 'regression' END AS kind
   FROM decided WHERE upto IN (60, 70) AND verdict <> 'judge'"""
 SQL["verdict_counts"] = f"""{DECIDED} SELECT 'discounts' AS stream_id, {", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ("stable", "system", "judge", "both", "indeterminate"))}, 0::BIGINT AS refused FROM decided"""

@@ -9,14 +9,14 @@ verdict, a gate after each run, and the replay of all recorded verdicts alike.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.power import min_shift_column
-from ..functions.student import dead_zone_factor, normal_expansion
+from ..functions.student import dead_factor
 from ..operators import confseq, kernel, runs, wealth
 from ..sources.shared import written
 
@@ -25,8 +25,8 @@ LEGS = ["system", "anchor", "corrected"]
 
 @dataclass(frozen=True)
 class Config:
-    alpha: float = 0.05
-    target: float = 0.05
+    alpha: float | Column = 0.05  # columns where every case has its own
+    target: float | Column = 0.05
     baseline_runs: int = 8
     replicates: int = 5
     min_runs: int = 8
@@ -35,19 +35,14 @@ class Config:
     backend: str = "kernel"  # or "windows": the same on legs of up to most_starts, refused beyond
 
     @property
-    def monitor_alpha(self) -> float:
+    def monitor_alpha(self) -> float | Column:
         return self.alpha - self.alpha / 2.0
 
 
-def dead_factor(k: Column, alpha: float, exact: int = 64) -> Column:
-    """t quantile over sqrt(K): up to `exact` from a literal map, beyond from the expansion in 1 / (K - 1), right to 1e-9."""
-    known = F.create_map(*(F.lit(x) for i in range(2, exact + 1) for x in (i, dead_zone_factor(i, alpha))))
-    beyond = normal_expansion(1.0 - alpha * 0.25, k - 1.0) / F.sqrt(k)
-    return F.when(k <= exact, F.element_at(known, k.cast("int"))).otherwise(beyond)
+def leg_table(obs: DataFrame, floors: DataFrame, config: Config, cases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(runs, legs): legs has stream_id, leg, t, run_index, dev, sd, k, factor of every monitored run.
 
-
-def leg_table(obs: DataFrame, floors: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(runs, legs): legs has stream_id, leg, t, run_index, dev, sd, k of every monitored run.
+    cases: stream_id, case, alpha, target; the legs of a stream are repeated for each of its cases, under the case's name.
 
     floors: stream_id, per_item_sd, run_mean_sd, replicates, n_items of streams with a control set.
     """
@@ -58,30 +53,38 @@ def leg_table(obs: DataFrame, floors: DataFrame, config: Config) -> tuple[DataFr
     every = every.join(known, "stream_id", "left").withColumn("first", first)
     # the last step that reads observations; what follows reads this table of runs, several times
     devs = every = written(runs.deviations(obs, every, runs.item_baseline(obs, every, F.col("first"))), "runs")
-    held = devs.where(F.col("place") < F.col("first")).groupBy(*runs.STREAM).agg(runs.floored_sd(F.col("dev")).alias("held_sd"), F.count(F.lit(1)).alias("held"))
+    held = devs.where(F.col("place") < F.col("first")).groupBy(*runs.STREAM).agg(runs.floored_sd(F.col("dev")).alias("held_sd"), F.count(F.lit(1)).alias("held"), F.max("first").cast("long").alias("k"))
+    case = []
+    if cases is not None:
+        held, case = held.join(cases, "stream_id"), ["alpha", "target"]
+    # a row a stream, kind and case: the quantile is searched for here, not at every run
+    held = held.withColumn("factor", dead_factor(F.col("k"), config.alpha))
     devs = devs.join(held, runs.STREAM)
+    if cases is not None:
+        devs = devs.drop("stream_id").withColumnRenamed("case", "stream_id")
     watched = devs.where(F.col("place") >= F.col("first"))
     sd = F.when(F.col("kind") == "anchor", F.coalesce("floor_sd", F.lit(scores.MIN_SD))).otherwise(F.col("held_sd"))
-    own = watched.select("stream_id", F.col("kind").alias("leg"), (F.col("place") - F.col("first")).cast("long").alias("t"), "run_index", "dev", sd.alias("sd"), F.col("first").cast("long").alias("k"))
+    own = watched.select("stream_id", F.col("kind").alias("leg"), (F.col("place") - F.col("first")).cast("long").alias("t"), "run_index", "dev", sd.alias("sd"), "k", "factor", *case)
     return every, own.unionByName(corrected(own, config))
 
 
 def corrected(own: DataFrame, config: Config) -> DataFrame:
     """The difference leg: system minus anchor deviation at equal run_index, numbered anew; none with fewer than two pairs."""
     side = lambda c, leg: F.max(F.when(F.col("leg") == leg, F.col(c)))
-    pairs = own.groupBy("stream_id", "run_index").agg(*(side(c, leg).alias(f"{c}_{leg[0]}") for c in ("dev", "sd", "k") for leg in ("system", "anchor")))
+    case = [c for c in ("alpha", "target") if c in own.columns]
+    pairs = own.groupBy("stream_id", "run_index", *case).agg(*(side(c, leg).alias(f"{c}_{leg[0]}") for c in ("dev", "sd", "k", "factor") for leg in ("system", "anchor")))
     w = Window.partitionBy("stream_id")
     pairs = pairs.where("dev_s is not null and dev_a is not null").withColumn("pairs", F.count(F.lit(1)).over(w)).where("pairs >= 2")
     t = F.row_number().over(w.orderBy("run_index")) - 1
     sd = F.greatest(F.sqrt(F.col("sd_s") * F.col("sd_s") + F.col("sd_a") * F.col("sd_a")), F.lit(scores.MIN_SD))
-    k = F.greatest(F.lit(2), F.least(F.col("k_a"), F.lit(config.baseline_runs)))
-    return pairs.select("stream_id", F.lit("corrected").alias("leg"), t.cast("long").alias("t"), "run_index", (F.col("dev_s") - F.col("dev_a")).alias("dev"), sd.alias("sd"), k.cast("long").alias("k"))
+    k, factor = F.least("k_a", "k_s"), F.when(F.col("k_a") <= F.col("k_s"), F.col("factor_a")).otherwise(F.col("factor_s"))
+    return pairs.select("stream_id", F.lit("corrected").alias("leg"), t.cast("long").alias("t"), "run_index", (F.col("dev_s") - F.col("dev_a")).alias("dev"), sd.alias("sd"), k.alias("k"), factor.alias("factor"), *case)
 
 
 def scaled(legs: DataFrame, config: Config) -> DataFrame:
     """legs with z (for detection), y (for estimation), their half widths, and the null interval."""
     width, wide = scores.detection_width(config.target, F.col("sd")), scores.estimation_width(config.target, F.col("sd"))
-    half = F.col("sd") * dead_factor(F.col("k"), config.alpha) / (2.0 * F.col("width"))
+    half = F.col("sd") * F.col("factor") / (2.0 * F.col("width"))
     legs = legs.withColumn("width", width).withColumn("wide", wide).withColumn("half", half)
     return legs.select(
         "stream_id", "leg", "t", "run_index", "dev", "wide",
@@ -89,6 +92,7 @@ def scaled(legs: DataFrame, config: Config) -> DataFrame:
         scores.to_unit(F.col("dev"), F.col("wide")).alias("y"),
         F.greatest(F.lit(0.0), 0.5 - F.col("half")).alias("null_lo"),
         F.least(F.lit(1.0), 0.5 + F.col("half")).alias("null_hi"),
+        *(c for c in ("alpha", "target") if c in legs.columns),
     )
 
 
@@ -101,14 +105,14 @@ def trace(legs: DataFrame, config: Config) -> DataFrame:
     rows = scaled(legs, config).repartition("stream_id")
     if config.backend == "windows":
         long = F.raise_error(F.concat(F.lit("leg too long for the windows backend: "), "stream_id")).cast("long")
-        found = wealth.detector_trace(rows.withColumn("t", F.when(F.col("t") < config.most_starts, F.col("t")).otherwise(long)), config.monitor_alpha)
+        found = wealth.detector_trace(rows.withColumn("t", F.when(F.col("t") < config.most_starts, F.col("t")).otherwise(long)), 1.0)
     else:
-        found = kernel.detector_trace(rows, config.monitor_alpha, config.most_starts)
-    found = found.select(*wealth.LEG, "t", "log_e", "peak_log_e", "alarm", "best_start", "direction")
+        found = kernel.detector_trace(rows, 1.0, config.most_starts)
+    found = found.select(*wealth.LEG, "t", "log_e", "peak_log_e", "best_start", "direction")
     cs = confseq.empirical_bernstein(rows, wealth.LEG, "t", "y", config.monitor_alpha)
     w = Window.partitionBy(*wealth.LEG).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     cs = cs.withColumn("saturated", F.max((F.col("y") <= 0) | (F.col("y") >= 1)).over(w))
-    out = cs.join(found, [*wealth.LEG, "t"])
+    out = cs.join(found, [*wealth.LEG, "t"]).withColumn("alarm", F.col("peak_log_e") >= F.ln(1.0 / F.lit(config.monitor_alpha)))
     back = lambda c: scores.from_unit(F.col(c), F.col("wide"))
     return out.select(*wealth.LEG, "t", "run_index", "log_e", "peak_log_e", "alarm", F.min(F.when(F.col("alarm"), F.col("t"))).over(w).alias("crossed_at"), back("cs_lo").alias("shift_lo"), back("cs_hi").alias("shift_hi"), "saturated", "best_start", "direction")
 
@@ -143,13 +147,17 @@ def _known_at(traced: DataFrame, every: DataFrame, points: DataFrame) -> DataFra
 def evidence_at(traced: DataFrame, every: DataFrame, floors: DataFrame, points: DataFrame, config: Config) -> DataFrame:
     """Evidence, rule and verdict of each (stream_id, at): what was known when run_index `at` was the last.
 
-    every: the run table, with judge_pin where pins are known. points: stream_id, at.
+    every: the run table, with judge_pin where pins are known. points: stream_id, at, and alpha and target where
+    config has them as columns.
     """
     out = _known_at(traced, every, points)
+    if {"alpha", "target"} <= set(points.columns):
+        out = out.join(points.select("stream_id", "alpha", "target").distinct(), "stream_id")
     changed = F.coalesce(F.size("pin_delta") > 0, F.lit(False)) if "judge_pin" in every.columns else F.lit(False)
-    out = out.join(floors.select("stream_id", "per_item_sd", F.greatest("run_mean_sd", F.lit(scores.MIN_SD)).alias("floor_sd"), "replicates", "n_items"), "stream_id", "left")
+    known = floors.select("stream_id", "per_item_sd", F.greatest("run_mean_sd", F.lit(scores.MIN_SD)).alias("floor_sd"), "replicates", "n_items", *(c for c in ("alpha", "target") if c in points.columns))
+    out = out.join(known.withColumn("floor_factor", dead_factor(F.col("replicates"), config.alpha)).drop("alpha", "target"), "stream_id", "left")
     n_anchor = F.coalesce(F.col("anchor_t") + 1, F.lit(0))
-    mds = min_shift_column(F.col("n_items"), F.col("per_item_sd"), F.col("floor_sd"), F.col("n_items"), dead_factor(F.col("replicates"), config.alpha), F.greatest(n_anchor, F.lit(1)), config.alpha, config.target)
+    mds = min_shift_column(F.col("n_items"), F.col("per_item_sd"), F.col("floor_sd"), F.col("n_items"), F.col("floor_factor"), F.greatest(n_anchor, F.lit(1)), config.alpha, config.target)
     shift = (F.coalesce("system_shift_lo", F.lit(0.0)) + F.coalesce("system_shift_hi", F.lit(0.0))) / 2.0
     out = out.withColumn("n_anchor_runs", n_anchor).withColumn("min_shift", F.when(n_anchor > 0, mds)).withColumn("system_shift", shift)
     out = out.withColumn("corrected_lo", F.coalesce("corrected_shift_lo", F.col("system_shift_lo") - F.col("anchor_shift_hi"))).withColumn("corrected_hi", F.coalesce("corrected_shift_hi", F.col("system_shift_hi") - F.col("anchor_shift_lo")))
@@ -178,6 +186,29 @@ def every_prefix(obs: DataFrame, floors: DataFrame, config: Config = Config(), p
     return evidence_at(trace(legs, config), every, floors, points, config)
 
 
+def by_settings(obs: DataFrame, floors: DataFrame, asked: DataFrame, config: Config = Config(), pins: DataFrame | None = None) -> DataFrame:
+    """The verdict of each (stream_id, at, alpha, target) of asked by its own settings, all from one trace.
+
+    A stream is traced once for each pair of alpha and target that it is asked for, however many verdicts that is.
+    """
+    case = F.concat_ws("\x01", "stream_id", F.col("alpha").cast("string"), F.col("target").cast("string"))
+    asked = asked.select("stream_id", "at", "alpha", "target").distinct().withColumn("case", case)
+    cases = asked.select("stream_id", "case", "alpha", "target").distinct()
+    config = replace(config, alpha=F.col("alpha"), target=F.col("target"))
+    every, legs = leg_table(obs, floors, config, cases)
+    if pins is not None:
+        every = every.join(pins, [*runs.STREAM, "run_index"], "left")
+
+    def named(df: DataFrame) -> DataFrame:
+        """df for every case, under the case's name."""
+        return df.join(cases, "stream_id").drop("stream_id").withColumnRenamed("case", "stream_id")
+
+    points = asked.drop("stream_id").withColumnRenamed("case", "stream_id")
+    out = evidence_at(trace(legs, config), named(every).drop("alpha", "target"), named(floors), points, config)
+    back = cases.select(F.col("case").alias("stream_id"), F.col("stream_id").alias("stream"))
+    return out.join(back, "stream_id").drop("stream_id").withColumnRenamed("stream", "stream_id")
+
+
 def strict(decisions: DataFrame) -> DataFrame:
     """Raises on the first refusal, for callers that want an error instead of a row."""
     text = F.concat(F.lit("cannot attribute stream "), "stream_id", F.lit(": "), "rule_id")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import power, scores
+from .functions import power, scores, student
 from .functions.power import Floor
 from .operators import anchors, confseq, kernel, rivals, runs, tallies, wealth
 from .plans import attribution, replay, study
@@ -224,7 +224,7 @@ def adwin_buckets_alarm(spark, sf):
 @query
 def min_detectable_shift(spark, sf):
     sizes = spark.range(1, 11).select((F.col("id") * 40).alias("n"))
-    mds = power.min_shift_column(F.col("n"), F.lit(0.08), F.lit(0.0057), F.lit(200.0), F.lit(attribution.dead_zone_factor(5, 0.05)), F.lit(50), 0.05, 0.05)
+    mds = power.min_shift_column(F.col("n"), F.lit(0.08), F.lit(0.0057), F.lit(200.0), student.dead_factor(F.lit(5), 0.05), F.lit(50), 0.05, 0.05)
     return sizes.select("n", F.round(mds, 6).alias("min_shift"))
 
 
@@ -271,6 +271,16 @@ def replay_all_prefixes(spark, sf):
     return d.select("stream_id", "at", "rule_id", "verdict", *r6("system_peak_log_e", "min_shift"))
 
 
+@query
+def replay_by_settings(spark, sf):
+    """Verdicts of ten pairs of alpha and target after every tenth run, each by its own settings, from one trace."""
+    obs, floors = moved(spark, sf)
+    pairs = [(a, t) for a in (0.2, 0.1, 0.05, 0.02, 0.01) for t in (0.05, 0.1)]
+    ends = obs.where("kind = 'system' and run_index % 10 = 9").select("stream_id", F.col("run_index").alias("at")).distinct()
+    asked = ends.withColumn("p", F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(t).alias("target")) for a, t in pairs)))).select("stream_id", "at", "p.*")
+    return attribution.by_settings(obs, floors, asked, CONFIG).select("stream_id", "at", "alpha", "target", "rule_id", "verdict", *r6("system_peak_log_e", "min_shift"))
+
+
 @query
 def replay_divergence(spark, sf):
     """Recorded verdicts, two of them altered, against those derived again."""

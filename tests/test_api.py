@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -37,6 +38,8 @@ def test_verbs_end_to_end(spark, tmp_path):
     gate = bench.gate().collect()
     assert [(r["verdict"], r["exit_code"]) for r in gate] == [("stable", 0)]
     assert bench.replay().count() == 0
+    Bench(spark, bench.path, replace(settings, alpha=0.2, target=0.1)).verdict()  # each is derived again by its own settings
+    assert bench.replay().count() == 0
     text = bench.report()
     assert "stable" in text and "no_crossing" in text and bench.report(markdown=True).startswith("## ")
     with pytest.raises(ValueError, match="nothing is provable"):  # two replicates leave too wide a dead zone

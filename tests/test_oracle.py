@@ -10,7 +10,7 @@ from plumbline.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 #: Views of the same plan as verdict_by_stream, left to the driver's own comparison.
-SLOW = {"replay_all_prefixes", "replay_divergence", "verdict_counts"}
+SLOW = {"replay_all_prefixes", "replay_by_settings", "replay_divergence", "verdict_counts"}
 
 
 @pytest.fixture(scope="module")

@@ -25,17 +25,18 @@ def test_legs_stepped_together_equal_one_by_one():
             assert abs(legs.peak[i] - single[i]["peak"]) < 1e-9
 
 
-def test_tail_probabilities_of_many_values_at_once():
+def test_tail_probabilities_are_expressions(spark):
     rng = np.random.default_rng(1)
     t, df = rng.normal(size=300) * 3, rng.random(300) * 300 + 1
     want = np.array([student.two_sided_p(a, b) for a, b in zip(t, df)])
-    assert np.abs(student.two_sided_p_array(t, df) - want).max() < 1e-12
-    assert student.two_sided_p_array(np.zeros(1), np.ones(1))[0] == 1.0
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(t, df))] + [(-1, 0.0, 1.0), (-2, None, 1.0)], "i int, t double, df double")
+    got = {r["i"]: r["p"] for r in rows.select("i", student.two_sided_p_column(F.col("t"), F.col("df")).alias("p")).collect()}
+    assert max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-11 and got[-1] == 1.0 and got[-2] is None
 
 
-def test_dead_zone_beyond_the_map(spark):
-    rows = spark.createDataFrame([(k,) for k in (2, 64, 65, 500)], "k long").select("k", attribution.dead_factor(F.col("k"), 0.05).alias("f")).collect()
-    assert all(abs(r["f"] - student.dead_zone_factor(r["k"], 0.05)) < 1e-9 for r in rows)
+def test_dead_zone_is_an_expression(spark):
+    rows = spark.createDataFrame([(k,) for k in (2, 3, 5, 64, 65, 500, 100000)], "k long").select("k", student.dead_factor(F.col("k"), 0.05).alias("f")).collect()
+    assert all(abs(r["f"] - student.dead_zone_factor(r["k"], 0.05)) < 1e-10 for r in rows)
 
 
 def test_windows_backend_refuses_long_legs(spark):
