@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .wealth import CUT
@@ -41,28 +43,41 @@ def empirical_bernstein(df: DataFrame, keys: list[str], order: str, x: str, alph
     return df.withColumn("cs_hi", 1.0 - F.col("_up")).drop("_y", "_up")
 
 
-def hedged_capital(df: DataFrame, keys: list[str], order: str, x: str, alpha: float, breaks: int = 1000, theta: float = 0.5) -> DataFrame:
-    """keys, order, m, capital: log capital against each mean m of the grid. The grid is exploded, breaks + 1 rows to a row."""
+def hedged(df: DataFrame, keys: list[str], order: str, x: str, alpha: float, breaks: int = 1000, theta: float = 0.5) -> DataFrame:
+    """keys, order, cs_lo, cs_hi by inverting the capital over a grid of means, widened by one grid step on both sides.
+
+    One row an observation: a sequence's bets are collected in order and folded, and the fold's state is the two arrays
+    of log capitals against every mean inside the grid (its ends are never excluded by a finite capital and never in).
+    """
     df = with_bets(df, keys, order, x, alpha * theta, "_a", None)
     df = with_bets(df, keys, order, x, alpha * (1.0 - theta), "_b", None)
-    grid = df.select(*keys, order, x, "_a", "_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(breaks)), lambda i: i / F.lit(float(breaks)))).alias("m"))
-    m, value = F.col("m"), F.col(x)
-    _, so_far = _windows([*keys, "m"], order)
-    inner = (m > 0.0) & (m < 1.0)
-    safe = F.when(inner, m).otherwise(0.5)
-    up = F.ln(1.0 + F.least(F.col("_a"), CUT / safe) * (value - safe))
-    down = F.ln(1.0 - F.least(F.col("_b"), CUT / (1.0 - safe)) * (value - safe))
-    capital = F.greatest(F.ln(F.lit(theta)) + F.sum(up).over(so_far), F.ln(F.lit(1.0 - theta)) + F.sum(down).over(so_far))
-    return grid.withColumn("capital", F.when(inner, capital).otherwise(float("inf"))).drop("_a", "_b")
-
-
-def hedged(df: DataFrame, keys: list[str], order: str, x: str, alpha: float, breaks: int = 1000) -> DataFrame:
-    """keys, order, cs_lo, cs_hi by inverting the capital, widened by one grid step on both sides."""
-    inside = F.when(F.col("capital") <= F.ln(F.lit(1.0 / alpha)) + 1e-10, F.col("m"))
-    step = 1.0 / breaks
-    at = hedged_capital(df, keys, order, x, alpha, breaks).groupBy(*keys, order).agg(F.min(inside).alias("lo"), F.max(inside).alias("hi"))
-    lo = F.coalesce(F.greatest(F.col("lo") - step, F.lit(0.0)), F.lit(0.0))
-    hi = F.coalesce(F.least(F.col("hi") + step, F.lit(1.0)), F.lit(1.0))
+    bets = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col("_a").alias("a"), F.col("_b").alias("b")))).alias("bets"))
+    grid = F.transform(F.sequence(F.lit(1), F.lit(breaks - 1)), lambda i: i / F.lit(float(breaks)))
+    none = F.transform(F.sequence(F.lit(1), F.lit(breaks - 1)), lambda _: F.lit(0.0))
+    found = f"array<struct<o:{dict(df.dtypes)[order]},lo:double,hi:double>>"
+    most, ln = F.ln(F.lit(1.0 / alpha)) + 1e-10, math.log
+
+    def inverted(means: Column) -> Column:
+        def step(acc: Column, r: Column) -> Column:
+            up = F.zip_with(acc["up"], means, lambda c, m: c + F.ln(1.0 + F.least(r["a"], CUT / m) * (r["x"] - m)))
+            down = F.zip_with(acc["down"], means, lambda c, m: c + F.ln(1.0 - F.least(r["b"], CUT / (1.0 - m)) * (r["x"] - m)))
+
+            def after(c: Column) -> Column:
+                capital = F.zip_with(c["up"], c["down"], lambda u, d: F.greatest(ln(theta) + u, ln(1.0 - theta) + d))
+                inside = F.filter(F.zip_with(capital, means, lambda v, m: F.when(v <= most, m)), lambda m: m.isNotNull())
+                at = F.transform(F.array(inside), lambda i: F.struct(r["o"].alias("o"), F.array_min(i).alias("lo"), F.array_max(i).alias("hi")))
+                return F.struct(c["up"].alias("up"), c["down"].alias("down"), F.concat(acc["out"], at).cast(found).alias("out"))
+
+            return F.element_at(F.transform(F.array(F.struct(up.alias("up"), down.alias("down"))), after), 1)
+
+        start = F.struct(none.alias("up"), none.alias("down"), F.array().cast(found).alias("out"))
+        return F.aggregate("bets", start, step, lambda acc: acc["out"])
+
+    steps = F.element_at(F.transform(F.array(grid), inverted), 1)
+    at = bets.select(*keys, F.explode(steps).alias("s")).select(*keys, F.col("s.o").alias(order), "s.lo", "s.hi")
+    one = 1.0 / breaks
+    lo = F.coalesce(F.greatest(F.col("lo") - one, F.lit(0.0)), F.lit(0.0))
+    hi = F.coalesce(F.least(F.col("hi") + one, F.lit(1.0)), F.lit(1.0))
     _, so_far = _windows(keys, order)
     out = at.withColumn("cs_lo", F.max(lo).over(so_far)).withColumn("cs_hi", F.min(hi).over(so_far))
     middle, crossed = (F.col("cs_lo") + F.col("cs_hi")) / 2.0, F.col("cs_hi") < F.col("cs_lo")
