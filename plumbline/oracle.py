@@ -252,6 +252,12 @@ SQL["gold_agreement"] = f"WITH {ITEMS} SELECT round(avg(abs(score - quality)), 6
 SQL["cached_scores"] = f"""WITH {ITEMS} SELECT item_id, round(coalesce(l.quality::DOUBLE, 0.25 + 0.5 * ('0x' || substr(sha256(item_id), 1, 8))::BIGINT / 4294967295.0::DOUBLE), 6) AS score FROM items LEFT JOIN labels l ON l.doc_id::VARCHAR = item_id"""
 SQL["ingest_issues"] = """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_tax AS score, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM lineitem)
   SELECT CASE WHEN c > 1 THEN 'duplicate item id' WHEN score IS NULL THEN 'no numeric score' WHEN NOT score BETWEEN 0 AND 0.07 THEN 'score out of range' END AS issue, count(*) AS n FROM r GROUP BY 1"""
+SQL["ingest_lines"] = """WITH r AS (SELECT year(l_shipdate)::INT AS year, l_quantity AS q, row_number() OVER (PARTITION BY year(l_shipdate) ORDER BY l_orderkey, l_linenumber, l_tax, l_quantity) AS line, l_orderkey || '-' || l_linenumber % 3 AS id, l_tax AS score FROM lineitem),
+  kept AS (SELECT *, q = 17 AS broken, CASE WHEN score NOT BETWEEN 0 AND 0.07 THEN 'score out of range' END AS wrong FROM r WHERE q NOT IN (13, 19)),
+  firsts AS (SELECT year, id, min(line) AS first FROM kept WHERE NOT broken AND wrong IS NULL GROUP BY ALL),
+  told AS (SELECT k.year, k.line, CASE WHEN NOT broken AND line > first THEN first END AS first_line,
+    CASE WHEN broken THEN 'not JSON' ELSE concat_ws(', ', CASE WHEN line > first THEN 'duplicate item id' END, wrong) END AS issues FROM kept k LEFT JOIN firsts f ON f.year = k.year AND f.id = k.id)
+  SELECT year, issues, count(*) AS n, sum(line)::BIGINT AS lines, coalesce(sum(first_line), 0)::BIGINT AS first_lines FROM told GROUP BY year, issues"""
 SQL["scale_suggestion"] = """WITH e AS (SELECT 'discount' AS name, l_discount AS x FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem), a AS (SELECT name, min(x) AS lo, max(x) AS hi FROM e GROUP BY name),
   s AS (SELECT * FROM (VALUES (1, 0.0, 1.0), (2, -1.0, 1.0), (3, 1.0, 5.0), (4, 0.0, 5.0), (5, 1.0, 10.0), (6, 0.0, 10.0), (7, 0.0, 100.0)) v(i, slo, shi))
   SELECT name, lo, hi, (arg_min(slo, i))::DOUBLE AS scale_lo, (arg_min(shi, i))::DOUBLE AS scale_hi FROM a LEFT JOIN s ON lo >= slo AND hi <= shi GROUP BY name, lo, hi"""

@@ -350,6 +350,20 @@ def ingest_issues(spark, sf):
     return ingest.validate(rows, 0.0, 0.07).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def ingest_lines(spark, sf):
+    """lineitem as score lines, a file a ship year, some of them comments or broken: every issue with its lines."""
+    at = f"{shared.folder(spark)}/plumbline/lines-{uuid.uuid4().hex}"
+    rows = tables.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", F.year("l_shipdate").alias("year"))
+    record = F.to_json(F.struct(F.concat_ws("-", "l_orderkey", F.col("l_linenumber") % 3).alias("item_id"), F.col("l_tax").alias("score")))
+    value = F.when(F.col("l_quantity") == 13, "// left out").when(F.col("l_quantity") == 17, F.concat(F.lit("{"), record)).when(F.col("l_quantity") == 19, "").otherwise(record)
+    ordered = rows.repartition("year").sortWithinPartitions("year", "l_orderkey", "l_linenumber", "l_tax", "l_quantity")
+    ordered.select("year", value.alias("value")).write.partitionBy("year").text(at)
+    found = ingest.load(spark, "jsonl", f"{at}/*", 0.0, 0.07)
+    year = F.regexp_extract("source", "year=([0-9]+)", 1).cast("int").alias("year")
+    return found.groupBy(year, F.array_join("issues", ", ").alias("issues")).agg(F.count(F.lit(1)).alias("n"), F.sum("line").alias("lines"), F.coalesce(F.sum("first_line"), F.lit(0)).alias("first_lines"))
+
+
 @query
 def scale_suggestion(spark, sf):
     rows = tables.read(spark, sf, "lineitem")

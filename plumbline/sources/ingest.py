@@ -1,7 +1,7 @@
 """Scored items from JSON lines and three framework exports, checked row by row.
 
-Nothing is coerced or clamped: every row gets the first issue that holds for it, or none; `strict` raises
-when any row has one.
+Nothing is coerced or clamped: every row gets all issues that hold for it, and the first of them as its issue;
+`strict` raises when any row has one. Score lines carry their numbers, counted exactly however files are split.
 """
 
 from __future__ import annotations
@@ -27,51 +27,95 @@ TEST_NAMES = ["id", "description", "name", "item_id"]
 
 
 def validate(rows: DataFrame, lo: float, hi: float, keys: list[str] | None = None) -> DataFrame:
-    """rows (item_id, score, and optionally issue) with issue: what is wrong, in the order of the checks."""
+    """rows (item_id, score, and optionally issue and line) with issues, all that is wrong in the order of the checks, and issue, the first.
+
+    With line, the first sound row of an item stays, and the later ones are its duplicates, with its line as first_line;
+    without, all rows that share an id are.
+    """
     keys = keys or []
     before = F.col("issue") if "issue" in rows.columns else F.lit(None).cast("string")
-    repeats = F.count(F.lit(1)).over(Window.partitionBy(*keys, "item_id"))
+    nameless = F.col("item_id").isNull() | (F.trim("item_id") == "")
     x = F.col("score")
-    issue = (
-        F.when(before.isNotNull(), before)
-        .when(F.col("item_id").isNull() | (F.trim("item_id") == ""), "no item id")
-        .when(repeats > 1, "duplicate item id")
-        .when(x.isNull(), "no numeric score")
-        .when(F.isnan(x) | (F.abs(x) == float("inf")), "score is not finite")
-        .when(~x.between(lo, hi), "score out of range")
-    )
-    return rows.withColumn("issue", issue).withColumn("normalised", F.when(F.col("issue").isNull(), normalise(x, lo, hi)))
-
-
-def strict(rows: DataFrame) -> DataFrame:
-    """Only sound tables pass: all issues are gathered into one error."""
-    bad = rows.where("issue is not null").select("item_id", "issue").toLocalIterator()
-    text = "; ".join(f"{r['item_id']}: {r['issue']}" for r in bad)
-    if text:
-        raise ValueError(text)
+    score = F.when(x.isNull(), "no numeric score").when(F.isnan(x) | (F.abs(x) == float("inf")), "score is not finite").when(~x.between(lo, hi), "score out of range")
+    if "line" in rows.columns:
+        sound = rows.where(before.isNull() & ~nameless & score.isNull())
+        known = sound.groupBy(*keys, "item_id").agg(F.min("line").alias("first_line"))
+        rows = rows.join(known, [*keys, "item_id"], "left")
+        again = F.col("line") > F.col("first_line")
+        rows = rows.withColumn("first_line", F.when(again, F.col("first_line")))
+        again = F.col("first_line").isNotNull()
+    else:
+        again = F.count(F.lit(1)).over(Window.partitionBy(*keys, "item_id")) > 1
+    read = before.isNull()
+    found = [before, F.when(read & nameless, "no item id"), F.when(read & again & ~nameless, "duplicate item id"), F.when(read, score)]
+    rows = rows.withColumn("issues", F.array_compact(F.array(*found)))
+    return rows.withColumn("issue", F.try_element_at("issues", F.lit(1))).withColumn("normalised", F.when(F.col("issue").isNull(), normalise(x, lo, hi)))
+
+
+def strict(rows: DataFrame, quoted: int = 20) -> DataFrame:
+    """Only sound tables pass: one error names the kinds of issues with their numbers and quotes the first rows."""
+    bad = rows.where("issue is not null")
+    kinds = sorted((r["issue"], r["count"]) for r in bad.groupBy("issue").count().collect())  # a row a kind
+    if kinds:
+        order = [c for c in ("source", "line") if c in rows.columns] or ["item_id"]
+        first = bad.orderBy(*order).limit(quoted).collect()
+        total = sum(n for _, n in kinds)
+
+        def told(r) -> str:
+            line = f"line {r['line']}: " if "line" in order else ""
+            back = f" (first on line {r['first_line']})" if "line" in order and r["first_line"] else ""
+            return f"{line}{r['item_id']}: {', '.join(r['issues'])}{back}"
+
+        more = f"; and {total - len(first)} more" if total > len(first) else ""
+        raise ValueError(f"{', '.join(f'{k} {n}' for k, n in kinds)}: {'; '.join(map(told, first))}{more}")
     if not rows.take(1):
         raise ValueError("no scored items")
     return rows
 
 
+def checked_path(spark: SparkSession, path: str) -> str:
+    """The path, if there is something to read: missing paths and folders without files have their own errors."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise ValueError(f"{path}: file not found")
+    if len(found) == 1 and found[0].isDirectory() and not found[0].getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(found[0].getPath(), True).hasNext():
+        raise ValueError(f"{path}: a directory without files, not a score file")
+    return path
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source, line (from 1), value of all lines, blank ones included.
+
+    Files are read in blocks by many tasks. One pass counts the lines of each block; a block's lines begin after those
+    of the blocks before it in its file. A row a block is all that is shuffled.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    blocks = lines.groupBy("source", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return lines.join(blocks, ["source", "block"]).select("source", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), "value")
+
+
 def _number(text: Column) -> Column:
     """A JSON number or boolean as a double; strings, null and anything else are null."""
     return F.when(text.isin("true", "false"), (text == "true").cast("double")).when(text.rlike(r"^-?[0-9]"), text.try_cast("double"))
 
 
 def json_lines(spark: SparkSession, path: str, lo: float, hi: float) -> DataFrame:
-    """source, item_id, score, issue, normalised of every line that is neither blank nor a // comment."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("source"), "value").where("trim(value) <> '' and not startswith(ltrim(value), '//')")
+    """source, line, item_id, score, issues of every line that is neither blank nor a // comment."""
+    lines = numbered_lines(spark, path).where("trim(value) <> '' and not startswith(ltrim(value), '//')")
     v = F.try_parse_json("value")
     raw = {n: F.try_variant_get(v, f"$.{n}", "string") for n in ITEM_NAMES}
     typed = {n: F.to_json(F.try_variant_get(v, f"$.{n}", "variant")) for n in SCORE_NAMES}
     several = lambda cols: F.size(F.array_distinct(F.array_compact(F.array(*cols)))) > 1
     issue = (
-        F.when(v.isNull(), "not JSON")
+        F.when(~F.is_valid_utf8("value"), "not UTF-8 text")
+        .when(v.isNull(), "not JSON")
         .when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
         .when(several(raw.values()) | several(typed.values()), "two names with different values")
     )
-    rows = lines.select("source", F.coalesce(*raw.values()).alias("item_id"), _number(F.coalesce(*typed.values())).alias("score"), issue.alias("issue"))
+    rows = lines.select("source", "line", F.coalesce(*raw.values()).alias("item_id"), _number(F.coalesce(*typed.values())).alias("score"), issue.alias("issue"))
     return validate(rows, lo, hi, ["source"])
 
 
@@ -151,7 +195,7 @@ READERS = {"jsonl": json_lines, "promptfoo": promptfoo, "deepeval": deepeval, "i
 def load(spark: SparkSession, adapter: str, path: str, lo: float, hi: float, **options) -> DataFrame:
     if adapter not in READERS:
         raise ValueError(f"unknown adapter {adapter}; one of {', '.join(READERS)}")
-    return READERS[adapter](spark, path, lo, hi, **options)
+    return READERS[adapter](spark, checked_path(spark, path), lo, hi, **options)
 
 
 def to_observations(rows: DataFrame, stream_id: str, kind: str, run_index: int, epoch: int = 0) -> DataFrame:

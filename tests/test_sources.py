@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,52 @@ def test_pins_and_prices(spark):
     assert row.select(scores.differing_fields(F.col("a"), F.col("b"))).first()[0] == ["model", "params_hash"]
     assert row.select(scores.longest_prefix_price(F.lit("big-2"), {"big": 1.0, "big-2": 3.0})).first()[0] == 3.0
     assert spark.range(1).select(generator.latent_level(F.lit("x"))).first()[0] > 0.25
+
+
+def test_lines_are_numbered_over_split_files(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    texts = {}
+    for name in ("a", "b"):
+        lines = []
+        for i in range(500):
+            kind = rng.integers(0, 9)
+            score = 9.0 if kind == 3 else float("%.3f" % rng.random())
+            lines.append("" if kind == 0 else "// note" if kind == 1 else "{" + "x" * 40 if kind == 2 else json.dumps({"item_id": f"i{rng.integers(0, 200)}", "score": score}))
+        texts[name] = lines
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    want = []
+    for name, lines in texts.items():
+        seen = {}
+        for n, line in enumerate(lines, 1):
+            if not line or line.startswith("//"):
+                continue
+            try:
+                r = json.loads(line)
+            except json.JSONDecodeError:
+                want.append((name, n, ["not JSON"], None))
+                continue
+            issues = (["duplicate item id"] if r["item_id"] in seen else []) + (["score out of range"] if r["score"] > 1 else [])
+            want.append((name, n, issues, seen.get(r["item_id"])))
+            if not issues:
+                seen[r["item_id"]] = n
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")  # every file in many blocks
+    try:
+        rows = ingest.load(spark, "jsonl", str(tmp_path / "*.jsonl"), 0.0, 1.0)
+        got = [(r["source"].split("/")[-1][0], r["line"], r["issues"], r["first_line"]) for r in rows.collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        with pytest.raises(ValueError, match=r"duplicate item id \d+, not JSON \d+, score out of range \d+: line \d+: .*; and \d+ more"):
+            ingest.strict(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_wrong_paths_have_their_own_errors(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    (tmp_path / "binary.jsonl").write_bytes(b'{"item_id": "a", "score": 1}\n\xff\xfe\x00')
+    with pytest.raises(ValueError, match="file not found"):
+        ingest.load(spark, "jsonl", str(tmp_path / "missing.jsonl"), 0.0, 1.0)
+    with pytest.raises(ValueError, match="directory"):
+        ingest.load(spark, "jsonl", str(tmp_path / "none"), 0.0, 1.0)
+    rows = ingest.load(spark, "jsonl", str(tmp_path / "binary.jsonl"), 0.0, 1.0).collect()
+    assert [(r["line"], r["issue"]) for r in sorted(rows, key=lambda r: r["line"])] == [(1, None), (2, "not UTF-8 text")]
