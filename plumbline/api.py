@@ -31,13 +31,10 @@ class Bench:
             raise ValueError(f"the ledger at {self.path} is damaged")
         return lines
 
-    def _epoch_and_next(self, stream_id: str, kind: str) -> tuple[int, int]:
-        try:
-            lines = self.lines()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0, 0
-            raise
+    def _epoch_and_next(self, lines: DataFrame | None, stream_id: str, kind: str) -> tuple[int, int]:
+        """The current epoch and the next run_index, by the lines of a ledger (None: there is none yet)."""
+        if lines is None:
+            return 0, 0
         last = ledger.runs(lines, kind).where(F.col("stream_id") == stream_id).agg(F.max("run_index")).first()[0]
         return ledger.epoch(lines).first()["epoch"], 0 if last is None else last + 1
 
@@ -52,13 +49,19 @@ class Bench:
 
     def observe(self, path: str, stream_id: str, pin: dict, kind: str = "system", scorer: Scorer | None = None, control: DataFrame | None = None, **options) -> int:
         """Append one run from an export; at the cadence also re-score the control set under the same index."""
-        epoch, index = self._epoch_and_next(stream_id, kind)
         rows = ingest.strict(ingest.load(self.spark, self.settings.adapter, path, *self.settings.scale, **options))
-        new = [self._record(ingest.to_observations(rows, stream_id, kind, index, epoch), stream_id, kind, index, epoch, pin)]
-        if scorer is not None and control is not None and index % self.settings.cadence == 0:
-            scored = scorer(control, f"{stream_id}-{index}").withColumn("raw", F.col("score"))
-            new.append(self._record(scored, stream_id, "anchor", index, epoch, pin))
-        ledger.append(self.spark, self.path, new)
+        index = 0
+
+        def records(lines: DataFrame | None) -> ledger.Records:
+            nonlocal index
+            epoch, index = self._epoch_and_next(lines, stream_id, kind)
+            new = [self._record(ingest.to_observations(rows, stream_id, kind, index, epoch), stream_id, kind, index, epoch, pin)]
+            if scorer is not None and control is not None and index % self.settings.cadence == 0:
+                scored = scorer(control, f"{stream_id}-{index}").withColumn("raw", F.col("score"))
+                new.append(self._record(scored, stream_id, "anchor", index, epoch, pin))
+            return new
+
+        ledger.append(self.spark, self.path, records)
         return index
 
     def baseline(self, candidates: DataFrame, stream_id: str, pin: dict, scorer: Scorer) -> DataFrame:
@@ -72,9 +75,12 @@ class Bench:
         floor = anchors.noise_floor(every).first().asDict()
         if not floor["same_items"]:
             raise ValueError("the replicates scored different item sets")
-        epoch, index = self._epoch_and_next(stream_id, "anchor")
-        records = [("baseline", ledger.canonical({"stream_id": stream_id, **{n: floor[n] for n in ("per_item_sd", "run_mean_sd", "replicates", "n_items")}}))]
-        records += [self._record(s, stream_id, "anchor", index + i, epoch, pin) for i, s in enumerate(scored)]
+        floor_record = ("baseline", ledger.canonical({"stream_id": stream_id, **{n: floor[n] for n in ("per_item_sd", "run_mean_sd", "replicates", "n_items")}}))
+
+        def records(lines: DataFrame | None) -> ledger.Records:
+            epoch, index = self._epoch_and_next(lines, stream_id, "anchor")
+            return [floor_record, *(self._record(s, stream_id, "anchor", index + i, epoch, pin) for i, s in enumerate(scored))]
+
         ledger.append(self.spark, self.path, records)
         return chosen
 

@@ -1,14 +1,20 @@
 """A hash-chained, append-only record of runs, baselines, epochs and verdicts.
 
-Writing is serial by nature and done by the driver for the few records of one append; reading and verifying
-is parallel: a line's own hash needs only that line, and its link is an equi-join with the line before.
+Writing is done by the driver for the few records of one append, and any number of writers may append: each puts
+its records as one file under the next sequence number, if no other has. Reading and verifying is parallel: a line's own hash needs only that line, and its link is an equi-join with the line before.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
+import random
+import time
+import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +47,7 @@ def seal(seq: int, kind: str, prev: str, payload: str, semantics: int = 1, schem
     return hashlib.sha256("\n".join([str(seq), kind, prev, str(semantics), str(schema), payload]).encode()).hexdigest()
 
 
-def chain(spark: SparkSession, records: list[tuple[str, str]], head: tuple[int, str] = (-1, GENESIS)) -> DataFrame:
+def chained(records: list[tuple[str, str]], head: tuple[int, str] = (-1, GENESIS)) -> list[tuple]:
     """Records (type, payload text) as chained rows after head (seq, hash)."""
     seq, prev = head
     rows = []
@@ -51,7 +57,11 @@ def chain(spark: SparkSession, records: list[tuple[str, str]], head: tuple[int,
         seq += 1
         rows.append((seq, kind, prev, 1, 1, payload, seal(seq, kind, prev, payload)))
         prev = rows[-1][-1]
-    return spark.createDataFrame(rows, SCHEMA)
+    return rows
+
+
+def chain(spark: SparkSession, records: list[tuple[str, str]], head: tuple[int, str] = (-1, GENESIS)) -> DataFrame:
+    return spark.createDataFrame(chained(records, head), SCHEMA)
 
 
 def verify(lines: DataFrame) -> DataFrame:
@@ -67,20 +77,72 @@ def verify(lines: DataFrame) -> DataFrame:
     return rows.select(*lines.columns, (own == F.col("hash")).alias("hash_ok"), F.coalesce(link, F.lit(False)).alias("link_ok"), whole.alias("seq_ok"))
 
 
-def append(spark: SparkSession, path: str, records: list[tuple[str, str]]) -> DataFrame:
-    """Verify what is there, then add records in one file. Single writer: callers hold whatever lock their store has."""
+def put_if_absent(spark: SparkSession, path: str, name: str, text: str) -> bool:
+    """Puts a whole file at path/name, visible at once; False, and nothing changed, if there is one already.
+
+    Of writers that try the same name, one succeeds: on a local file system by a hard link, elsewhere by a rename that
+    doesn't overwrite, which is atomic where renames are (HDFS).
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    fs.mkdirs(root)
+    hidden = f".{name}-{uuid.uuid4().hex}"
+    if fs.getUri().getScheme() == "file":
+        local = root.toUri().getPath()
+        with open(f"{local}/{hidden}", "x", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(f"{local}/{hidden}", f"{local}/{name}")
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(f"{local}/{hidden}")
+        return True
+    at, to = jvm.org.apache.hadoop.fs.Path(root, hidden), jvm.org.apache.hadoop.fs.Path(root, name)
+    out = fs.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
     try:
-        have = read(spark, path)
-        head = have.agg(F.max(F.struct("seq", "hash")).alias("h")).first()["h"]
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(at, to, options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
             raise
-        have, head = None, None
-    if have is not None and verify(have).where("not (hash_ok and link_ok and seq_ok)").take(1):
-        raise ValueError(f"the ledger at {path} is damaged; nothing was added")
-    new = chain(spark, records, (head["seq"], head["hash"]) if head else (-1, GENESIS))
-    new.coalesce(1).write.mode("append").json(path)
-    return new
+        fs.delete(at, False)
+        return False
+    return True
+
+
+Records = list[tuple[str, str]]
+
+
+def append(spark: SparkSession, path: str, records: Records | Callable[[DataFrame | None], Records], attempts: int = 50) -> DataFrame:
+    """Verify what is there, then add records in one file, whoever else is writing.
+
+    The file is named by its first record's seq and put only if no file has that name. A writer that comes second reads
+    the ledger again and tries behind the new head, so no record is lost or doubled. records: a list, or a function of
+    the lines read (None: no ledger yet) that makes it anew for every attempt.
+    """
+    for _ in range(attempts):
+        try:
+            have = read(spark, path)
+            head = have.agg(F.max(F.struct("seq", "hash")).alias("h")).first()["h"]
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            have, head = None, None
+        if have is not None and verify(have).where("not (hash_ok and link_ok and seq_ok)").take(1):
+            raise ValueError(f"the ledger at {path} is damaged; nothing was added")
+        rows = chained(records(have) if callable(records) else records, (head["seq"], head["hash"]) if head else (-1, GENESIS))
+        if not rows:
+            return spark.createDataFrame([], SCHEMA)
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        text = "".join(json.dumps(dict(zip(names, r))) + "\n" for r in rows)
+        if put_if_absent(spark, path, f"{rows[0][0]:020d}.json", text):
+            return spark.createDataFrame(rows, SCHEMA)
+        time.sleep(random.random() * 0.05)
+    raise TimeoutError(f"{attempts} attempts to append to {path} were overtaken by other writers")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -151,3 +152,28 @@ def test_wrong_paths_have_their_own_errors(spark, tmp_path):
         ingest.load(spark, "jsonl", str(tmp_path / "none"), 0.0, 1.0)
     rows = ingest.load(spark, "jsonl", str(tmp_path / "binary.jsonl"), 0.0, 1.0).collect()
     assert [(r["line"], r["issue"]) for r in sorted(rows, key=lambda r: r["line"])] == [(1, None), (2, "not UTF-8 text")]
+
+
+def test_writers_at_once_lose_and_double_nothing(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+
+    def write(name):
+        for i in range(2):
+            # a record that depends on what is there, as a run_index does
+            ledger.append(spark, path, lambda lines: [("rebaseline", ledger.rebaseline_payload(f"{name}-{i} after {0 if lines is None else lines.count()}"))] * 2)
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, "abc"))
+    lines = ledger.read(spark, path)
+    assert lines.count() == 12 and ledger.verify(lines).where("not (hash_ok and link_ok and seq_ok)").count() == 0
+    said = {r["seq"]: json.loads(r["payload"])["reason"] for r in lines.collect()}
+    assert all(said[q].endswith(f" after {q - q % 2}") for q in said)
+    assert sorted({t.split(" ")[0] for t in said.values()}) == [f"{n}-{i}" for n in "abc" for i in range(2)]
+    assert not [p for p in (tmp_path / "ledger").iterdir() if p.name.startswith(".")]
+
+
+def test_a_name_is_taken_once_on_other_file_systems(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.books.link./at", f"file://{tmp_path}")
+    for text, new in (("first\n", True), ("second\n", False)):
+        assert ledger.put_if_absent(spark, "viewfs://books/at/ledger", "0.json", text) is new
+    assert (tmp_path / "ledger" / "0.json").read_text() == "first\n"
