@@ -36,13 +36,21 @@ def noise_floor(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def pairwise_agreement(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean and largest absolute difference and the share of equal scores over all pairs of replicates of an item.
 
-    The K scores of one item are one short array, so the pairs need no join.
+    No pair is made: with the scores of an item in order, each stands above those before it and below those after it, so
+    the differences add up by ranks, and equal scores by their counts. Work is K log K for K replicates, and scores
+    that repeat are counted before they are shuffled.
     """
     keys = keys or []
-    ordered = scores.groupBy(*keys, "item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "score"))), lambda x: x["score"]).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.abs(a - b))))
-    each = ordered.select(*keys, F.explode(pairs).alias("d"))
-    return each.groupBy(*keys).agg(F.avg("d").alias("mean_abs_diff"), F.max("d").alias("max_diff"), F.avg((F.col("d") == 0).cast("double")).alias("agreement"), F.count(F.lit(1)).alias("comparisons"))
+    item = [*keys, "item_id"]
+    values = scores.where("score is not null").groupBy(*item, "score").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*item)
+    below = F.coalesce(F.sum("c").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = values.select(*item, "score", "c", below.alias("below"), F.sum("c").over(w).alias("k")).where("k > 1")
+    c, k = F.col("c"), F.col("k")
+    apart = F.sum(c * F.col("score") * (2 * F.col("below") + c - k))
+    each = ranked.groupBy(*item).agg(apart.alias("apart"), (F.max("score") - F.min("score")).alias("span"), F.sum(c * (c - 1) / 2).alias("equal"), F.first(k * (k - 1) / 2).alias("pairs"))
+    pairs = F.sum("pairs")
+    return each.groupBy(*keys).agg((F.sum("apart") / pairs).alias("mean_abs_diff"), F.max("span").alias("max_diff"), (F.sum("equal") / pairs).alias("agreement"), F.coalesce(pairs.cast("long"), F.lit(0)).alias("comparisons"))
 
 
 def candidates(items: DataFrame, score: Column, tags: Column) -> DataFrame:

@@ -262,6 +262,13 @@ SQL["scale_suggestion"] = """WITH e AS (SELECT 'discount' AS name, l_discount AS
   s AS (SELECT * FROM (VALUES (1, 0.0, 1.0), (2, -1.0, 1.0), (3, 1.0, 5.0), (4, 0.0, 5.0), (5, 1.0, 10.0), (6, 0.0, 10.0), (7, 0.0, 100.0)) v(i, slo, shi))
   SELECT name, lo, hi, (arg_min(slo, i))::DOUBLE AS scale_lo, (arg_min(shi, i))::DOUBLE AS scale_hi FROM a LEFT JOIN s ON lo >= slo AND hi <= shi GROUP BY name, lo, hi"""
 SQL["reply_scores"] = r"""WITH x AS (SELECT conv_id, turn, try_cast(nullif(regexp_extract(text, '-?\d+(?:\.\d+)?', 0), '') AS DOUBLE) AS v FROM conversations) SELECT conv_id, turn, CASE WHEN v BETWEEN 0 AND 10 THEN v END AS score FROM x"""
+SQL["scoring_within_a_limit"] = """WITH i AS (SELECT d.doc_id::VARCHAR AS id, length(d.text) AS n, coalesce(t.toxic, 0) = 1 AS fails, (('0x' || substr(sha256(d.doc_id::VARCHAR), 1, 8))::BIGINT % 16)::INT AS wave
+    FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) t USING (doc_id)),
+  w AS (SELECT wave, sum(CASE WHEN fails THEN 0 ELSE n END) / 1e6::DOUBLE AS cost FROM i GROUP BY wave),
+  b AS (SELECT wave, coalesce(sum(cost) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < (SELECT sum(n) / 3e6::DOUBLE FROM i) AS begun FROM w)
+  SELECT wave, CASE WHEN NOT begun THEN 'spend limit' WHEN fails THEN 'ValueError: refused' ELSE '' END AS error, count(*) AS n, sum(CASE WHEN NOT begun THEN 0 WHEN fails THEN 2 ELSE 1 END)::BIGINT AS calls,
+    round(sum(CASE WHEN begun AND NOT fails THEN n / 1e6::DOUBLE ELSE 0 END), 6) AS cost, round(sum(CASE WHEN begun AND NOT fails THEN n % 101 / 100::DOUBLE ELSE 0 END), 2) AS scores
+  FROM i JOIN b USING (wave) GROUP BY 1, 2"""
 SQL["call_costs"] = """SELECT source, round(sum(n_chars / 4.0::DOUBLE / 1e6 * p + 10.0::DOUBLE / 1e6 * p * 5), 4) AS cost, count(*) AS calls
   FROM (SELECT source, n_chars, CASE WHEN source LIKE 'src12%' THEN 4.0 WHEN source LIKE 'src1%' THEN 2.0 ELSE 1.0 END::DOUBLE AS p FROM documents) GROUP BY source"""
 SQL["refusal_rates"] = """WITH r AS (SELECT source AS config, avg((toxic = 1)::INT) AS rate, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source)

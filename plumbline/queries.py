@@ -12,7 +12,7 @@ from .functions import power, scores, student
 from .functions.power import Floor
 from .operators import anchors, confseq, kernel, rivals, runs, tallies, wealth
 from .plans import attribution, replay, study
-from .sources import generator, ingest, ledger, shared, tables
+from .sources import anchor_store, generator, ingest, ledger, shared, tables
 from .sources.shared import written
 from .streaming import live
 
@@ -379,6 +379,23 @@ def reply_scores(spark, sf):
     return rows.select("conv_id", "turn", scores.first_number(F.col("text"), 0.0, 10.0).alias("score"))
 
 
+@query
+def scoring_within_a_limit(spark, sf):
+    """Documents scored in sixteen waves, at a millionth of a unit a character, until a third of what all would cost is spent; toxic ones fail."""
+    docs = tables.read(spark, sf, "documents").select("doc_id", F.col("text").alias("output"), F.length("text").alias("n")).dropDuplicates(["doc_id"])
+    toxic = tables.read(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    items = docs.join(toxic, "doc_id", "left").select(F.col("doc_id").cast("string").alias("item_id"), F.coalesce("toxic", F.lit(0)).cast("string").alias("prompt_input"), "output", "n")
+    limit = items.agg(F.sum("n")).first()[0] / 3e6
+
+    def score(toxic: str, text: str) -> tuple[float, float]:
+        if toxic == "1":
+            raise ValueError("refused")
+        return len(text) % 101 / 100, len(text) / 1e6
+
+    out = anchor_store.score_within(items.drop("n"), score, limit, raises=ValueError, retries=1, pause=0.0)
+    return out.groupBy("wave", F.coalesce("error", F.lit("")).alias("error")).agg(F.count(F.lit(1)).alias("n"), F.sum("calls").alias("calls"), F.round(F.sum("cost"), 6).alias("cost"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 2).alias("scores"))
+
+
 @query
 def call_costs(spark, sf):
     """Cost of one call per document by the longest matching price prefix of its source."""

@@ -1,4 +1,5 @@
 import json
+import time
 
 import numpy as np
 import pytest
@@ -187,3 +188,47 @@ def test_bucket_window_equals_lists_of_scores(spark):
         want[name] = late[0] if late else None
     got = rivals.adwin_buckets(spark.createDataFrame(rows, "stream_id string, t long, i long, score double")).collect()
     assert {r["stream_id"]: r["alarm_at"] for r in got} == want and sum(v is not None for v in want.values()) >= 3
+
+
+def test_scoring_runs_side_by_side_retries_and_stops_at_a_limit(spark):
+    items = spark.createDataFrame([(f"i{n}", str(n), "o") for n in range(160)], "item_id string, prompt_input string, output string").coalesce(1)
+
+    def make():  # each thread has a scorer of its own
+        tried = {}
+
+        def score(a, _):
+            tried[a] = tried.get(a, 0) + 1
+            time.sleep(0.05)
+            if int(a) % 10 == 0:
+                raise ValueError("no")
+            if int(a) % 10 == 1 and tried[a] == 1:
+                raise ValueError("once")
+            return float(a), 0.5
+
+        return score
+
+    began = time.time()
+    rows = {r["item_id"]: r for r in anchor_store.scored_or_failed(items, make, ValueError, workers=16, retries=1, pause=0.0, own=True).collect()}
+    assert time.time() - began < 0.05 * 192 * 0.9  # one after the other they take longer
+    assert len(rows) == 160 and all(r["score"] == int(i[1:]) and r["calls"] == 1 + (int(i[1:]) % 10 == 1) and r["cost"] == 0.5 for i, r in rows.items() if int(i[1:]) % 10)
+    assert all((rows[f"i{n}"]["score"], rows[f"i{n}"]["error"], rows[f"i{n}"]["calls"]) == (None, "ValueError: no", 2) for n in range(0, 160, 10))
+    part = anchor_store.score_within(items, lambda a, _: (1.0, 1.0), 30.0, waves=8).collect()
+    waves = sorted({r["wave"] for r in part if r["error"] is None})
+    cost = [sum(r["cost"] for r in part if r["wave"] == w) for w in range(8)]
+    assert len(part) == 160 and waves == list(range(len(waves))) and sum(cost[: len(waves) - 1]) < 30 <= sum(cost)
+    assert {r["error"] for r in part if r["wave"] not in waves} == {"spend limit"}
+
+    def broken(a, b):
+        raise ValueError("down")
+
+    with pytest.raises(ValueError, match="every call of a wave failed.*down"):
+        anchor_store.score_within(items, broken, 30.0, waves=2)
+
+
+def test_pairs_by_ranks_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, f"i{i}", k, float(rng.integers(0, 5)) / 4) for g in ("x", "y") for i in range(9) for k in range(1 + i)]
+    got = {r["g"]: r for r in anchors.pairwise_agreement(spark.createDataFrame(rows, "g string, item_id string, replicate int, score double"), ["g"]).collect()}
+    for g in ("x", "y"):
+        d = [abs(a[3] - b[3]) for a in rows for b in rows if a[0] == b[0] == g and a[1] == b[1] and a[2] < b[2]]
+        assert (got[g]["comparisons"], got[g]["max_diff"]) == (len(d), max(d)) and abs(got[g]["mean_abs_diff"] - np.mean(d)) < 1e-12 and abs(got[g]["agreement"] - np.mean(np.array(d) == 0)) < 1e-12
