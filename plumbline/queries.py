@@ -13,6 +13,7 @@ from .functions.power import Floor
 from .operators import anchors, confseq, kernel, rivals, runs, tallies, wealth
 from .plans import attribution, replay, study
 from .sources import anchor_store, generator, ingest, ledger, shared, tables
+from .sources.score_cache import ScoreCache
 from .sources.shared import written
 from .streaming import live
 
@@ -372,6 +373,18 @@ def scale_suggestion(spark, sf):
     return out.select("name", "lo", "hi", F.col("s.lo").alias("scale_lo"), F.col("s.hi").alias("scale_hi"))
 
 
+@query
+def kept_scores(spark, sf):
+    """A cache over three runs: labels go in, all documents are filled from it and the scorer, then toxic ones are corrected to 0."""
+    cache = ScoreCache(spark, f"{shared.folder(spark)}/plumbline/cache-{uuid.uuid4().hex}", 64)
+    labels = tables.read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("key"), F.col("quality").cast("double").alias("score"), "toxic")
+    cache.upsert(labels.where("score is not null").withColumn("at", F.lit(0)))
+    items = tables.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"))
+    cache.fill(items, lambda m: m.withColumn("score", generator.latent_level(F.col("key"))), 1)
+    cache.upsert(labels.where("toxic = 1").select("key", F.lit(0.0).alias("score"), F.lit(2).alias("at")))
+    return cache.lookup(items).select(F.col("key").alias("item_id"), *r6("score"))
+
+
 @query
 def reply_scores(spark, sf):
     """The first number in each turn of a conversation, if it lies on the scale 0 to 10."""

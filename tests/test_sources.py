@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import power, scores, student
 from plumbline.sources import generator, ingest, ledger
+from plumbline.sources.score_cache import ScoreCache
 
 
 def issues(df):
@@ -177,3 +178,35 @@ def test_a_name_is_taken_once_on_other_file_systems(spark, tmp_path):
     for text, new in (("first\n", True), ("second\n", False)):
         assert ledger.put_if_absent(spark, "viewfs://books/at/ledger", "0.json", text) is new
     assert (tmp_path / "ledger" / "0.json").read_text() == "first\n"
+
+
+def test_kept_scores_rewrite_only_touched_buckets(spark, tmp_path):
+    cache = ScoreCache(spark, str(tmp_path / "cache"), 16)
+    rows = lambda *r: spark.createDataFrame(list(r), "key string, score double, at long")
+    assert cache.rows().count() == 0 and cache.lookup(rows(("a", 0.0, 0)).select("key")).first()["score"] is None
+    cache.upsert(rows(*((f"k{i}", i / 100, 0) for i in range(100)), ("k5", 0.9, 3), ("k5", 0.1, 1), (None, 1.0, 9)))
+    before = cache._manifest()[1]["folders"]
+    cache.upsert(rows(("k7", 0.5, 1), ("k8", 0.6, -1)))
+    after = cache._manifest()[1]["folders"]
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2
+    again = ScoreCache(spark, str(tmp_path / "cache"), 99)  # another run finds it as it is
+    got = {r["key"]: r["score"] for r in again.rows().collect()}
+    assert again.buckets == 16 and len(got) == 100 and (got["k5"], got["k7"], got["k8"], got["k9"]) == (0.9, 0.5, 0.08, 0.09)
+    asked = []
+
+    def score(missing):
+        asked.extend(r["key"] for r in missing.collect())
+        return missing.withColumn("score", F.lit(0.25))
+
+    items = rows(("k5", 0.0, 0), ("new", 0.0, 0), ("new", 0.0, 0)).select("key", F.lit(1).alias("tag"))
+    assert sorted((r["key"], r["score"]) for r in again.fill(items, score, 4).collect()) == [("k5", 0.9), ("new", 0.25), ("new", 0.25)]
+    assert asked == ["new"]
+
+    def write(n):
+        ScoreCache(spark, str(tmp_path / "cache")).upsert(rows((f"w{n}", n / 10, 5), ("both", n / 10, n)))
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    got = {r["key"]: r["score"] for r in cache.rows().collect()}
+    assert [got[k] for k in ("w0", "w1", "w2", "both")] == [0.0, 0.1, 0.2, 0.2] and len(got) == 105
+    assert cache.vacuum() > 0 and cache.rows().count() == 105
