@@ -10,9 +10,8 @@ strings with one anchor are a stretch of the text around it, the suffix with its
    several documents go back to their documents. What a chunk of a task repeats by itself goes there at once.
 3. There they become suffix records. Equal stretches collapse to one with the smallest doc_id (partial
    aggregation, so a passage of a third of all documents is one row a task). What is left is range-partitioned
-   by the suffixes' leading tokens, with splitters that Spark samples; buckets sort their strings by
-   leading 8-byte token, then by a 64-bit hash of the rest (so strings are grouped, not in suffix order), and
-   compare neighbours byte by byte. A splitter lies between different leads, and a lead is shorter than a
+   by the suffixes' leading tokens, with splitters that Spark samples; buckets sort their strings by multikey
+   quicksort over 8-byte tokens, so neighbours are compared in all their bytes. A splitter lies between different leads, and a lead is shorter than a
    string, so no equal strings stand on two sides of a boundary, which is what comparing across boundaries has
    to settle.
 4. A lead of more than about `CROWD` stretches (a common line in many contexts) is partitioned further as
@@ -39,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, materialize, mix, parts, scratch, span_hash, text_or_empty
+from .common import blocks, buffers, materialize, mix, parts, scratch, text_or_empty
 from .common import ranges as _ranges
 
 LENGTH = 50
@@ -110,7 +109,7 @@ def _fingerprints(n_parts: int):
             edge = np.ones(len(x) + 1, bool)
             edge[1:-1] = x[1:] != x[:-1]
             asked = edge[1:] | edge[:-1]
-            bucket = ((x[asked] >> np.uint64(48)) * np.uint64(n_parts)) >> np.uint64(16)
+            bucket = ((x[asked] >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
             yield _dealt(bucket.astype(np.int32), x[asked] & LOW, ids[asked], False)
             if not asked.all():
                 yield _dealt(np.mod(ids[~asked], n_parts).astype(np.int32), x[~asked] & LOW, ids[~asked], True)
@@ -270,21 +269,31 @@ def _smallest(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def string_groups(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Group numbers of the LENGTH-byte strings at these places: equal exactly where the bytes are."""
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    token = np.ndarray((len(buf),), "<u8", padded, strides=(1,))[at].byteswap()
-    rest = span_hash(buf, at + 8, at + LENGTH)
-    order = np.lexsort((rest, token))
-    same = np.zeros(len(at), bool)
-    same[1:] = (token[order][1:] == token[order][:-1]) & (rest[order][1:] == rest[order][:-1])
-    pair = np.flatnonzero(same)
-    for lo in range(0, len(pair), 1 << 16):
-        p = pair[lo : lo + (1 << 16)]
-        a, b = (buf[at[order[q]][:, None] + np.arange(LENGTH)] for q in (p, p - 1))
-        if not np.array_equal(a, b):
-            return np.unique(buf[at[:, None] + np.arange(LENGTH)], axis=0, return_inverse=True)[1].ravel()
+    """Group numbers of the LENGTH-byte strings at these places: equal exactly where the bytes are, in the bytes' order.
+
+    Multikey quicksort with tokens of 8 bytes as letters: strings sort by a token, those that share it go on with the
+    next one. A group that shares the next token too is passed over by one comparison, not sorted again.
+    """
+    tokens = np.ndarray((len(buf),), ">u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    token = tokens[at].astype(np.uint64)
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    new = np.ones(len(at) + 1, bool)
+    new[1:-1] = token[1:] != token[:-1]
+    for depth in (*range(8, LENGTH - 8, 8), LENGTH - 8):  # the last one laps over bytes already equal
+        rows = np.flatnonzero(~(new[:-1] & new[1:]))
+        if not len(rows):
+            break
+        group = np.cumsum(new[rows]) - 1
+        token = tokens[at[order[rows]] + depth].astype(np.uint64)
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][(group[1:] == group[:-1]) & (token[1:] != token[:-1])]] = True
+        rows, group, token = (x[mixed[group]] for x in (rows, group, token))
+        sub = np.lexsort((token, group))
+        order[rows], token = order[rows[sub]], token[sub]
+        new[rows[1:]] |= token[1:] != token[:-1]
     groups = np.empty(len(at), np.int64)
-    groups[order] = np.cumsum(~same) - 1
+    groups[order] = np.cumsum(new[:-1]) - 1
     return groups
 
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from plumbline.llm import suffixes
 
 from .docs import awkward, empty
@@ -58,6 +60,20 @@ def test_a_line_in_many_contexts(spark):
     assert {tuple(r) for r in suffixes.remove_repeats(docs, 10, 1).collect()} == want
 
 
+def test_strings_sort_by_successive_tokens():
+    """Groups are numbered in the order of the bytes, whichever token the strings part at: the first, the 41st byte, the last."""
+    rng = random.Random(4)
+    stem = bytes(rng.randrange(256) for _ in range(50))
+    parted = [stem[:k] + bytes([b]) + stem[k + 1 :] for k in (0, 7, 8, 15, 16, 39, 40, 41, 42, 47, 48, 49) for b in (0, 127, 128, 255)]
+    strings = [rng.choice([stem, *parted, bytes(50), b"\xff" * 50]) for _ in range(3000)]
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    assert suffixes.string_groups(data, np.arange(len(strings)) * 50).tolist() == [sorted(set(strings)).index(s) for s in strings]
+    run = np.frombuffer(b"ab" * 200 + b"abc" * 100, np.uint8)
+    every = [run[i : i + 50].tobytes() for i in range(len(run) - 49)]
+    assert suffixes.string_groups(run, np.arange(len(every))).tolist() == [sorted(set(every)).index(s) for s in every]
+    assert suffixes.string_groups(data, np.array([100])).tolist() == [0]
+
+
 def colliding(seed=42):
     """Two binaries of 64 bytes with equal xxhash64 under the seed: the second stripe makes up for the first in one lane."""
     p1, p2, m = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 1 << 64
