@@ -57,26 +57,39 @@ def candidates(items: DataFrame, score: Column, tags: Column) -> DataFrame:
     return items.withColumn("score", score).withColumn("tags", tags).withColumn("stratum", stratum(score, tags))
 
 
+BINS = 4096
+
+
 def stratified_sample(items: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n items with proportional quotas, at least one of every stratum while there is room.
 
-    items: item_id, stratum. The order inside a stratum is the hash of seed and id. Ranks within strata and
-    the strata's quotas are windows; only the few rows that trimming or filling may touch get a global rank.
+    items: item_id, stratum. The order inside a stratum is the hash of seed and id, so no stratum is sorted whole: a
+    histogram of the hashes' first digits says in which bins a stratum's quota ends, rows of later bins go, and a rank
+    is the rows in earlier bins and the place in its own. What trimming or filling touches is at most a row a stratum.
     """
-    total, strata = items.agg(F.count(F.lit(1)), F.count_distinct("stratum")).first()
+    sizes = items.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
+    every = Window.partitionBy()  # a row a stratum
+    quota = F.greatest(F.floor(F.col("size") * n / F.sum("size").over(every)), (F.lit(n) >= F.count(F.lit(1)).over(every)).cast("long"))
+    sizes = sizes.withColumn("quota", F.least("size", quota).cast("long"))
+    total, wanted = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.sum("quota")).first()
     if not 1 <= n <= total:
         raise ValueError(f"asked for {n} of {total} items")
+    spare = max(n - wanted, 0)
     turn = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("item_id")), 256)
-    sizes = items.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
-    quota = F.least(F.col("size"), F.greatest(F.floor(F.col("size") * n / total), F.lit(int(n >= strata))))
-    sizes = sizes.withColumn("quota", quota.cast("long"))
-    wanted = sizes.agg(F.sum("quota")).first()[0]
-    ranked = items.withColumn("turn", turn).withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy("turn"))).join(sizes, "stratum")
+    digits = F.coalesce(F.conv(F.substring("turn", 1, 3), 16, 10).cast("int"), F.lit(0))
+    rows = items.select("item_id", "stratum", turn.alias("turn")).withColumn("bin", digits)
+    earlier = Window.partitionBy("stratum").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    bins = bins.join(sizes, "stratum").where(F.col("before") < F.col("quota") + spare).select("stratum", "bin", "before", "quota")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("stratum", "bin").orderBy("turn"))
+    ranked = rows.join(bins, ["stratum", "bin"]).withColumn("rank", rank)
     chosen = ranked.where(F.col("rank") <= F.col("quota"))
     if wanted > n:  # members of the smallest strata stay
-        return chosen.orderBy("quota", "rank", "turn").limit(n).select("item_id", "stratum")
-    rest = ranked.where(F.col("rank") > F.col("quota")).orderBy("turn").limit(n - wanted) if n > wanted else ranked.limit(0)
-    return chosen.unionByName(rest).select("item_id", "stratum")
+        last = chosen.orderBy(F.col("quota").desc(), F.col("rank").desc(), F.col("turn").desc()).limit(wanted - n)
+        chosen = chosen.join(last.select("stratum", "rank"), ["stratum", "rank"], "left_anti")
+    elif spare:
+        chosen = chosen.unionByName(ranked.where(F.col("rank") > F.col("quota")).orderBy("turn").limit(spare))
+    return chosen.select("item_id", "stratum")
 
 
 def random_sample(items: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -161,16 +174,18 @@ def first_items(items: DataFrame, n: int) -> DataFrame:
 def head_per_stratum(items: DataFrame, n: int) -> DataFrame:
     """n items: the first n // strata of each stratum by id, and the rest from what the largest strata still have.
 
-    items: item_id, stratum. Only what the top-up may touch gets an order over all strata.
+    items: item_id, stratum. Tasks keep no more of a stratum than could be chosen before it is shuffled (the rank is
+    compared with a number known beforehand). Only what the top-up may touch gets an order over all strata.
     """
-    strata = items.select("stratum").distinct().count()
-    quota = n // max(strata, 1)
-    w = Window.partitionBy("stratum")
-    ranked = items.withColumn("rank", F.row_number().over(w.orderBy("item_id"))).withColumn("size", F.count(F.lit(1)).over(w))
-    chosen = ranked.where(F.col("rank") <= quota)
-    missing = n - chosen.count()
-    rest = ranked.where(F.col("rank") > quota).orderBy(F.col("size").desc(), "stratum", "rank").limit(max(missing, 0))
-    return chosen.unionByName(rest).select("item_id", "stratum")
+    sizes = items.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
+    quotas = sizes.withColumn("quota", F.floor(F.lit(n) / F.count(F.lit(1)).over(Window.partitionBy())))  # a row a stratum
+    quota, have = quotas.agg(F.coalesce(F.max("quota"), F.lit(0)), F.coalesce(F.sum(F.least("size", "quota")), F.lit(0))).first()
+    missing = max(n - have, 0)
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy("item_id"))
+    ranked = items.select("item_id", "stratum", rank.alias("rank")).where(F.col("rank") <= quota + missing)
+    chosen = ranked.where(F.col("rank") <= quota).select("item_id", "stratum")
+    rest = ranked.where(F.col("rank") > quota).join(sizes, "stratum").orderBy(F.col("size").desc(), "stratum", "rank").limit(missing)
+    return chosen.unionByName(rest.select("item_id", "stratum"))
 
 
 def clipped(text: Column, most: int) -> Column:

@@ -327,22 +327,33 @@ SQL["plan_size"] = f"""WITH RECURSIVE sizes AS (SELECT unnest(range(1, 1500)) AS
   sg AS (SELECT n, 0.08 / sqrt(n) AS sigma FROM sizes), rows AS (SELECT n, sigma, sigma * {dead_zone_factor(5, 0.05)!r} AS dead, 8 * sigma AS unit FROM sg), {shift_search("rows", "50", "found")}
   SELECT target, min(n) FILTER (min_shift <= target AND n >= 40) AS n, {min_horizon(0.05)}::BIGINT AS min_horizon FROM found, targets GROUP BY target"""
 
-OUTCOMES = """o AS (SELECT i, 's' || i AS stream_id, 'm' || (i % 3) AS method, i % 24 AS cell, (['stable', 'judge', 'system', 'both'])[i % 4 + 1] AS truth, ([0.02, 0.05, 0.1])[(i // 4) % 3 + 1]::DOUBLE AS shift,
-    CASE WHEN i * 37 % 11 < 7 THEN i * 53 % 60 END AS alarm_at, (['stable', 'system', 'judge', 'both', 'indeterminate'])[(i * 17 + i // 7) % 5 + 1] AS verdict FROM (SELECT unnest(range(0, 2000)) AS i))"""
-SQL["tally_rates"] = f"""WITH {OUTCOMES}, e AS (SELECT *, CASE WHEN truth <> 'stable' AND alarm_at >= 12 THEN alarm_at - 12 END AS delay FROM o)
+OUTCOMES = f"""months AS (SELECT (l_partkey % 12)::BIGINT AS cell, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS m,
+      avg(l_discount) FILTER (l_suppkey % 20 < 10) / 0.1 AS s, avg(l_discount) FILTER (l_suppkey % 20 >= 10) / 0.1 AS a FROM lineitem GROUP BY 1, 2),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY m) - 13 AS t FROM months WHERE s IS NOT NULL AND a IS NOT NULL),
+    cases AS (SELECT truth, shift FROM (SELECT unnest(['stable', 'judge', 'system', 'both']) AS truth), (SELECT unnest([0.1, 0.2, 0.4]::DOUBLE[]) AS shift)),
+    altered AS (SELECT cell, truth, shift, t, s - CASE WHEN t >= 24 AND truth IN ('judge', 'both') THEN shift ELSE 0 END - CASE WHEN t >= 24 AND truth IN ('system', 'both') THEN shift ELSE 0 END AS s,
+      a - CASE WHEN t >= 24 AND truth IN ('judge', 'both') THEN shift ELSE 0 END AS a FROM placed, cases),
+    legs AS (SELECT cell, truth, shift, t, unnest(['system', 'anchor', 'corrected']) AS leg, unnest([s, a, s - a]) AS x FROM altered),
+    held AS (SELECT cell, truth, shift, leg, avg(x) AS m0, stddev_samp(x) AS s0 FROM legs WHERE t < 0 GROUP BY ALL),
+    walks AS (SELECT *, sum(x - m0 - 0.05) OVER w AS up, sum(m0 - x - 0.05) OVER w AS down FROM legs JOIN held USING (cell, truth, shift, leg) WHERE t >= 0 WINDOW w AS (PARTITION BY cell, truth, shift, leg ORDER BY t {CUM})),
+    sums AS (SELECT *, greatest(up - least(0, min(up) OVER w), down - least(0, min(down) OVER w)) AS page FROM walks WINDOW w AS (PARTITION BY cell, truth, shift, leg ORDER BY t {CUM})),
+    hits AS (SELECT cell, truth, shift, leg, t, unnest(['threshold', 'cusum', 'cusum_tight']) AS method, unnest([m0 - x > 0.2503, page > 5 * s0, page > 2.5 * s0]) AS hit FROM sums),
+    said AS (SELECT cell, truth, shift, method, min(t) FILTER (hit AND leg = 'system') AS alarm_at, bool_or(hit AND leg = 'anchor') AS judge, bool_or(hit AND leg = 'corrected') AS sys FROM hits GROUP BY ALL),
+    o AS (SELECT cell, truth, shift, method, alarm_at, CASE WHEN judge AND sys THEN 'both' WHEN judge THEN 'judge' WHEN sys THEN 'system' WHEN alarm_at IS NOT NULL THEN 'indeterminate' ELSE 'stable' END AS verdict FROM said)"""
+SQL["tally_rates"] = f"""WITH {OUTCOMES}, e AS (SELECT *, CASE WHEN truth <> 'stable' AND alarm_at >= 24 THEN alarm_at - 24 END AS delay FROM o)
   SELECT method, truth, count(*) AS n, count(alarm_at) AS alarms, round(avg((alarm_at IS NOT NULL)::INT) FILTER (truth = 'stable'), 6) AS false_alarm_rate,
     round(avg((alarm_at IS NOT NULL)::INT) FILTER (truth <> 'stable'), 6) AS detection_rate, round(quantile_cont(delay, 0.5), 6) AS median_delay, round(avg(delay), 6) AS mean_delay FROM e GROUP BY method, truth"""
 RATE = "round(avg((verdict = '{1}')::INT) FILTER (truth = '{0}'), 6)"
 SQL["tally_misattribution"] = f"""WITH {OUTCOMES} SELECT method, {RATE.format("judge", "system")} AS judge_as_system, {RATE.format("system", "judge")} AS system_as_judge,
   round(avg((verdict = 'indeterminate')::INT), 6) AS indeterminate_rate, round(avg((verdict = truth)::INT), 6) AS accuracy FROM o GROUP BY method"""
 SQL["tally_modal_verdict"] = f"WITH {OUTCOMES}, v AS (SELECT cell, verdict, count(*) AS votes FROM o GROUP BY ALL) SELECT cell, verdict, votes FROM v QUALIFY row_number() OVER (PARTITION BY cell ORDER BY votes DESC, verdict) = 1"
-SQL["tally_arl0"] = f"WITH {OUTCOMES} SELECT method, round(avg(coalesce(alarm_at, 52)), 6) AS arl0 FROM o WHERE truth = 'stable' GROUP BY method"
+SQL["tally_arl0"] = f"WITH {OUTCOMES} SELECT method, round(avg(coalesce(alarm_at, 72)), 6) AS arl0 FROM o WHERE truth = 'stable' GROUP BY method"
 SQL["tally_worst_cell"] = f"""WITH {OUTCOMES}, r AS (SELECT cell, avg((verdict = 'system')::INT) AS rate FROM o WHERE truth = 'judge' GROUP BY cell)
   SELECT round((SELECT avg(rate) FROM r), 6) AS mean_rate, round(rate, 6) AS worst_rate, cell AS worst_cell FROM r ORDER BY rate DESC, cell DESC LIMIT 1"""
-DELAYS = f"{OUTCOMES}, e AS (SELECT *, CASE WHEN alarm_at >= 12 THEN alarm_at - 12 END AS delay FROM o), d AS (SELECT method, shift, quantile_cont(delay, 0.5) AS median_delay, avg(delay) AS mean_delay, count(delay) AS n FROM e GROUP BY method, shift)"
+DELAYS = f"{OUTCOMES}, e AS (SELECT *, CASE WHEN alarm_at >= 24 THEN alarm_at - 24 END AS delay FROM o), d AS (SELECT method, shift, quantile_cont(delay, 0.5) AS median_delay, avg(delay) AS mean_delay, count(delay) AS n FROM e GROUP BY method, shift)"
 SQL["delay_by_shift"] = f"WITH {DELAYS} SELECT method, shift, round(median_delay, 6) AS median_delay, round(mean_delay, 6) AS mean_delay, n FROM d"
-SQL["delay_ratio"] = f"""WITH {DELAYS}, m AS (SELECT avg(median_delay) FILTER (method = 'm0') AS a, avg(median_delay) FILTER (method = 'm1') AS b FROM d) SELECT round(a, 6) AS mean_delay, round(b, 6) AS mean_delay_against, round(a / b, 6) AS ratio FROM m"""
-SQL["headline_guard"] = f"""WITH {OUTCOMES}, r AS (SELECT avg((alarm_at IS NOT NULL)::INT) FILTER (truth = 'stable') AS f, avg((verdict = 'judge')::INT) FILTER (truth = 'judge') AS c, avg((verdict = 'system')::INT) FILTER (truth = 'judge') AS w FROM o WHERE method = 'm0')
+SQL["delay_ratio"] = f"""WITH {DELAYS}, m AS (SELECT avg(median_delay) FILTER (method = 'threshold') AS a, avg(median_delay) FILTER (method = 'cusum') AS b FROM d) SELECT round(a, 6) AS mean_delay, round(b, 6) AS mean_delay_against, round(a / b, 6) AS ratio FROM m"""
+SQL["headline_guard"] = f"""WITH {OUTCOMES}, r AS (SELECT avg((alarm_at IS NOT NULL)::INT) FILTER (truth = 'stable') AS f, avg((verdict = 'judge')::INT) FILTER (truth = 'judge') AS c, avg((verdict = 'system')::INT) FILTER (truth = 'judge') AS w FROM o WHERE method = 'cusum')
   SELECT 'false alarms above alpha' AS failure, round(f, 6) AS value, 0.05::DOUBLE AS bound FROM r WHERE f > 0.05
   UNION ALL SELECT 'correct causes under a silent change below the floor', round(c, 6), 0.9::DOUBLE FROM r WHERE c < 0.9
   UNION ALL SELECT 'instrument changes blamed on the system', round(w, 6), 0.01::DOUBLE FROM r WHERE w > 0.01"""

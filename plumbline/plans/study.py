@@ -8,6 +8,8 @@ function of the row's names alone, so any task can make any row, and SQL can mak
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -148,6 +150,25 @@ def alarms(obs: DataFrame, floors: DataFrame, config: attribution.Config, target
     return out.unionByName(full)
 
 
+def leg_outcomes(runs: DataFrame, keys: list[str], methods: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """keys, method, alarm_at, verdict: what single-leg detectors say when each leg is watched on its own.
+
+    runs: keys, t (negative in the baseline), system and anchor means. The corrected leg is their difference. An alarm
+    of the control set is the judge's, one of the corrected leg the system's, one of the system's leg alone undecided.
+    alarm_at is the system leg's. The baseline's moments and the detectors' sums are windows of one partitioning.
+    """
+    legs = F.array(*(F.struct(F.lit(name).alias("leg"), x.alias("mean")) for name, x in [("system", F.col("system")), ("anchor", F.col("anchor")), ("corrected", F.col("system") - F.col("anchor"))]))
+    rows = runs.select(*keys, "t", F.inline(legs)).select(F.struct(*keys, "leg").alias("stream_id"), "t", "mean")
+    early = F.when(F.col("t") < 0, F.col("mean"))
+    whole = Window.partitionBy("stream_id")
+    late = rows.withColumn("base_mean", F.avg(early).over(whole)).withColumn("base_sd", F.stddev_samp(early).over(whole)).where("t >= 0")
+    found = [detector(late).select("stream_id.*", F.lit(name).alias("method"), "alarm_at") for name, detector in methods.items()]
+    at = lambda leg: F.min(F.when(F.col("leg") == leg, F.col("alarm_at")))
+    wide = reduce(DataFrame.unionByName, found).groupBy(*keys, "method").agg(at("system").alias("alarm_at"), at("anchor").isNotNull().alias("judge"), at("corrected").isNotNull().alias("system"))
+    verdict = F.when(F.col("judge") & F.col("system"), "both").when(F.col("judge"), "judge").when(F.col("system"), "system").when(F.col("alarm_at").isNotNull(), "indeterminate").otherwise("stable")
+    return wide.select(*keys, "method", "alarm_at", verdict.alias("verdict"))
+
+
 def delay_by_shift(outcomes: DataFrame, change_at: int = 0) -> DataFrame:
     """method, shift, median and mean delay of the alarms that came after the change, and how many. outcomes: method, shift, alarm_at."""
     delay = F.when(F.col("alarm_at") >= change_at, F.col("alarm_at") - change_at)

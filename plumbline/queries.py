@@ -475,62 +475,59 @@ def simulation_arl0(spark, sf):
     return tallies.arl0(simulated(spark)[0].withColumn("method", F.lit("full")), ["method"], 52)
 
 
-def outcomes_table(spark: SparkSession) -> DataFrame:
-    """2,000 made-up outcomes of streams, a fixed function of their numbers: what the tallies are checked on."""
-    i = F.col("id")
-    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
-    rows = spark.range(2000).select(
-        F.concat(F.lit("s"), i.cast("string")).alias("stream_id"),
-        F.concat(F.lit("m"), (i % 3).cast("string")).alias("method"),
-        (i % 24).alias("cell"),
-        pick(["stable", "judge", "system", "both"], i % 4).alias("truth"),
-        pick([0.02, 0.05, 0.1], F.floor(i / 4) % 3).alias("shift"),
-        F.when(i * 37 % 11 < 7, i * 53 % 60).alias("alarm_at"),
-        pick(["stable", "system", "judge", "both", "indeterminate"], (i * 17 + F.floor(i / 7)) % 5).alias("verdict"),
-    )
-    return rows
+WATCHED = {
+    "threshold": lambda rows: rivals.threshold(rows, 0.2503),
+    "cusum": lambda rows: rivals.cusum(rows, 0.1),
+    "cusum_tight": lambda rows: rivals.cusum(rows, 0.1, 2.5),
+}
+MOVED_AT, WATCHED_RUNS = 24, 72
+
+
+def outcomes_table(spark: SparkSession, sf: str) -> DataFrame:
+    """cell, truth, shift, method, alarm_at, verdict of the monthly discounts of parts under known changes: what the tallies are of."""
+    return study.leg_outcomes(tables.moved_discounts(spark, sf, since=MOVED_AT), ["cell", "truth", "shift"], WATCHED)
 
 
 @query
 def tally_rates(spark, sf):
-    out = tallies.tally(outcomes_table(spark), ["method", "truth"], 12)
+    out = tallies.tally(outcomes_table(spark, sf), ["method", "truth"], MOVED_AT)
     return out.select("method", "truth", "n", "alarms", *r6("false_alarm_rate", "detection_rate", "median_delay", "mean_delay"))
 
 
 @query
 def tally_misattribution(spark, sf):
-    return tallies.misattribution(outcomes_table(spark), ["method"]).select("method", *r6("judge_as_system", "system_as_judge", "indeterminate_rate", "accuracy"))
+    return tallies.misattribution(outcomes_table(spark, sf), ["method"]).select("method", *r6("judge_as_system", "system_as_judge", "indeterminate_rate", "accuracy"))
 
 
 @query
 def tally_modal_verdict(spark, sf):
-    return tallies.modal_verdict(outcomes_table(spark), ["cell"])
+    return tallies.modal_verdict(outcomes_table(spark, sf), ["cell"])
 
 
 @query
 def tally_arl0(spark, sf):
-    return tallies.arl0(outcomes_table(spark), ["method"], 52).select("method", *r6("arl0"))
+    return tallies.arl0(outcomes_table(spark, sf), ["method"], WATCHED_RUNS).select("method", *r6("arl0"))
 
 
 @query
 def tally_worst_cell(spark, sf):
-    rates = tallies.misattribution(outcomes_table(spark).where("truth = 'judge'"), ["cell"])
+    rates = tallies.misattribution(outcomes_table(spark, sf).where("truth = 'judge'"), ["cell"])
     return tallies.worst_cell(rates, "cell", "judge_as_system").select(*r6("mean_rate", "worst_rate"), "worst_cell")
 
 
 @query
 def delay_by_shift(spark, sf):
-    return study.delay_by_shift(outcomes_table(spark), 12).select("method", "shift", *r6("median_delay", "mean_delay"), "n")
+    return study.delay_by_shift(outcomes_table(spark, sf), MOVED_AT).select("method", "shift", *r6("median_delay", "mean_delay"), "n")
 
 
 @query
 def delay_ratio(spark, sf):
-    return study.delay_ratio(study.delay_by_shift(outcomes_table(spark), 12), "m0", "m1").select(*r6("mean_delay", "mean_delay_against", "ratio"))
+    return study.delay_ratio(study.delay_by_shift(outcomes_table(spark, sf), MOVED_AT), "threshold", "cusum").select(*r6("mean_delay", "mean_delay_against", "ratio"))
 
 
 @query
 def headline_guard(spark, sf):
-    rows = outcomes_table(spark).where("method = 'm0'")
+    rows = outcomes_table(spark, sf).where("method = 'cusum'")
     share = lambda truth, hit: F.avg(F.when(F.col("truth") == truth, hit.cast("double")))
     said = F.col("verdict")
     rates = rows.agg(share("stable", F.col("alarm_at").isNotNull()).alias("false_alarm_rate"), share("judge", said == "judge").alias("judge_correct"), share("judge", said == "system").alias("judge_as_system"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import normalise
@@ -55,3 +55,21 @@ def discount_legs(spark: SparkSession, sf_dir: str, baseline: int = 8) -> DataFr
     rows = devs.where(F.col("place") >= baseline).join(sd, "stream_id")
     z = F.least(F.greatest(0.5 + F.col("dev") / (2.0 * width), F.lit(0.0)), F.lit(1.0))
     return rows.select("stream_id", F.lit("system").alias("leg"), (F.col("place") - baseline).cast("long").alias("t"), "run_index", "dev", z.alias("z"), F.greatest(F.lit(0.0), 0.5 - half).alias("null_lo"), F.least(F.lit(1.0), 0.5 + half).alias("null_hi"))
+
+
+def moved_discounts(spark: SparkSession, sf_dir: str, cells: int = 12, baseline: int = 12, since: int = 24, shifts: tuple[float, ...] = (0.1, 0.2, 0.4)) -> DataFrame:
+    """cell, truth, shift, t, system, anchor: monthly discounts of parts mod `cells` under every cause and size of a change.
+
+    Sides are those of monthly_discounts, a month without either is left out, and t is 0 after `baseline` months. From
+    `since` on a change of the judge lowers both sides by the shift, one of the system its own side.
+    """
+    month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("long")
+    side = lambda hit: F.avg(F.when(hit, F.col("l_discount"))) / 0.1
+    ours = F.col("l_suppkey") % 20 < 10
+    rows = read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % cells).cast("long").alias("cell"), month.alias("month")).agg(side(ours).alias("s"), side(~ours).alias("a"))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("month"))
+    rows = rows.where("s is not null and a is not null").withColumn("t", (place - 1 - baseline).cast("long"))
+    cases = [F.struct(F.lit(truth).alias("truth"), F.lit(x).alias("shift")) for truth in ("stable", "judge", "system", "both") for x in shifts]
+    rows = rows.select("cell", "t", "s", "a", F.inline(F.array(*cases)))
+    moved = lambda *causes: F.when((F.col("t") >= since) & F.col("truth").isin(*causes), F.col("shift")).otherwise(0.0)
+    return rows.select("cell", "truth", "shift", "t", (F.col("s") - moved("judge", "both") - moved("system", "both")).alias("system"), (F.col("a") - moved("judge", "both")).alias("anchor"))
