@@ -6,16 +6,11 @@ Nothing is coerced or clamped: every row gets all issues that hold for it, and t
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import grade, normalise
+from . import archives
 
 # Accepted names of fields.
 ITEM_NAMES = ["item_id", "id", "test_id", "case_id"]
@@ -123,10 +118,10 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.try_parse_json("value").alias("v"))
 
 
-def _elements(df: DataFrame, paths: list[str]) -> DataFrame:
+def _elements(df: DataFrame, paths: list[str], *kept: str) -> DataFrame:
     """One row per element of the first path that is an array."""
     arrays = F.coalesce(*(F.try_variant_get("v", p, "array<variant>") for p in paths))
-    return df.select("source", F.posexplode_outer(arrays).alias("pos", "e"))
+    return df.select("source", *kept, F.posexplode_outer(arrays).alias("pos", "e"))
 
 
 def _text(path: str) -> Column:
@@ -159,32 +154,31 @@ def deepeval(spark: SparkSession, path: str, lo: float, hi: float, metric: str |
     return validate(rows.select("source", item.alias("item_id"), score.alias("score"), issue.alias("issue")), lo, hi, ["source"])
 
 
+def merged_logs(rows: DataFrame) -> DataFrame:
+    """source, v (null where a member is broken), broken: the logs of archives' members (source, member, value).
+
+    Later members' fields replace earlier ones' by name, so of all members only the last that has samples is kept.
+    """
+    v = F.try_parse_json("value")
+    has = F.try_variant_get(v, "$.samples", "variant").isNotNull()
+    last = F.max_by(F.when(has, F.col("value")), F.when(has, F.coalesce("member", F.lit(""))))
+    logs = rows.groupBy("source").agg(last.alias("value"), F.coalesce(F.bool_or(v.isNull()), F.lit(False)).alias("broken"))
+    return logs.select("source", F.when(~F.col("broken"), F.coalesce(F.try_parse_json("value"), F.parse_json(F.lit("{}")))).alias("v"), "broken")
+
+
 def inspect_log(spark: SparkSession, path: str, lo: float, hi: float, scorer: str | None = None) -> DataFrame:
-    """A JSON log, or a zip archive of JSON members that are merged in name order."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for source, data in zip(pdf["path"], pdf["content"]):
-                if zipfile.is_zipfile(io.BytesIO(data)):
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        merged: dict = {}
-                        for name in sorted(n for n in z.namelist() if n.endswith(".json")):
-                            part = json.loads(z.read(name))
-                            merged.update(part if isinstance(part, dict) else {})
-                    out.append((source, json.dumps(merged)))
-                else:
-                    out.append((source, data.decode("utf-8", "replace")))
-            yield pd.DataFrame(out, columns=["source", "value"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "source string, value string")
-    rows = _elements(files.select("source", F.try_parse_json("value").alias("v")), ["$.samples"])
+    """JSON logs, or zip archives of JSON members that are merged in name order; a task reads members, not archives.
+
+    A log with a member that is not JSON gives one row, with that issue.
+    """
+    logs = merged_logs(archives.read(spark, path))
+    rows = _elements(logs, ["$.samples"], "broken")
     given = F.try_variant_get("e", "$.scores", "map<string,variant>")
     one = F.try_element_at(given, F.lit(scorer)) if scorer else F.when(F.size(given) == 1, F.try_element_at(F.map_values(given), F.lit(1)))
     value = F.coalesce(F.to_json(F.try_variant_get(one, "$.value", "variant")), F.to_json(one))
     text = F.regexp_replace(value, '^"|"$', "")
     score = F.when(value.startswith('"'), F.when(F.upper(F.trim(text)).isin("C", "I", "P", "N"), grade(text))).otherwise(_number(value))
-    issue = F.when(F.col("e").isNull(), "no samples found").when(F.coalesce(F.size(given), F.lit(0)) == 0, "a sample without scores").when(one.isNull(), "several scorers and none named" if scorer is None else "no scorer of that name")
+    issue = F.when(F.col("broken"), "a member is not JSON").when(F.col("e").isNull(), "no samples found").when(F.coalesce(F.size(given), F.lit(0)) == 0, "a sample without scores").when(one.isNull(), "several scorers and none named" if scorer is None else "no scorer of that name")
     item = F.coalesce(_text("$.id"), F.col("pos").cast("string"))
     return validate(rows.select("source", item.alias("item_id"), score.alias("score"), issue.alias("issue")), lo, hi, ["source"])
 
