@@ -252,6 +252,8 @@ SQL["gold_agreement"] = f"WITH {ITEMS} SELECT round(avg(abs(score - quality)), 6
 SQL["cached_scores"] = f"""WITH {ITEMS} SELECT item_id, round(coalesce(l.quality::DOUBLE, 0.25 + 0.5 * ('0x' || substr(sha256(item_id), 1, 8))::BIGINT / 4294967295.0::DOUBLE), 6) AS score FROM items LEFT JOIN labels l ON l.doc_id::VARCHAR = item_id"""
 SQL["kept_scores"] = """WITH l AS (SELECT doc_id, max(quality) FILTER (quality IS NOT NULL) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)
   SELECT d.doc_id::VARCHAR AS item_id, round(CASE WHEN l.toxic = 1 THEN 0 ELSE coalesce(l.quality::DOUBLE, 0.25 + 0.5 * ('0x' || substr(sha256(d.doc_id::VARCHAR), 1, 8))::BIGINT / 4294967295.0::DOUBLE) END, 6) AS score FROM documents d LEFT JOIN l USING (doc_id)"""
+SQL["archived_logs"] = """SELECT source, CASE WHEN doc_id % 11 = 0 THEN 'score out of range' ELSE '' END AS issue, count(*) AS n,
+    round(coalesce(sum(CASE WHEN doc_id % 11 <> 0 THEN (n_chars % 101)::DOUBLE / 100 END), 0), 4) AS scores FROM documents GROUP BY ALL"""
 SQL["ingest_issues"] = """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_tax AS score, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM lineitem)
   SELECT CASE WHEN c > 1 THEN 'duplicate item id' WHEN score IS NULL THEN 'no numeric score' WHEN NOT score BETWEEN 0 AND 0.07 THEN 'score out of range' END AS issue, count(*) AS n FROM r GROUP BY 1"""
 SQL["ingest_lines"] = """WITH r AS (SELECT year(l_shipdate)::INT AS year, l_quantity AS q, row_number() OVER (PARTITION BY year(l_shipdate) ORDER BY l_orderkey, l_linenumber, l_tax, l_quantity) AS line, l_orderkey || '-' || l_linenumber % 3 AS id, l_tax AS score FROM lineitem),

@@ -12,7 +12,7 @@ from .functions import power, scores, student
 from .functions.power import Floor
 from .operators import anchors, confseq, kernel, rivals, runs, tallies, wealth
 from .plans import attribution, replay, study
-from .sources import anchor_store, generator, ingest, ledger, shared, tables
+from .sources import anchor_store, archives, generator, ingest, ledger, shared, tables
 from .sources.score_cache import ScoreCache
 from .sources.shared import written
 from .streaming import live
@@ -365,6 +365,21 @@ def ingest_lines(spark, sf):
     return found.groupBy(year, F.array_join("issues", ", ").alias("issues")).agg(F.count(F.lit(1)).alias("n"), F.sum("line").alias("lines"), F.coalesce(F.sum("first_line"), F.lit(0)).alias("first_lines"))
 
 
+@query
+def archived_logs(spark, sf):
+    """documents as score logs, an archive for every 2,000 ids of a source: its last member with samples is what counts."""
+    at = f"{shared.folder(spark)}/plumbline/archives-{uuid.uuid4().hex}"
+    docs = tables.read(spark, sf, "documents").withColumn("archive", F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 2000), F.lit(".eval")))
+    score = F.when(F.col("doc_id") % 11 == 0, 1.5).otherwise(F.col("n_chars") % 101 / 100.0)
+    sample = lambda value: F.struct(F.col("doc_id").cast("string").alias("id"), F.struct(F.struct(value.alias("value")).alias("acc")).alias("scores"))
+    logs = docs.groupBy("archive").agg(F.collect_list(sample(F.lit(0.0))).alias("first"), F.collect_list(sample(score)).alias("last"))
+    told = {"a.json": F.struct(F.col("first").alias("samples")), "b.json": F.struct(F.col("last").alias("samples")), "header.json": F.struct(F.lit(2).alias("version"))}
+    files = F.array(*(F.struct(F.lit(name).alias("member"), F.to_json(value).alias("value")) for name, value in told.items()))
+    archives.write(logs.select("archive", F.inline(files)), at).agg(F.sum("members")).collect()
+    source = F.regexp_extract("source", r"([^/]+)-[0-9]+\.eval$", 1).alias("source")
+    return ingest.load(spark, "inspect", at, 0.0, 1.0).groupBy(source, F.coalesce("issue", F.lit("")).alias("issue")).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("normalised"), F.lit(0.0)), 4).alias("scores"))
+
+
 @query
 def scale_suggestion(spark, sf):
     rows = tables.read(spark, sf, "lineitem")

@@ -9,6 +9,7 @@ Files are opened with Arrow's file systems: local paths, and hdfs, s3 and gs add
 from __future__ import annotations
 
 import fnmatch
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -164,6 +165,43 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format(NAME).options(**options).load(path)
 
 
+def write(rows: DataFrame, path: str) -> DataFrame:
+    """archive, members: a zip file at path for each archive of rows (archive, member, value), members in name order.
+
+    A task holds one member at a time. A file gets its name when it is whole, so a task run again writes it again.
+    """
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = _system(path)
+        system.create_dir(at)
+        now, zipped, out = None, None, None
+        done: list[dict] = []
+
+        def close() -> None:
+            zipped.close()
+            out.close()
+            system.move(hidden, f"{at}/{now}")
+            done[-1]["members"] = len(zipped.namelist())
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["archive"] != now:
+                    if now is not None:
+                        close()
+                    now = r["archive"]
+                    hidden = f"{at}/_{uuid.uuid4().hex}"
+                    out = system.open_output_stream(hidden)
+                    zipped = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                    done.append({"archive": now})
+                zipped.writestr(r["member"], r["value"])
+        if now is not None:
+            close()
+        yield pa.RecordBatch.from_pylist(done, pa.schema([("archive", pa.string()), ("members", pa.int64())]))
+
+    dealt_out = rows.select("archive", "member", "value").repartition("archive").sortWithinPartitions("archive", "member")
+    return dealt_out.mapInArrow(save, "archive string, members long")
+
+
 def follow(spark: SparkSession, path: str, **options) -> DataFrame:
     spark.dataSource.register(ScoreArchives)
     return spark.readStream.format(NAME).options(**options).load(path)
