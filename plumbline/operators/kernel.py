@@ -38,7 +38,7 @@ def step(state: dict, x: float, lo: float, hi: float, most: int = MOST_STARTS) -
     log_e = np.maximum(a["up"], a["down"]) - np.log(2.0)
     value = log_e - np.log(a["start"] + 1.0) - np.log(a["start"] + 2.0)
     if len(value) > most:
-        keep = np.sort(np.argsort(-value, kind="stable")[:most])
+        keep = np.sort(np.lexsort((a["start"], value))[-most:])  # of equal ones the earliest goes
         a = {f: v[keep] for f, v in a.items()}
         value, log_e = value[keep], log_e[keep]
     top = value.max()
@@ -94,8 +94,8 @@ class Legs:
         log_e = np.where(live, np.maximum(a["up"], a["down"]) - np.log(2.0), -np.inf)
         value = log_e - np.log(a["start"] + 1.0) - np.log(a["start"] + 2.0)
         over = np.flatnonzero(place + 1 > most)
-        if len(over):  # one start too many: the least, and of equal ones the latest, goes for good
-            worst = width - 1 - np.argmin(np.where(live, value, np.inf)[over, ::-1], axis=1)
+        if len(over):  # one start too many: the least, and of equal ones the earliest, goes for good
+            worst = np.argmin(np.where(live, value, np.inf)[over], axis=1)
             shift = np.arange(width)[None, :] + (np.arange(width)[None, :] >= worst[:, None])
             shift = np.minimum(shift, width - 1)
             for v in (*a.values(), log_e, value):
