@@ -11,8 +11,9 @@ prefix of some piece, so the window of alive boundaries is shorter than the long
 character, as soon as the paths of all alive boundaries run through one boundary, the ids up to it are
 committed. What is pending after that determines the state wholly, since only score differences count. So
 `Machine` keeps the steps from states with at most `PENDING` pending characters as transitions of an automaton,
-built as texts need them: over one character, and over a word and its space, which are walked character by
-character the first time. At `REMEMBER` states or words it forgets these, a bound on its memory. Beyond `PENDING` (a long run of one character, say) `Open` steps in place, unremembered,
+built as texts need them, one character each. A word and its space that lead from the state after a space back to it
+are walked so the first time, and remembered with their ids. Both have a bound of their own: at `REMEMBER` states these are forgotten, at as
+many words the older half is. A task's machine goes with it. Beyond `PENDING` (a long run of one character, say) `Open` steps in place, unremembered,
 over a tree of backpointers whose upkeep is constant a character. Both take the same steps; a text that was not
 seen before costs more, not other ids.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,6 @@ PENDING = 64
 REMEMBER = 300_000
 WORD = 24
 NEVER = -(1 << 62)
-HELD: dict = {}
 
 
 def load_vocabulary(path: str = MODEL) -> dict:
@@ -103,45 +103,51 @@ class Pieces:
 
 
 class State(dict):
-    """A remembered state: character -> (the state after it, ids committed by it); words: the same for a word and its space.
+    """A remembered state: character -> (the state after it, ids committed by it).
 
     pending: the characters since the last commit. alive: (boundary, score, path) of the boundaries that a piece
-    may still start from, counted from the last commit; a path is the (boundary, ids) of the pieces up to there.
+    may still start from, counted from the last commit; a path is the (length, ids) of each piece up to there.
     """
 
-    __slots__ = ("pending", "alive", "machine", "words")
+    __slots__ = ("pending", "alive", "machine")
 
     def __init__(self, pending: str, alive: list[tuple], machine: Machine):
-        self.pending, self.alive, self.machine, self.words = pending, alive, machine, None
+        self.pending, self.alive, self.machine = pending, alive, machine
 
     def __missing__(self, c: str) -> tuple[State | Open, bytes]:
-        pieces, pending = self.machine.pieces, self.pending + c
-        if len(pending) > PENDING:
-            return Open(pending, self.machine), b""
-        known, prefixes, at = pieces.score, pieces.prefixes, len(pending)
-        top, alive = NEVER, []
+        machine, pending = self.machine, self.pending + c
+        at = len(pending)
+        if at > PENDING:
+            return Open(pending, machine), b""
+        pieces = machine.pieces
+        known, prefixes = pieces.score.get, pieces.prefixes
+        top, alive, last = NEVER, [], None
         for one in self.alive:  # the longest piece first, which wins ties
             s = pending[one[0] :]
-            if s in known:
-                score, ids = known[s]
-                score += one[1]
-                if score > top:
-                    top, path = score, (*one[2], (at, ids))
+            own = known(s)
+            if own is not None and own[0] + one[1] > top:
+                top, last, ids = own[0] + one[1], one, own[1]
             if s in prefixes:
                 alive.append(one)
-        if top == NEVER:
+        if last is None:
+            last = one
             cost, ids = pieces.spelled(c)
-            top, path = one[1] + cost, (*one[2], (at, ids))
-        alive.append((at, top, path))
-        out, k, first = b"", 0, alive[0][2]
-        while k < len(first) and all(one[2][k] == first[k] for one in alive):
-            out += first[k][1]
-            k += 1
+            top = one[1] + cost
+        alive.append((at, top, (*last[2], (at - last[0], ids))))
+        out, m, k, first = b"", 0, 0, alive[0][2]
+        for step in first:
+            for one in alive:
+                path = one[2]
+                if k == len(path) or path[k] != step:
+                    break
+            else:
+                m, out, k = m + step[0], out + step[1], k + 1
+                continue
+            break
         if k:  # all surviving paths run through this boundary
-            m = first[k - 1][0]
             pending = pending[m:]
-            alive = [(b - m, score, tuple([(x - m, ids) for x, ids in path[k:]])) for b, score, path in alive]
-        self[c] = step = self.machine.state(pending, alive), out
+            alive = [(b - m, score, path[k:]) for b, score, path in alive]
+        self[c] = step = machine.state(pending, alive), out
         return step
 
     def rest(self) -> bytes:
@@ -155,7 +161,7 @@ class Open:
     up: boundary -> (score, boundary before, ids from there); down: boundary -> boundaries that point to it.
     """
 
-    pending = words = None
+    pending = None
 
     def __init__(self, pending: str, machine: Machine):
         self.machine, self.at, self.root, self.recent, self.alive = machine, 0, 0, "", [0]
@@ -210,16 +216,23 @@ class Open:
 
 
 class Machine:
+    """states: by what is pending. words: the ids that a word and its space commit between two states after a space."""
+
     def __init__(self, vocabulary: dict):
         self.pieces = Pieces(vocabulary)
         self.states: dict[str, State] = {}
-        self.learnt = 0
+        self.words: dict[str, bytes] = {}
+        self.home, self.lead = self.start()[" "]
+
+    @property
+    def learnt(self) -> int:
+        return len(self.words)
 
     def state(self, pending: str, alive: list[tuple]) -> State:
         found = self.states.get(pending)
         if found is None:
             if len(self.states) >= REMEMBER:
-                self.forget()
+                self.forget_states()
             found = self.states[pending] = State(pending, alive, self)
         return found
 
@@ -233,30 +246,35 @@ class Machine:
             at, _ = at[c]
         return at
 
-    def forget(self) -> None:
+    def forget_states(self) -> None:
         """States point to each other in circles, so they are emptied rather than left to the collector."""
         for s in self.states.values():
             s.clear()
-        self.forget_words()
-        self.states = {}
+        self.states = {self.home.pending: self.home}
 
-    def forget_words(self) -> None:
-        for s in self.states.values():
-            s.words = None
-        self.learnt = 0
+    def forget(self) -> None:
+        self.forget_states()
+        self.words = {}
+
+    def close(self) -> None:
+        """No state and machine point to each other any more, so all memory is free once the machine is let go."""
+        self.forget()
+        self.states, self.home = {}, None
 
     def walk(self, at: State | Open, word: str) -> tuple[State | Open, bytes]:
         """Over a word and its space, character by character."""
         begin, every = at, b""
-        for c in chain(word, " "):
+        for c in word:
             at, out = at[c]
-            every += out
-        if len(word) <= WORD and isinstance(begin, State) and isinstance(at, State):
-            if self.learnt >= REMEMBER:
-                self.forget_words()
-            self.learnt += 1
-            begin.words = begin.words or {}
-            begin.words[word] = at, every
+            if out:
+                every += out
+        at, out = at[" "]
+        every += out
+        if begin is self.home and at is begin and len(word) <= WORD:
+            if len(self.words) >= REMEMBER:  # the older half goes
+                for old in list(islice(self.words, (REMEMBER + 1) // 2)):
+                    del self.words[old]
+            self.words[word] = every
         return at, every
 
     def stream(self, text: Iterable[str]) -> Iterator[bytes]:
@@ -275,13 +293,12 @@ class Machine:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            own = []
-            at, out = self.start()[" "]
             *words, last = text.split(" ")
-            for w in words:
-                known = at.words
-                at, out = known[w] if known and w in known else self.walk(at, w)
-                own.append(out)
+            own = [self.lead, *map(self.words.get, words)]
+            at = home = self.home
+            for k, word in enumerate(words, 1):
+                if own[k] is None or at is not home:
+                    at, own[k] = self.walk(at, word)
             for c in last:
                 at, out = at[c]
                 own.append(out)
@@ -296,24 +313,25 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if HELD.get("model") != model:  # kept for the next task of this worker
-            HELD.update(model=model, machine=Machine(shared.value))
-        machine = HELD["machine"]
+        machine = Machine(shared.value)  # a task's own: nothing of it stays in the worker
         gc.disable()  # it would visit every remembered step again and again
-        for batch in batches:
-            column = batch.column("text").fill_null("")
-            for lo, hi in blocks(column, 1 << 20):
-                part = column.slice(lo, hi - lo)
-                ids, counts = machine.encode(part.to_pylist())
-                offs = np.concatenate([[0], np.cumsum(counts)])
-                buf, at = buffers(part)
-                raw, ends = machine.pieces.decode(ids, counts)
-                same = [np.array_equal(raw[ends[i] : ends[i + 1]], buf[at[i] : at[i + 1]]) for i in range(hi - lo)]
-                data = ids.astype("<i4").tobytes()
-                digest = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(offs[:-1], offs[1:])]
-                arrays = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(counts), arrays, pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "ids_sha256", "round_trip"])
-        gc.enable()
+        try:
+            for batch in batches:
+                column = batch.column("text").fill_null("")
+                for lo, hi in blocks(column, 1 << 20):
+                    part = column.slice(lo, hi - lo)
+                    ids, counts = machine.encode(part.to_pylist())
+                    offs = np.concatenate([[0], np.cumsum(counts)])
+                    buf, at = buffers(part)
+                    raw, ends = machine.pieces.decode(ids, counts)
+                    same = [np.array_equal(raw[ends[i] : ends[i + 1]], buf[at[i] : at[i + 1]]) for i in range(hi - lo)]
+                    data = ids.astype("<i4").tobytes()
+                    digest = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(offs[:-1], offs[1:])]
+                    arrays = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(counts), arrays, pa.array(digest, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "ids_sha256", "round_trip"])
+        finally:
+            machine.close()
+            gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, ids_sha256 string, round_trip boolean")
 

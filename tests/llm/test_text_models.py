@@ -230,6 +230,19 @@ def test_memory_is_bounded(machine, monkeypatch):
     assert all(len(s) <= pieces.PENDING for s in machine.states)
 
 
+def test_words_outlive_the_states(machine, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(50)]
+    monkeypatch.setattr(pieces, "REMEMBER", 1000)
+    machine.forget()
+    first, _ = machine.encode([" ".join([*words, "end"])])
+    machine.encode(["".join(rng.choice("abcdefgh") for _ in range(20_000))])  # one word, and more states than are remembered
+    walked = []
+    monkeypatch.setattr(pieces.Machine, "walk", lambda self, at, word: walked.append(word))
+    again, _ = machine.encode([" ".join([*words, "end"])])
+    assert not walked and again.tolist() == first.tolist()
+
+
 def test_encode_decode_over_tables(spark):
     docs = awkward(spark, TEXTS)
     enc = pieces.encode(docs).cache()
