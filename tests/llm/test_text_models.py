@@ -1,9 +1,12 @@
+import gc
 import hashlib
 import math
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import kneser, pieces
@@ -243,6 +246,31 @@ def test_words_outlive_the_states(machine, monkeypatch):
     assert not walked and again.tolist() == first.tolist()
 
 
+class Task:
+    """Stands for a table and its session; its mapInArrow gives what a task runs."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+    broadcast = staticmethod(lambda value: SimpleNamespace(value=value))
+    select = lambda self, *columns: self
+    mapInArrow = staticmethod(lambda run, schema: run)
+
+
+def test_a_task_leaves_no_states_behind(monkeypatch):
+    def states():
+        return sum(type(x) is pieces.State for x in gc.get_objects())
+
+    gc.collect()
+    before = states()
+    monkeypatch.setattr(gc, "enable", lambda: None)  # what is left to the collector counts as left
+    try:
+        run = pieces.encode(Task())
+        rows = [r for b in run(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["thnterti eandble " * 5, "=" * 500]})])) for r in b.to_pylist()]
+        assert [r["round_trip"] for r in rows] == [True, True] and states() == before
+    finally:
+        monkeypatch.undo()
+        gc.enable()
+
+
 def test_encode_decode_over_tables(spark):
     docs = awkward(spark, TEXTS)
     enc = pieces.encode(docs).cache()
