@@ -176,9 +176,11 @@ def delay_by_shift(outcomes: DataFrame, change_at: int = 0) -> DataFrame:
 
 
 def delay_ratio(delays: DataFrame, method: str, against: str) -> DataFrame:
-    """The mean of a method's median delays over another's."""
+    """The mean of a method's median delays over another's. Over no delay at all it is infinite, and of two such means no number."""
     mean = lambda m: F.avg(F.when(F.col("method") == m, F.col("median_delay")))
-    return delays.agg(mean(method).alias("mean_delay"), mean(against).alias("mean_delay_against")).withColumn("ratio", F.col("mean_delay") / F.col("mean_delay_against"))
+    a, b = F.col("mean_delay"), F.col("mean_delay_against")
+    ratio = F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)  # in ANSI mode, Spark's own quotient is an error there
+    return delays.agg(mean(method).alias("mean_delay"), mean(against).alias("mean_delay_against")).withColumn("ratio", ratio)
 
 
 def guard(rates: DataFrame, most_false_alarms: float = 0.05, least_correct: float = 0.9, most_wrong: float = 0.01) -> DataFrame:

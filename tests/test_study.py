@@ -1,6 +1,7 @@
 import json
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +233,15 @@ def test_pairs_by_ranks_equal_all_pairs(spark):
     for g in ("x", "y"):
         d = [abs(a[3] - b[3]) for a in rows for b in rows if a[0] == b[0] == g and a[1] == b[1] and a[2] < b[2]]
         assert (got[g]["comparisons"], got[g]["max_diff"]) == (len(d), max(d)) and abs(got[g]["mean_abs_diff"] - np.mean(d)) < 1e-12 and abs(got[g]["agreement"] - np.mean(np.array(d) == 0)) < 1e-12
+
+
+def test_ratio_over_no_delay_is_as_in_sql(spark):
+    def ratio(threshold, cusum):
+        rows = [("threshold", x) for x in threshold] + [("cusum", x) for x in cusum] + [("cusum_tight", 0.0)]
+        return study.delay_ratio(spark.createDataFrame(rows, "method string, median_delay double"), "threshold", "cusum").first()["ratio"]
+
+    con = duckdb.connect()
+    for a, b in [(3.0, 0.0), (0.0, 0.0), (None, 0.0), (0.0, 2.0), (3.0, 2.0), (3.0, None)]:
+        want = con.execute("SELECT ?::DOUBLE / ?::DOUBLE", [a, b]).fetchall()[0][0]
+        got = ratio([a, None], [b, b])
+        assert got == want or want != want and got != got, (a, b)
