@@ -1,12 +1,14 @@
 import base64
 import collections
 import hashlib
+import json
 import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -150,6 +152,26 @@ def test_top_k_equals_brute_force(spark):
     assert len(few) == 2 and topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_top_k_cells_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-100, 100, (900, 8))
+    table = spark.createDataFrame([(i, (v / 256).tolist(), 0, "a", "b") for i, v in enumerate(x)], VECTORS)
+    want = {tuple(r) for r in topk.top_k(table, query_every=3).collect()}
+    monkeypatch.setattr(topk, "GROUP_BYTES", 2048)  # 128 vectors or queries of 16 bytes, so 8 by 3 cells
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    assert {tuple(r) for r in topk.top_k(table, query_every=3).collect()} == want and len(want) == 1500
+    vectors = pa.table({"ids": [np.arange(900).tobytes()], "vecs": [x.astype(np.int16).tobytes()]})
+    queries = pa.table({"q_ids": [np.arange(900, 950).tobytes()], "q_vecs": [x[:50].astype(np.int16).tobytes()], "state": [json.dumps([[[]] * 50, [5] * 50])]})
+    bound = 8 * 100**2
+    bins = topk._histograms("i2", 8, bound, 2, topk.DIGIT)(vectors, queries).to_pandas()
+    score = x[:50] @ x.T
+    for i in range(50):  # as many rows as scores wanted, with whole counts from the kth score's bin on
+        own = bins[bins["query_id"] == 900 + i].set_index("bin")["n"].to_dict()
+        n = np.bincount((score[i] + bound) >> topk.DIGIT, minlength=topk.BINS)
+        least = int(np.sort((score[i] + bound) >> topk.DIGIT)[-5])
+        assert len(own) <= 5 and all(own.get(b, 0) == n[b] for b in range(least, topk.BINS))
+
+
 def test_mix_meets_limits_and_keeps_rows(spark):
     texts = [f"{'word ' * (i % 7 + 1)}{i}" for i in range(600)]
     docs = awkward(spark, []).unionByName(spark.createDataFrame([(i, t, "en", "big" if i % 6 else "small", 1, 1, "r", "k") for i, t in enumerate(texts)], awkward(spark).schema))
