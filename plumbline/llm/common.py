@@ -47,6 +47,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What queries inside have shuffled is deleted when they end, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A driver-made table of bounded size, without Python workers."""
     names = [c.strip().split()[0] for c in ddl.split(",")]

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, materialize, mix, parts, scratch, text_or_empty
+from .common import blocks, buffers, materialize, mix, parts, scratch, shuffles_dropped, text_or_empty
 from .common import ranges as _ranges
 
 LENGTH = 50
@@ -188,7 +188,7 @@ def _key(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
     return mix(mix(ids.astype(np.uint64)) ^ (x & LOW))
 
 
-SEGMENTS = "doc_id long, rid long, start int, at int, lead binary, content binary"
+SEGMENTS = "doc_id long, rid long, start int, at int, content binary"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, place, row = start[hit], end[hit], place[hit], row[hit]
             size = end - start + LENGTH
             cols = [pa.array(doc_ids[lo + row]), pa.array(rids[lo + row]), pa.array((start - offs[row]).astype(np.int32)), pa.array((place - start).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*cols, _binary(buf, place, np.full(len(place), GRAM)), _binary(buf, start, size)], ["doc_id", "rid", "start", "at", "lead", "content"])
+            yield pa.RecordBatch.from_arrays([*cols, _binary(buf, start, size)], ["doc_id", "rid", "start", "at", "content"])
 
 
 def _binary(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -312,7 +312,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "rid", "n_removed", "n_spans", "kept_sha256"])
 
 
-HALVES = "whole_one long, whole_two long, shift int, a int, b int, at int, first long, lead binary, content binary"
+HALVES = "whole_one long, whole_two long, shift int, a int, b int, at int, first long, content binary"
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,13 +330,13 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 begin, end, least, most, g, base = begin[ok], end[ok], least[ok], most[ok], at[ok], offs[:-1][ok]
                 own = [part.column(c).take(pa.array(ok)) for c in ("one", "two", "first")]
                 cols = [pa.array(x.astype(np.int32)) for x in (begin, least, most, g - begin)]
-                lead, content = _binary(buf, base + g - least, LENGTH - most + least), _binary(buf, base + begin, end - begin + LENGTH)
-                yield pa.RecordBatch.from_arrays([own[0], own[1], *cols, own[2], lead, content], ["whole_one", "whole_two", "shift", "a", "b", "at", "first", "lead", "content"])
+                content = _binary(buf, base + begin, end - begin + LENGTH)
+                yield pa.RecordBatch.from_arrays([own[0], own[1], *cols, own[2], content], ["whole_one", "whole_two", "shift", "a", "b", "at", "first", "content"])
 
 
 def smallest_runs(stretches: DataFrame, n_parts: int, crowd: int, spot: int) -> DataFrame:
-    """one, two, lo, hi, first: what _compare gives for stretches (one, two, at, a, b, first, lead, content)."""
-    told, cuts, now = None, [], stretches
+    """one, two, lo, hi, first: what _compare gives for stretches (at, a, b, first, content)."""
+    told, cuts, now = None, [], leads(stretches)
     while True:
         sample = now.where((F.pmod("one", F.lit(spot)) == 0) & (F.col("a") < F.col("b")))
         often = materialize(sample.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * spot >= crowd).select("lead"), "crowded")
@@ -344,18 +344,19 @@ def smallest_runs(stretches: DataFrame, n_parts: int, crowd: int, spot: int) ->
         told = calm if told is None else told.unionByName(calm)
         if not often.take(1):
             break
-        halves = materialize(digests(now.join(often, "lead", "left_semi").select("one", "two", "first", "at", "a", "b", "content").mapInArrow(_halves, HALVES)), "halves")
-        cuts.append(halves.select("whole_one", "whole_two", "shift", "one", "two"))
-        now = materialize(halves.groupBy("one", "two", "content", "lead", "at", "a", "b").agg(F.min("first").alias("first")), "stretches")
+        halves = materialize(now.join(often, "lead", "left_semi").select("one", "two", "first", "at", "a", "b", "content").mapInArrow(_halves, HALVES), "halves")
+        cuts.append(digests(halves).select("whole_one", "whole_two", "shift", "one", "two"))
+        now = leads(materialize(halves.groupBy("content", "at", "a", "b").agg(F.min("first").alias("first")), "stretches"))
     runs = told.repartitionByRange(n_parts, "lead").sortWithinPartitions("lead").mapInArrow(_compare, RUNS)
     if not cuts:
         return runs
     runs = materialize(runs, "runs")
     every = runs
-    for cut in reversed(cuts):  # from the smallest halves back to whole stretches
+    for left, cut in reversed(list(enumerate(cuts))):  # from the smallest halves back to whole stretches
         moved = [F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("lo", "hi")]
         below = every.join(cut, ["one", "two"]).select(F.col("whole_one").alias("one"), F.col("whole_two").alias("two"), *moved, "first")
-        every = materialize(every.unionByName(below), "runs")
+        every = every.unionByName(below)
+        every = materialize(every, "runs") if left else every
     return every
 
 
@@ -364,43 +365,62 @@ def digests(df: DataFrame) -> DataFrame:
     return df.withColumn("one", F.xxhash64("content")).withColumn("two", F.xxhash64(F.lit(1), "content"))
 
 
+def leads(stretches: DataFrame) -> DataFrame:
+    """With lead, the bytes around the anchor that all strings of a stretch share, and digests: neither is stored, since both follow from the content."""
+    return digests(stretches.withColumn("lead", F.substring("content", F.col("at") - F.col("a") + 1, F.lit(LENGTH) - F.col("b") + F.col("a"))))
+
+
 def repeated_ranges(docs: DataFrame, n_bytes: int, crowd: int = CROWD, spot: int = SPOT) -> DataFrame:
-    """doc_id, rid, lo, hi: the byte ranges that go, overlapping as they come, for texts without an equal before them."""
-    n_parts = max(parts(docs.sparkSession), -(-n_bytes // PART_BYTES)) | 1
-    prints = docs.select("doc_id", "text").mapInArrow(_fingerprints(n_parts), PACKED)
-    found = prints.repartitionById(n_parts, "bucket").mapInArrow(_repeated(n_parts), PACKED)
-    found = materialize(found, "repeated-grams")
+    """doc_id, rid, lo, hi: the byte ranges that go, overlapping as they come, for texts without an equal before them.
+
+    What a step has made for the next one goes as soon as that has its result: the disk has one step's tables at a time.
+    """
+    spark = docs.sparkSession
+    n_parts = max(parts(spark), -(-n_bytes // PART_BYTES)) | 1
+    with scratch(spark):
+        prints = docs.select("doc_id", "text").mapInArrow(_fingerprints(n_parts), PACKED)
+        found = materialize(prints.repartitionById(n_parts, "bucket").mapInArrow(_repeated(n_parts), PACKED), "repeated-grams")
+        segments = materialize(_with_texts(docs, found, n_parts), "segments", keep=True)
+    with scratch(spark):
+        distinct = materialize(segments.groupBy("content", "at").agg(F.min("doc_id").alias("first")), "stretches")
+        distinct = distinct.withColumns({"a": F.lit(0), "b": F.lit(LENGTH - GRAM)})
+        runs = materialize(smallest_runs(distinct, n_parts, crowd, spot), "runs", keep=True)
+    joined = digests(segments).select("doc_id", "rid", "start", "one", "two").join(runs, ["one", "two"])
+    each = joined.select("doc_id", "rid", "start", F.explode(F.arrays_zip("lo", "hi", "first")).alias("r")).where("r.first < doc_id")
+    return each.groupBy("doc_id", "rid").agg(F.collect_list((F.col("start") + F.col("r.lo")).cast("int")).alias("lo"), F.collect_list((F.col("start") + F.col("r.hi") + LENGTH).cast("int")).alias("hi"))
+
+
+def _with_texts(docs: DataFrame, found: DataFrame, n_parts: int) -> DataFrame:
+    """The suffix records of all texts, whose repeated fingerprints meet them."""
     nothing = F.lit(None).cast("binary")
     rows = docs.select(F.pmod("doc_id", F.lit(n_parts)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "doc_id", "rid", "text", nothing.alias("grams"), nothing.alias("ids"))
     told = found.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("string").alias("text"), "grams", "ids")
     both = rows.unionByName(told).repartitionById(n_parts, "bucket").sortWithinPartitions("kind")
-    segments = materialize(digests(both.mapInArrow(_segments, SEGMENTS)), "segments")
-    distinct = segments.groupBy("content", "lead", "at").agg(F.min("doc_id").alias("first"))
-    distinct = materialize(digests(distinct).withColumns({"a": F.lit(0), "b": F.lit(LENGTH - GRAM)}), "stretches")
-    runs = smallest_runs(distinct, n_parts, crowd, spot)
-    joined = segments.select("doc_id", "rid", "start", "one", "two").join(runs, ["one", "two"])
-    each = joined.select("doc_id", "rid", "start", F.explode(F.arrays_zip("lo", "hi", "first")).alias("r")).where("r.first < doc_id")
-    return each.groupBy("doc_id", "rid").agg(F.collect_list((F.col("start") + F.col("r.lo")).cast("int")).alias("lo"), F.collect_list((F.col("start") + F.col("r.hi") + LENGTH).cast("int")).alias("hi"))
+    return both.mapInArrow(_segments, SEGMENTS)
 
 
 def remove_repeats(docs: DataFrame, crowd: int = CROWD, spot: int = SPOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    spark = docs.sparkSession
     text = text_or_empty()
     keyed = docs.select("doc_id", text.alias("text"))
-    known = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    known = materialize(known, "digests")
-    before = known.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # a large group of copies is salted: its few rows of `before` go to every salt
-    before = before.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = known.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
-    known = materialize(salted.join(before, ["sha", "salt"], "left").drop("salt").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))), "copies")
-    copies = materialize(known.where("copy").select("doc_id", "rid").distinct(), "copied")
-    live = keyed.where("doc_id is not null").withColumn("rid", F.xxhash64("doc_id", "text")).where(F.octet_length("text") >= LENGTH).join(copies, ["doc_id", "rid"], "left_anti")
-    n_bytes = known.agg(F.sum("n_bytes")).first()[0] or 0
-    with scratch(docs.sparkSession):
-        ranges = materialize(repeated_ranges(live, n_bytes, crowd, spot), "ranges", keep=True)
-    cut = live.join(ranges, ["doc_id", "rid"]).dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", "text", "lo", "hi").mapInArrow(_cut, "doc_id long, rid long, n_removed long, n_spans long, kept_sha256 string")
-    cut = cut.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "n_removed", "n_spans", "kept_sha256")
+    with scratch(spark), shuffles_dropped(spark):
+        known = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+        known = materialize(known, "digests")
+        before = known.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        # a large group of copies is salted: its few rows of `before` go to every salt
+        before = before.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = known.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+        known = salted.join(before, ["sha", "salt"], "left").drop("salt").withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
+        known = materialize(known, "copies", keep=True)
+        copies = materialize(known.where("copy").select("doc_id", "rid").distinct(), "copied")
+        live = keyed.where("doc_id is not null").withColumn("rid", F.xxhash64("doc_id", "text")).where(F.octet_length("text") >= LENGTH).join(copies, ["doc_id", "rid"], "left_anti")
+        live = materialize(live, "live")  # it is read three times
+        n_bytes = known.agg(F.sum("n_bytes")).first()[0] or 0
+        with scratch(spark):
+            ranges = materialize(repeated_ranges(live, n_bytes, crowd, spot), "ranges", keep=True)
+        cut = live.join(ranges, ["doc_id", "rid"]).dropDuplicates(["doc_id", "rid"]).select("doc_id", "rid", "text", "lo", "hi").mapInArrow(_cut, "doc_id long, rid long, n_removed long, n_spans long, kept_sha256 string")
+        cut = materialize(cut.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "n_removed", "n_spans", "kept_sha256"), "cut", keep=True)
     whole = F.col("copy") & (F.col("n_bytes") >= LENGTH)
     rows = known.join(cut, (F.col("doc_id") == F.col("d")) & (F.col("rid") == F.col("r")), "left")
     return rows.select(

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -92,3 +93,26 @@ def test_second_digest_does_not_follow_from_the_first(spark):
     rows = suffixes.digests(spark.createDataFrame([(c,) for c in colliding()], "content binary")).collect()
     assert rows[0]["content"] != rows[1]["content"] and rows[0]["one"] == rows[1]["one"]
     assert rows[0]["two"] != rows[1]["two"]
+
+
+def test_disk_is_one_steps(spark, monkeypatch):
+    """The result rests on narrow tables only: what the search made is deleted with its shuffles, and the setting is as before."""
+    name, kept, made = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], []
+    real = suffixes.materialize
+
+    def watched(df, label, keep=False):
+        made.append((label, spark.conf.get(name)))
+        out = real(df, label, keep)
+        kept.append((label, out.columns, out.inputFiles()[0].rsplit("/", 1)[0]))
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", watched)
+    before = spark.conf.get(name)
+    line = "a line of more than fifty bytes that stands in several of these texts"
+    docs = spark.createDataFrame([(i, f"{i} {line} {i * 7919}") for i in range(40)], "doc_id long, text string")
+    rows = suffixes.remove_repeats(docs, 6, 1)
+    assert {on for _, on in made} == {"true"} and spark.conf.get(name) == before
+    left = {label: columns for label, columns, path in kept if os.path.exists(path.removeprefix("file:"))}
+    assert set(left) == {"copies", "cut"} and not {"text", "content"} & {c for columns in left.values() for c in columns}
+    assert all("lead" not in columns and "one" not in columns for label, columns, _ in kept if label in ("segments", "stretches", "halves"))
+    assert {r["doc_id"]: r["n_removed"] > 60 for r in rows.collect()} == {i: i > 0 for i in range(40)}
